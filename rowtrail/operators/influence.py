@@ -155,8 +155,13 @@ class Union(Influence):
         return Union(*[part.inverted() for part in self.parts])
 
 
+# A score this close (relatively) to the threshold counts as reaching it: a mean and a deviation
+# carry rounding errors that depend on the order of summation, the kept rows must not.
+Z_SLACK = 1e-9
+
+
 def _is_far(value: Column, mean: Column, deviation: Column, z: float) -> Column:
-    return F.abs(value - mean) / deviation >= F.lit(float(z))
+    return F.abs(value - mean) / deviation >= F.lit(z * (1 - Z_SLACK))
 
 
 @dataclass(frozen=True)
@@ -232,7 +237,7 @@ class SequentialOutlier(Influence):
         prior_mean = col("__mean") + col("__pd")
         # with equal prior values any other value is infinitely far away
         stood_out = F.when(col("__plo") == col("__phi"), v != col("__plo")).otherwise(
-            (prior_sd > 0) & (F.try_divide(F.abs(v - prior_mean), prior_sd) >= F.lit(float(self.z))))
+            (prior_sd > 0) & (F.try_divide(F.abs(v - prior_mean), prior_sd) >= F.lit(self.z * (1 - Z_SLACK))))
         on_arrival = (col("__pn") < self.warmup) | stood_out
         return (ran.where(_is_far(v, col("__mean"), col("__sd"), self.z) & on_arrival)
                 .select(*[col(c) for c in rows.columns]))

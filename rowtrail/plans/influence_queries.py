@@ -26,7 +26,7 @@ def _ranked(order: str, n: int) -> str:
 
 _OUTLIERS = """select event_type, event_id, value from (select *, avg(value) over k as m,
   stddev_pop(value) over k as sd from events window k as (partition by event_type))
-where sd > 0 and abs(value - m) / sd >= 3"""
+where sd > 0 and abs(value - m) / sd >= 3 * (1 - 1e-9)"""
 
 _SEQUENTIAL = """with w as (select event_type, event_id, value,
   count(*) over p pc, avg(value) over p pm, stddev_pop(value) over p ps,
@@ -34,8 +34,8 @@ _SEQUENTIAL = """with w as (select event_type, event_id, value,
   window p as (partition by event_type order by event_id rows between unbounded preceding and 1 preceding),
          f as (partition by event_type))
 select event_type, event_id as rid, value from w
-where (pc < 100 or (ps > 0 and abs(value - pm) / ps >= 3) or (ps = 0 and value <> pm))
-  and fs > 0 and abs(value - fm) / fs >= 3"""
+where (pc < 100 or (ps > 0 and abs(value - pm) / ps >= 3 * (1 - 1e-9)) or (ps = 0 and value <> pm))
+  and fs > 0 and abs(value - fm) / fs >= 3 * (1 - 1e-9)"""
 
 _CASES = [
     ("infl_all", All(), "select event_type, event_id as rid, value from events"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rowtrail.functions.scalar import GPA_STEPS
 from rowtrail.plans import programs
 from rowtrail.plans.base import add, query, rounded, table
+from rowtrail.scratch import materialize
 from rowtrail.sources import fixtures as fx
 from rowtrail.sources.registry import TraceContext
 
@@ -70,16 +71,16 @@ _COURSE = f"""({_list(fx.DEPARTMENTS)}[(m2 % 990) // 198 + 1]
   || cast(case when m2 % 198 < 99 then m2 % 198 + 1 else m2 % 198 + 2 end as varchar))"""
 
 GRADES = f"""d as (select id, {_draws(3)} from ({_ORDERS})),
-c as (select *, {_COURSE} as course from d),
+e as (select *, {_COURSE} as course from d),
 grades as (select id, cast(10 + m1 % 190 as integer) as student_id, course,
   cast(case when course in ('CS9', 'CS11') then 85 + m3 % 25 else 65 + m3 % 35 end as integer) as grade,
-  course in ('CS9', 'CS11') as is_fault from c)"""
+  course in ('CS9', 'CS11') as is_fault from e)"""
 
 ZEROS = f"""d as (select id, {_draws(6)} from ({_ORDERS})),
-c as (select *, case when m4 % 75 = 0 then {_list(fx.ZEROED_COURSES)}[m5 % 2 + 1] else {_COURSE} end as course,
+e as (select *, case when m4 % 75 = 0 then {_list(fx.ZEROED_COURSES)}[m5 % 2 + 1] else {_COURSE} end as course,
   m4 % 75 = 0 and m6 % 100 < 15 as is_fault from d),
 grades as (select id, cast(10 + m1 % 190 as integer) as student_id, course,
-  cast(case when is_fault then 0 else 65 + m3 % 35 end as integer) as grade, is_fault from c)"""
+  cast(case when is_fault then 0 else 65 + m3 % 35 end as integer) as grade, is_fault from e)"""
 
 EXAMS = f"""d as (select id, {_draws(3)} from (select c_custkey as id from customer)),
 i as (select id, case when m1 % 2 = 0 then 'EE' else 'CS' end || cast(30 + m2 % 570 as varchar) as course,
@@ -90,20 +91,23 @@ NUMBERS = f"""d as (select id, {_draws(2)} from ({_ORDERS})),
 numbers as (select id, ['a', 'b', 'c', 'q'][m1 % 4 + 1] as key, cast(1 + m2 % 1111199 as integer) as value from d)"""
 
 
-def _weather(spark, sf_dir):
-    return fx.weather(_ids(spark, sf_dir), fault_one_in=500)
+_FIXTURES = {
+    "weather": lambda ids: fx.weather(ids, fault_one_in=500),
+    "airport": lambda ids: fx.airport(ids, fault_one_in=50),
+    "trips": lambda ids: fx.trips(ids, fault_one_in=100),
+    "students": lambda ids: fx.student_info(ids, fault_one_in=200),
+    "grades": fx.grades,
+    "grades_with_zeros": fx.grades_with_zeros,
+}
 
 
-def _airport(spark, sf_dir):
-    return fx.airport(_ids(spark, sf_dir), fault_one_in=50)
+def _fixture(spark, sf_dir, name):
+    return _FIXTURES[name](_ids(spark, sf_dir))
 
 
-def _trips(spark, sf_dir):
-    return fx.trips(_ids(spark, sf_dir), fault_one_in=100)
-
-
-def _students(spark, sf_dir):
-    return fx.student_info(_ids(spark, sf_dir), fault_one_in=200)
+def _stored(spark, sf_dir, name):
+    """The fixture as a program reads it: generated once and written."""
+    return materialize(_fixture(spark, sf_dir, name), name)
 
 
 def _exams(spark, sf_dir):
@@ -113,15 +117,15 @@ def _exams(spark, sf_dir):
 # -- fixtures ------------------------------------------------------------------------------
 
 for _name, _make, _sql in [
-    ("fix_weather", _weather, f"with {WEATHER} select * from weather"),
-    ("fix_airport", _airport, f"with {AIRPORT} select * from airport"),
-    ("fix_trips", _trips, f"with {TRIPS} select * from trips"),
-    ("fix_zipcode", lambda s, d: fx.zip_areas(_trips(s, d)),
+    ("fix_weather", lambda s, d: _fixture(s, d, "weather"), f"with {WEATHER} select * from weather"),
+    ("fix_airport", lambda s, d: _fixture(s, d, "airport"), f"with {AIRPORT} select * from airport"),
+    ("fix_trips", lambda s, d: _fixture(s, d, "trips"), f"with {TRIPS} select * from trips"),
+    ("fix_zipcode", lambda s, d: fx.zip_areas(_fixture(s, d, "trips")),
      f"with {TRIPS} select zip, cast(cast(zip as integer) % 100 as varchar) as area from "
      "(select zip_from as zip from trips union select zip_to from trips)"),
-    ("fix_student_info", _students, f"with {STUDENTS} select * from students"),
-    ("fix_grades", lambda s, d: fx.grades(_ids(s, d)), f"with {GRADES} select * from grades"),
-    ("fix_grades_with_zeros", lambda s, d: fx.grades_with_zeros(_ids(s, d)), f"with {ZEROS} select * from grades"),
+    ("fix_student_info", lambda s, d: _fixture(s, d, "students"), f"with {STUDENTS} select * from students"),
+    ("fix_grades", lambda s, d: _fixture(s, d, "grades"), f"with {GRADES} select * from grades"),
+    ("fix_grades_with_zeros", lambda s, d: _fixture(s, d, "grades_with_zeros"), f"with {ZEROS} select * from grades"),
     ("fix_student_grades", lambda s, d: _exams(s, d).select("id", F.explode("grades").alias("item")),
      f"with {EXAMS} select id, item from exams"),
     ("fix_keyed_numbers", lambda s, d: fx.keyed_numbers(_ids(s, d)), f"with {NUMBERS} select * from numbers"),
@@ -145,14 +149,14 @@ def fix_student_info_lines(spark, sf_dir):
 def _score_sql(tables: str, source: str, outputs: str, failing: str, traced: str, fault: str) -> str:
     """Metrics of a trace in SQL: ``outputs`` and ``traced`` (ids) are queries over ``tables``."""
     return f"""with {tables}, o as ({outputs}), x as (select distinct id from ({traced})),
-c as (select count(*) as input_count, count(*) filter (where {fault}) as fault_count,
+counts as (select count(*) as input_count, count(*) filter (where {fault}) as fault_count,
   (select count(*) from x) as trace_count,
   count(*) filter (where ({fault}) and id in (select id from x)) as correct_count from {source})
 select input_count, (select count(*) from o) as output_count, (select count(*) from o where {failing}) as target_count,
   fault_count, trace_count, correct_count, fault_count - correct_count as missing_count,
   trace_count - correct_count as extra_count,
   round(case when trace_count > 0 then correct_count / trace_count end, 8) as "precision",
-  round(case when fault_count > 0 then correct_count / fault_count end, 8) as recall, correct_count as "yield" from c"""
+  round(case when fault_count > 0 then correct_count / fault_count end, 8) as recall, correct_count as "yield" from counts"""
 
 
 def _score(program: programs.Program):
@@ -169,7 +173,7 @@ k as (select id, snow, mm, cast(cast(zip as integer) % 50 as varchar) as state,
 
 @query(f"with {_SNOW} select key, round(cast(max(mm) - min(mm) as double), 3) as delta from k group by key")
 def prog_snow_delta(spark, sf_dir):
-    program = programs.snow_delta(TraceContext(spark), _weather(spark, sf_dir), "id")
+    program = programs.snow_delta(TraceContext(spark), _stored(spark, sf_dir, "weather"), "id")
     return program.output.df.select("key", F.round(F.col("delta").cast("double"), 3).alias("delta"))
 
 
@@ -181,14 +185,14 @@ _SNOW_RANKS = """select *, row_number() over (partition by key order by mm, id)
 @query(_score_sql(_SNOW, "weather", _SNOW_OUT, "delta > 6000",
                   f"select id from ({_SNOW_RANKS}) where lo = 1 or hi = 1", "snow = '90in'"))
 def prog_snow_delta_score(spark, sf_dir):
-    return _score(programs.snow_delta(TraceContext(spark), _weather(spark, sf_dir), "id"))
+    return _score(programs.snow_delta(TraceContext(spark), _stored(spark, sf_dir, "weather"), "id"))
 
 
 @query(_score_sql(_SNOW, "weather", _SNOW_OUT, "delta > 6000",
                   "select id from k where key in (select key from o where delta > 6000)", "snow = '90in'"))
 def prog_snow_delta_rows_score(spark, sf_dir):
     """The same program with row lineage only: every reading under a failing key is suspicious."""
-    return _score(programs.snow_delta(TraceContext(spark), _weather(spark, sf_dir), "id", column_lineage=False))
+    return _score(programs.snow_delta(TraceContext(spark), _stored(spark, sf_dir, "weather"), "id", column_lineage=False))
 
 
 _VAR_OUT = "select key, var_samp(cast(mm as double)) as variance from k group by key"
@@ -198,19 +202,19 @@ def _far(key: str, value: str, rows: str) -> str:
     """Ids at least three deviations from the mean of their group."""
     return (f"select id from (select id, {value} as v, avg({value}) over g as m, stddev_pop({value}) over g as sd, "
             f"min({value}) over g as v0, max({value}) over g as v1 from {rows} window g as (partition by {key})) "
-            "where v0 < v1 and sd > 0 and abs(v - m) / sd >= 3")
+            "where v0 < v1 and sd > 0 and abs(v - m) / sd >= 3 * (1 - 1e-9)")
 
 
 @query(f"with {_SNOW} select key, round(variance, 2) as variance from ({_VAR_OUT})")
 def prog_snow_variance(spark, sf_dir):
-    return rounded(programs.snow_variance(TraceContext(spark), _weather(spark, sf_dir), "id").output.df, 2, "variance")
+    return rounded(programs.snow_variance(TraceContext(spark), _stored(spark, sf_dir, "weather"), "id").output.df, 2, "variance")
 
 
 @query(_score_sql(_SNOW, "weather", _VAR_OUT, "variance > 6000",
                   _far("key", "cast(mm as double)", "(select * from k where key in (select key from o where variance > 6000))"),
                   "snow = '90in'"))
 def prog_snow_variance_score(spark, sf_dir):
-    return _score(programs.snow_variance(TraceContext(spark), _weather(spark, sf_dir), "id"))
+    return _score(programs.snow_variance(TraceContext(spark), _stored(spark, sf_dir, "weather"), "id"))
 
 
 _STATE_MEANS = f"""{_SNOW},
@@ -219,7 +223,7 @@ a as (select key, state, avg(cast(mm as double)) as mean from k group by 1, 2)""
 
 @query(f"with {_STATE_MEANS} select state, round(max(mean) - min(mean), 3) as delta from a group by 1")
 def prog_snow_state_range(spark, sf_dir):
-    return rounded(programs.snow_state_range(TraceContext(spark), _weather(spark, sf_dir), "id").output.df, 3, "delta")
+    return rounded(programs.snow_state_range(TraceContext(spark), _stored(spark, sf_dir, "weather"), "id").output.df, 3, "delta")
 
 
 @query(f"""with {_STATE_MEANS},
@@ -230,7 +234,7 @@ c as (select id, key, state, row_number() over (partition by key, state order by
 select distinct b.state, 'delta' as out_col, 'weather' as src, c.id as rid
 from b join c on b.key = c.key and b.state = c.state where (b.lo = 1 or b.hi = 1) and (c.lo <= 5 or c.hi <= 5)""")
 def prog_snow_state_range_edges(spark, sf_dir):
-    program = programs.snow_state_range(TraceContext(spark), _weather(spark, sf_dir), "id")
+    program = programs.snow_state_range(TraceContext(spark), _stored(spark, sf_dir, "weather"), "id")
     return program.output.edges(by_column=True)
 
 
@@ -241,7 +245,7 @@ _PEAKS = "select state, max(total) as peak from a group by 1"
 
 @query(f"with {_SUMS} select state, round(peak, 2) as peak from ({_PEAKS})")
 def prog_snow_state_peak(spark, sf_dir):
-    return rounded(programs.snow_state_peak(TraceContext(spark), _weather(spark, sf_dir), "id").output.df, 2, "peak")
+    return rounded(programs.snow_state_peak(TraceContext(spark), _stored(spark, sf_dir, "weather"), "id").output.df, 2, "peak")
 
 
 @query(_score_sql(_SUMS, "weather", _PEAKS, "peak > 10000", """select k.id from k join (
@@ -249,7 +253,7 @@ def prog_snow_state_peak(spark, sf_dir):
   where r = 1 and state in (select state from o where peak > 10000)) w on w.state = k.state and w.key = k.key""",
                   "snow = '90in'"))
 def prog_snow_state_peak_score(spark, sf_dir):
-    return _score(programs.snow_state_peak(TraceContext(spark), _weather(spark, sf_dir), "id"))
+    return _score(programs.snow_state_peak(TraceContext(spark), _stored(spark, sf_dir, "weather"), "id"))
 
 
 _STAYS = f"""{AIRPORT},
@@ -263,14 +267,14 @@ _STAY_OUT = "select airport, hour, cast(sum(stay) as bigint) as total from s gro
 
 @query(f"with {_STAYS} {_STAY_OUT}")
 def prog_airport_transit(spark, sf_dir):
-    return programs.airport_transit(TraceContext(spark), _airport(spark, sf_dir), "id").output.df
+    return programs.airport_transit(TraceContext(spark), _stored(spark, sf_dir, "airport"), "id").output.df
 
 
 @query(_score_sql(_STAYS, "a", _STAY_OUT, "total < 0", _far(
     "airport, hour", "stay", "(select s.* from s join o on o.airport = s.airport and o.hour = s.hour where o.total < 0)"),
     "stay < 0"))
 def prog_airport_transit_score(spark, sf_dir):
-    return _score(programs.airport_transit(TraceContext(spark), _airport(spark, sf_dir), "id"))
+    return _score(programs.airport_transit(TraceContext(spark), _stored(spark, sf_dir, "airport"), "id"))
 
 
 _CLASS = "case when speed > 40 then 'car' when speed > 15 then 'public' else 'onfoot' end"
@@ -280,17 +284,17 @@ _CLASS_OUT = "select class, avg(speed) as mean from k group by 1"
 
 @query(f"with {_SPEEDS} select class, round(mean, 8) as mean from ({_CLASS_OUT})")
 def prog_commute_type(spark, sf_dir):
-    return rounded(programs.commute_type(TraceContext(spark), _trips(spark, sf_dir), "id").output.df, 8, "mean")
+    return rounded(programs.commute_type(TraceContext(spark), _stored(spark, sf_dir, "trips"), "id").output.df, 8, "mean")
 
 
 @query(_score_sql(_SPEEDS, "s", _CLASS_OUT, "class = 'car'", """select id from (select id, row_number() over
   (order by speed desc, id) r from k where class = 'car') where r <= 1000""", "speed > 500"))
 def prog_commute_type_score(spark, sf_dir):
-    return _score(programs.commute_type(TraceContext(spark), _trips(spark, sf_dir), "id"))
+    return _score(programs.commute_type(TraceContext(spark), _stored(spark, sf_dir, "trips"), "id"))
 
 
 def _commute_join(spark, sf_dir):
-    trips = _trips(spark, sf_dir)
+    trips = _stored(spark, sf_dir, "trips")
     return programs.commute_join(TraceContext(spark), trips, "id", fx.zip_areas(trips))
 
 
@@ -315,13 +319,13 @@ _AGE_OUT = "select year, avg(age) as mean from students group by 1"
 
 @query(f"with {STUDENTS} select year, round(mean, 6) as mean from ({_AGE_OUT})")
 def prog_student_age(spark, sf_dir):
-    return rounded(programs.student_age(TraceContext(spark), _students(spark, sf_dir), "id").output.df, 6, "mean")
+    return rounded(programs.student_age(TraceContext(spark), _stored(spark, sf_dir, "students"), "id").output.df, 6, "mean")
 
 
 @query(_score_sql(STUDENTS, "students", _AGE_OUT, "mean > 30", _far(
     "year", "age", "(select * from students where year in (select year from o where mean > 30))"), "age > 30"))
 def prog_student_age_score(spark, sf_dir):
-    return _score(programs.student_age(TraceContext(spark), _students(spark, sf_dir), "id"))
+    return _score(programs.student_age(TraceContext(spark), _stored(spark, sf_dir, "students"), "id"))
 
 
 _RESULTS = f"""{EXAMS}, r as (select id, split_part(item, ':', 1) || case when cast(split_part(item, ':', 2) as integer) > 40
@@ -330,13 +334,13 @@ _RESULTS = f"""{EXAMS}, r as (select id, split_part(item, ':', 1) || case when c
 
 @query(f"with {_RESULTS} select result, count(*) as exams from r group by 1 having count(*) > 1")
 def prog_pass_fail(spark, sf_dir):
-    return programs.pass_fail(TraceContext(spark), _exams(spark, sf_dir), "id").output.df
+    return programs.pass_fail(TraceContext(spark), materialize(_exams(spark, sf_dir), "exams"), "id").output.df
 
 
 @query(f"""with {_RESULTS} select distinct result, 'student_grades' as src, id as rid from r
 where result in (select result from r group by 1 having count(*) > 1)""")
 def prog_pass_fail_edges(spark, sf_dir):
-    return programs.pass_fail(TraceContext(spark), _exams(spark, sf_dir), "id").output.edges(keep=["result"])
+    return programs.pass_fail(TraceContext(spark), materialize(_exams(spark, sf_dir), "exams"), "id").output.edges(keep=["result"])
 
 
 _POINTS = "case " + " ".join(f"when grade >= {g} then {p}" for g, p in GPA_STEPS) + " else 0.0 end"
@@ -348,15 +352,15 @@ _GPA_OUT = "select dept, avg(gpa) as mean, var_pop(gpa) as variance from c group
 
 @query(f"with {_GPA} select dept, round(mean, 6) as mean, round(variance, 6) as variance from ({_GPA_OUT})")
 def prog_gpa_two_level(spark, sf_dir):
-    out = programs.gpa_two_level(TraceContext(spark), fx.grades(_ids(spark, sf_dir)), "id").output
+    out = programs.gpa_two_level(TraceContext(spark), _stored(spark, sf_dir, "grades"), "id").output
     return rounded(out.df, 6, "mean", "variance")
 
 
 @query(_score_sql(_GPA, "grades", _GPA_OUT, "dept = 'CS'", """select id from p where course in (
   select course from (select course, gpa, avg(gpa) over () as m, stddev_pop(gpa) over () as sd from c where dept = 'CS')
-  where sd > 0 and abs(gpa - m) / sd >= 3)""", "course in ('CS9', 'CS11')"))
+  where sd > 0 and abs(gpa - m) / sd >= 3 * (1 - 1e-9))""", "course in ('CS9', 'CS11')"))
 def prog_gpa_two_level_score(spark, sf_dir):
-    return _score(programs.gpa_two_level(TraceContext(spark), fx.grades(_ids(spark, sf_dir)), "id"))
+    return _score(programs.gpa_two_level(TraceContext(spark), _stored(spark, sf_dir, "grades"), "id"))
 
 
 _GPA_VAR = "select dept, var_pop(points) as variance from p group by 1"
@@ -364,7 +368,7 @@ _GPA_VAR = "select dept, var_pop(points) as variance from p group by 1"
 
 @query(f"with {_GPA} select dept, round(variance, 6) as variance from ({_GPA_VAR})")
 def prog_gpa_variance(spark, sf_dir):
-    out = programs.gpa_variance(TraceContext(spark), fx.grades(_ids(spark, sf_dir)), "id").output
+    out = programs.gpa_variance(TraceContext(spark), _stored(spark, sf_dir, "grades"), "id").output
     return rounded(out.df, 6, "variance")
 
 
@@ -372,7 +376,7 @@ def prog_gpa_variance(spark, sf_dir):
     "dept", "points", "(select * from p where dept in (select dept from o where variance > 0.96))"),
     "course in ('CS9', 'CS11')"))
 def prog_gpa_variance_score(spark, sf_dir):
-    return _score(programs.gpa_variance(TraceContext(spark), fx.grades(_ids(spark, sf_dir)), "id"))
+    return _score(programs.gpa_variance(TraceContext(spark), _stored(spark, sf_dir, "grades"), "id"))
 
 
 _COURSES = f"""{ZEROS}, p as (select id, course, grade, trim(regexp_extract(course, '^([^0-9]*)', 1)) as dept from grades),
@@ -385,7 +389,7 @@ from r group by 1"""
 
 @query(f"with {_COURSES} select dept, round(low_mean, 6) as low_mean, round(high_mean, 6) as high_mean from ({_COURSE_OUT})")
 def prog_course_extremes(spark, sf_dir):
-    out = programs.course_extremes(TraceContext(spark), fx.grades_with_zeros(_ids(spark, sf_dir)), "id").output
+    out = programs.course_extremes(TraceContext(spark), _stored(spark, sf_dir, "grades_with_zeros"), "id").output
     return rounded(out.df, 6, "low_mean", "high_mean")
 
 
@@ -397,7 +401,7 @@ def prog_course_extremes(spark, sf_dir):
                   "course in ('Physics 401', 'Physics 402') and grade = 0"))
 def prog_course_extremes_score(spark, sf_dir):
     return _score(programs.course_extremes(
-        TraceContext(spark), fx.grades_with_zeros(_ids(spark, sf_dir)), "id"))
+        TraceContext(spark), _stored(spark, sf_dir, "grades_with_zeros"), "id"))
 
 
 @query("""with w as (select unnest(string_split(text, ' ')) as word from documents)
@@ -408,4 +412,4 @@ def prog_word_count(spark, sf_dir):
 
 @query(f"with {NUMBERS} select key, cast(sum(value) filter (where value > 300) as bigint) as total from numbers group by 1")
 def prog_keyed_conditional_sum(spark, sf_dir):
-    return programs.keyed_conditional_sum(TraceContext(spark), fx.keyed_numbers(_ids(spark, sf_dir)), "id").output.df
+    return programs.keyed_conditional_sum(TraceContext(spark), materialize(fx.keyed_numbers(_ids(spark, sf_dir)), "numbers"), "id").output.df
