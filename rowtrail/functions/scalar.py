@@ -63,6 +63,15 @@ def travel_class(speed: Column) -> Column:
     return F.when(speed > 40, "car").when(speed > 15, "public").otherwise("onfoot")
 
 
+def natural_log(x: Column) -> Column:
+    """IEEE logarithm: minus infinity at zero and NaN below (Spark's own gives null for both)."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log(x))
+
+
+def log_base_10(x: Column) -> Column:
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.log10(x))
+
+
 def floor_div(a: Column, b: Column) -> Column:
     """Integer division rounding towards minus infinity."""
     remainder = a % b

@@ -88,6 +88,11 @@ class TracedFrame:
     def tags_of(self, columns) -> set[Tag]:
         return set().union(*[self.tags[c] for c in columns])
 
+    def _unless_key(self, names) -> Group | None:
+        """``whole_group``, unless one of its key columns is replaced."""
+        group = self.whole_group
+        return None if group is not None and set(names) & set(group.keys) else group
+
     def _ids(self) -> list[Column]:
         return [col(c) for c in self.origins]
 
@@ -108,7 +113,8 @@ class TracedFrame:
                                 *[e.alias(n) for n, e in expressions.items()], *self._ids())
         row = frozenset(self.row_tags())
         tags = {n: self.tags[n] for n in names} | {n: row for n in expressions}
-        return self._with(kept, columns=[*names, *expressions], tags=tags)
+        return self._with(kept, columns=[*names, *expressions], tags=tags,
+                          whole_group=self._unless_key(expressions))
 
     def with_columns(self, expressions: dict[str, Column],
                      uses: list[str] | None = None) -> "TracedFrame":
@@ -116,7 +122,8 @@ class TracedFrame:
         inputs = frozenset(self.row_tags() if uses is None else self.tags_of(uses))
         columns = self.columns + [n for n in expressions if n not in self.columns]
         return self._with(self.full.withColumns(expressions), columns=columns,
-                          tags=self.tags | {n: inputs for n in expressions})
+                          tags=self.tags | {n: inputs for n in expressions},
+                          whole_group=self._unless_key(expressions))
 
     def derive(self, name: str, expression: Column, uses: list[str]) -> "TracedFrame":
         """A column computed from ``uses``: its lineage is the union of theirs."""

@@ -38,10 +38,11 @@ class Visit:
 
 
 def resolve(frame: TracedFrame, rows: DataFrame, tags: set[Tag], carry: list[str], stored: bool = False,
-            visits: list[Visit] | None = None, depth: int = 1) -> list[Reached]:
+            complete: bool = False, visits: list[Visit] | None = None, depth: int = 1) -> list[Reached]:
     """Ids of the source rows behind ``rows`` (rows of ``frame`` with extra columns ``carry``).
 
-    ``stored`` says that ``rows`` is a written table, so its true size is known to Catalyst.
+    ``stored``: ``rows`` is a written table, so Catalyst knows its size.  ``complete``: ``rows``
+    holds every row of the frame, so the stage below needs no filter by group key.
     """
     reached: list[Reached] = []
     for id_column, origin in frame.origins.items():
@@ -53,37 +54,51 @@ def resolve(frame: TracedFrame, rows: DataFrame, tags: set[Tag], carry: list[str
             found = present.select(*[col(c) for c in carry], col(id_column).alias(RID))
             reached.append(Reached(origin, found, frame.unique))
             continue
-        whole = rows is frame.full and frame.whole_group is origin
+        parent = origin.parent
+        all_groups = complete and frame.whole_group is origin
+        link = _links(origin, present, id_column, carry, stored, frame.unique, all_groups)
         for influence, value, parent_tags in origin.demands(parts):
-            kept = _group_rows(origin, present, id_column, influence, value, carry, whole,
-                               stored and frame.unique)
+            kept = _group_rows(origin, link, influence, value, carry, all_groups)
             if visits is not None:
-                visits.append(Visit(depth, origin.parent.name, kept.select(
-                    *[col(i) for i in origin.parent.origins]), origin.parent.unique))
-            reached += resolve(origin.parent, kept, parent_tags, carry, False, visits, depth + 1)
+                visits.append(Visit(depth, parent.name, kept.select(*[col(i) for i in parent.origins]),
+                                    parent.unique))
+            reached += resolve(parent, kept, parent_tags, carry, False,
+                               all_groups and isinstance(influence, All), visits, depth + 1)
     return reached
 
 
-def _group_rows(group: Group, present: DataFrame, id_column: str, influence, value: str | None,
-                carry: list[str], whole: bool, stored: bool) -> DataFrame:
-    """The influential input rows of the groups behind ``present``, with ``carry`` attached."""
-    parent, keys = group.parent, list(group.keys)
-    fields = {k: f"__k{i}" for i, k in enumerate(keys)}
-    link = present.select(*[col(c) for c in carry],
-                          *[col(id_column).getField(k).alias(f) for k, f in fields.items()])
-    names = list(fields.values())
+def _link_names(group: Group) -> dict[str, str]:
+    return {k: f"__k{i}" for i, k in enumerate(group.keys)}
+
+
+def _links(group: Group, present: DataFrame, id_column: str, carry: list[str], stored: bool, unique: bool,
+           all_groups: bool) -> DataFrame | None:
+    """Which groups are wanted, and for which carried output columns: (carry..., key fields).
+
+    The table is written (unless it is part of a written one): joins with the raw rows then see its
+    real size, and a small one is broadcast instead of shuffling the raw rows.
+    """
+    if all_groups and not carry:
+        return None
+    link = present.select(*[col(c) for c in carry], *[
+        col(id_column).getField(k).alias(f) for k, f in _link_names(group).items()])
+    if not (unique and not carry):
+        link = link.distinct()
+    return link if stored and unique else materialize(link, "links")
+
+
+def _group_rows(group: Group, link: DataFrame | None, influence, value: str | None, carry: list[str],
+                all_groups: bool) -> DataFrame:
+    """The influential input rows of the wanted groups, with the carried columns attached."""
+    parent, keys, names = group.parent, list(group.keys), list(_link_names(group).values())
     base = parent.full
-    if not whole:
-        wanted = link.select(*names)
-        # the wanted keys are written unless they already sit in a written table with unique rows:
-        # Catalyst then broadcasts them by their real size and the raw rows are not shuffled
-        wanted = wanted if stored else materialize(wanted.distinct(), "wanted-keys")
+    everything = isinstance(influence, All)
+    if not all_groups and not (carry and everything):
+        wanted = link.select(*names).distinct() if carry else link
         base = null_safe_join(base, wanted, keys, "left_semi", names)
-    kept = base if isinstance(influence, All) else influence.keep(
+    kept = base if everything else influence.keep(
         base, keys, col(value) if value else F.lit(None), list(parent.origins))
-    if carry:
-        kept = null_safe_join(kept, link.distinct(), keys, "inner", names)
-    return kept
+    return null_safe_join(kept, link, keys, "inner", names) if carry else kept
 
 
 def merged(reached: list[Reached], carry: list[str]) -> dict[str, DataFrame]:
@@ -113,13 +128,10 @@ def _edge_ids(frame: TracedFrame, keep: list[str], tags: set[Tag]) -> tuple[list
             kept = influence.keep(parent.full, list(group.keys), col(value) if value else F.lit(None),
                                   list(parent.origins))
             carried = kept.withColumns({c: col(k) for c, k in zip(carry, keep)})
-            reached += resolve(parent, carried, parent_tags, carry)
+            reached += resolve(parent, carried, parent_tags, carry, complete=isinstance(influence, All))
         return reached, carry
     rows = frame.full.withColumns({c: col(k) for c, k in zip(carry, keep)})
-    if any(isinstance(o, Group) for o in frame.origins.values()):
-        rows = materialize(rows, "outputs")
-        return resolve(frame, rows, tags, carry, stored=True), carry
-    return resolve(frame, rows, tags, carry), carry
+    return resolve(frame, rows, tags, carry, complete=group is not None), carry
 
 
 def edges(frame: TracedFrame, keep: list[str] | None, by_column: bool | list[str]) -> DataFrame:

@@ -204,19 +204,20 @@ def _batched_round(table: DataFrame, current: list[Interval], n: int, parts: int
     rows = rows.withColumn("__chunk", F.expr(f"__rank * {parts}L div {n}L")).drop("__rank", POS)
     partial = chunk_partials(program.prepare(rows), "__chunk", program)
 
-    def verdict(prefix: str) -> DataFrame:
-        taken = ["n", *program.folds]
-        renamed = partial.select(*[col(k) for k in program.keys], "__chunk",
-                                 *[col(prefix + name).alias(name) for name in taken])
-        return renamed.where(col("n") > 0).where(program.failing).select(
-            *[col(k) for k in program.keys], "__chunk", F.lit(prefix or "own_").alias("side"))
-
-    flags = verdict("").unionByName(verdict("rest_")).unionByName(verdict("all_"))
-    per_chunk = flags.groupBy("__chunk").agg(
-        F.count_if(col("side") == "own_").alias("own"), F.count_if(col("side") == "rest_").alias("rest"),
-        F.count_if(col("side") == "all_").alias("whole"))
-    failing_keys = (flags.where(col("side") == "all_").select(*[col(k) for k in program.keys])
-                    .distinct().agg(F.count(F.lit(1)).alias("keys")))
+    # three candidate outputs per (key, chunk): the chunk alone, the rest, and the whole
+    names = ["n", *program.folds]
+    sides = [F.struct(F.lit(side).alias("side"), *[col(prefix + name).alias(name) for name in names])
+             for side, prefix in (("own", ""), ("rest", "rest_"), ("whole", "all_"))]
+    first_of_key = col("__chunk") == F.min("__chunk").over(Window.partitionBy(*[col(k) for k in program.keys]))
+    outputs = partial.select(*[col(k) for k in program.keys], "__chunk", first_of_key.alias("__first"),
+                             F.explode(F.array(*sides)).alias("__out"))
+    outputs = outputs.select(*[col(k) for k in program.keys], "__chunk", "__first", "__out.*")
+    failing = outputs.where(col("n") > 0).where(program.failing)
+    per_chunk = failing.groupBy("__chunk").agg(
+        F.count_if(col("side") == "own").alias("own"), F.count_if(col("side") == "rest").alias("rest"),
+        F.count_if(col("side") == "whole").alias("whole"),
+        F.count_if((col("side") == "whole") & col("__first")).alias("__keys"))
+    failing_keys = per_chunk.agg(F.coalesce(F.sum("__keys"), F.lit(0)))
     # A failing key without rows in a chunk fails in that chunk's complement as well, so every
     # chunk is judged, also those in which nothing fails.
     every = table.sparkSession.range(parts).withColumnRenamed("id", "__chunk")

@@ -35,15 +35,15 @@ class Trace:
 
     def _requests(self):
         if self.rules is not None:
-            return [(self._target_rows.where(condition), self.frame.tags_of(columns))
+            return [(self._target_rows.where(condition), self.frame.tags_of(columns), False)
                     for condition, columns in self.rules]
         tags = self.frame.row_tags() if self.columns is None else self.frame.tags_of(self.columns)
-        return [(self._target_rows, tags)]
+        return [(self._target_rows, tags, self.where is None)]
 
     def _resolve(self, visits: list[Visit] | None = None) -> list[Reached]:
         reached: list[Reached] = []
-        for rows, tags in self._requests():
-            reached += resolve(self.frame, rows, tags, [], self._grouped, visits)
+        for rows, tags, complete in self._requests():
+            reached += resolve(self.frame, rows, tags, [], self._grouped, complete, visits)
         return reached
 
     @cached_property

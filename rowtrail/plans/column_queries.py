@@ -115,7 +115,7 @@ _MATH = [
     ("f_signum", lambda x: F.signum(x - 50), "cast(sign(x - 50) as double)"),
     ("f_sqrt", F.sqrt, "sqrt(x)"), ("f_cbrt", F.cbrt, "cbrt(x)"), ("f_pow", lambda x: F.pow(x, F.lit(1.5)), "pow(x, 1.5)"),
     ("f_exp", lambda x: F.exp(x / 100), "exp(x / 100)"), ("f_expm1", lambda x: F.expm1(x / 100), "exp(x / 100) - 1"),
-    ("f_log", F.log, "ln(x)"), ("f_log1p", F.log1p, "ln(1 + x)"), ("f_log10", F.log10, "log10(x)"),
+    ("f_log", scalar.natural_log, "ln(x)"), ("f_log1p", F.log1p, "ln(1 + x)"), ("f_log10", scalar.log_base_10, "log10(x)"),
     ("f_least", lambda x: F.least(x, F.lit(50.0)), "least(x, 50.0)"),
     ("f_greatest", lambda x: F.greatest(x, F.lit(50.0)), "greatest(x, 50.0)"),
     ("f_e_pi", lambda x: F.e() * F.pi() * x, "exp(1) * pi() * x"),
