@@ -72,20 +72,23 @@ class FoldedProgram:
 _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def chunk_partials(rows: DataFrame, chunk: str, program: FoldedProgram) -> DataFrame:
-    """Per (key, chunk): its own folds, those of the whole (``all_``) and of all other chunks
+def own_partials(rows: DataFrame, chunk: str, program: FoldedProgram) -> DataFrame:
+    """The folds of every (key, chunk)."""
+    return rows.groupBy(*[col(k) for k in program.keys], chunk).agg(
+        F.count(F.lit(1)).alias("__n"), *[f.expr.alias(name) for name, f in program.folds.items()])
+
+
+def chunk_partials(partial: DataFrame, chunk: str, program: FoldedProgram) -> DataFrame:
+    """Adds to :func:`own_partials` the folds of the whole (``all_``) and of all other chunks
     (``rest_``).  The rest is merged from running folds on both sides, so no inverse is needed and
     the work is linear in the number of chunks."""
-    keys = [col(k) for k in program.keys]
-    partial = rows.groupBy(*keys, chunk).agg(
-        F.count(F.lit(1)).alias("n"), *[f.expr.alias(name) for name, f in program.folds.items()])
     # one row per chunk of a key reaches these windows, never the raw rows
-    ordered = Window.partitionBy(*keys).orderBy(chunk)
+    whole = Window.partitionBy(*[col(k) for k in program.keys])
+    ordered = whole.orderBy(chunk)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     after = ordered.rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy(*keys)
     columns = {}
-    for name, merge in [("n", "sum"), *[(name, f.merge) for name, f in program.folds.items()]]:
+    for name, merge in [("__n", "sum"), *[(name, f.merge) for name, f in program.folds.items()]]:
         fold = _MERGE[merge]
         columns[f"all_{name}"] = fold(name).over(whole)
         left, right = fold(name).over(before), fold(name).over(after)
@@ -194,7 +197,8 @@ def _joined(intervals: list[Interval]) -> list[Interval]:
 
 def _batched_round(table: DataFrame, current: list[Interval], n: int, parts: int,
                    program: FoldedProgram) -> tuple[str, int] | None:
-    """Test all parts and complements in one job; only one summary row reaches the driver."""
+    """Test all parts in one job and, if none fails, all complements in another; one summary row
+    each reaches the driver."""
     rank, seen = None, 0
     for lo, hi in current:
         here = col(POS) - F.lit(lo - seen)
@@ -202,34 +206,35 @@ def _batched_round(table: DataFrame, current: list[Interval], n: int, parts: int
         seen += hi - lo
     rows = table.where(inside(current)).withColumn("__rank", rank)
     rows = rows.withColumn("__chunk", F.expr(f"__rank * {parts}L div {n}L")).drop("__rank", POS)
-    partial = chunk_partials(program.prepare(rows), "__chunk", program)
-
-    # three candidate outputs per (key, chunk): the chunk alone, the rest, and the whole
-    names = ["n", *program.folds]
-    sides = [F.struct(F.lit(side).alias("side"), *[col(prefix + name).alias(name) for name in names])
-             for side, prefix in (("own", ""), ("rest", "rest_"), ("whole", "all_"))]
-    first_of_key = col("__chunk") == F.min("__chunk").over(Window.partitionBy(*[col(k) for k in program.keys]))
-    outputs = partial.select(*[col(k) for k in program.keys], "__chunk", first_of_key.alias("__first"),
-                             F.explode(F.array(*sides)).alias("__out"))
-    outputs = outputs.select(*[col(k) for k in program.keys], "__chunk", "__first", "__out.*")
-    failing = outputs.where(col("n") > 0).where(program.failing)
+    partial = own_partials(program.prepare(rows), "__chunk", program)
+    if parts > 2:
+        partial = materialize(partial, "partials")
+    first = partial.where(program.failing).agg(F.min("__chunk").alias("part")).first()["part"]
+    if first is not None:
+        return "part", first
+    if parts <= 2:  # the complement of one half is the other
+        return None
+
+    keys = [col(k) for k in program.keys]
+    names = ["__n", *program.folds]
+    # candidate outputs per (key, chunk): everything but the chunk, and everything
+    sides = [F.struct(F.lit(prefix).alias("side"), *[col(f"{prefix}_{name}").alias(name) for name in names])
+             for prefix in ("rest", "all")]
+    first_of_key = col("__chunk") == F.min("__chunk").over(Window.partitionBy(*keys))
+    outputs = chunk_partials(partial, "__chunk", program).select(
+        *keys, "__chunk", first_of_key.alias("__first"), F.explode(F.array(*sides)).alias("__out"))
+    failing = (outputs.select(*keys, "__chunk", "__first", "__out.*")
+               .where(col("__n") > 0).where(program.failing))
     per_chunk = failing.groupBy("__chunk").agg(
-        F.count_if(col("side") == "own").alias("own"), F.count_if(col("side") == "rest").alias("rest"),
-        F.count_if(col("side") == "whole").alias("whole"),
-        F.count_if((col("side") == "whole") & col("__first")).alias("__keys"))
+        F.count_if(col("side") == "rest").alias("rest"), F.count_if(col("side") == "all").alias("whole"),
+        F.count_if((col("side") == "all") & col("__first")).alias("__keys"))
     failing_keys = per_chunk.agg(F.coalesce(F.sum("__keys"), F.lit(0)))
     # A failing key without rows in a chunk fails in that chunk's complement as well, so every
     # chunk is judged, also those in which nothing fails.
     every = table.sparkSession.range(parts).withColumnRenamed("id", "__chunk")
     judged = every.join(per_chunk, "__chunk", "left").na.fill(0).withColumn("keys", failing_keys.scalar())
-    first = judged.agg(
-        F.min(F.when(col("own") > 0, col("__chunk"))).alias("part"),
-        F.min(F.when(col("rest") + col("keys") - col("whole") > 0, col("__chunk"))).alias("complement")).first()
-    if first["part"] is not None:
-        return "part", first["part"]
-    if parts > 2 and first["complement"] is not None:
-        return "complement", first["complement"]
-    return None
+    first = judged.where(col("rest") + col("keys") - col("whole") > 0).agg(F.min("__chunk").alias("part")).first()
+    return ("complement", first["part"]) if first["part"] is not None else None
 
 
 def minimize_trace(trace, program, failing: Column | None = None, source: str | None = None,

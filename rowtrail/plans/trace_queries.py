@@ -8,7 +8,8 @@ from rowtrail.operators import aggregates as agg
 from rowtrail.operators.checks import is_max, is_min, is_missing
 from rowtrail.operators.influence import All, Bottom, Top
 from rowtrail.operators.keyed import col
-from rowtrail.operators.minimize import Fold, FoldedProgram, chunk_partials, minimize, minimize_trace
+from rowtrail.operators.minimize import (Fold, FoldedProgram, chunk_partials, minimize, minimize_trace,
+                                         own_partials)
 from rowtrail.plans.base import events, query, rounded, table
 from rowtrail.plans.lineage_queries import user_means
 from rowtrail.sources.ids import split_equal, with_position
@@ -140,8 +141,8 @@ def dd_batched_partials(spark, sf_dir):
     parts = split_equal(with_position(rows, ["event_id"]), 8, rows.count())
     program = FoldedProgram(["event_type"], {"own": Fold(F.sum("value")), "own_max": Fold(F.max("value"), "max")},
                             F.lit(True))
-    out = chunk_partials(parts, "part", program).select(
-        "event_type", "part", "n", "own", "own_max", F.col("rest_own").alias("rest"),
+    out = chunk_partials(own_partials(parts, "part", program), "part", program).select(
+        "event_type", "part", F.col("__n").alias("n"), "own", "own_max", F.col("rest_own").alias("rest"),
         F.col("rest_own_max").alias("rest_max"))
     return rounded(out, 2, "own", "rest")
 
