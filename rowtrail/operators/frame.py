@@ -212,6 +212,18 @@ class TracedFrame:
             plain = self.full.select(*[col(k) for k in keys]).distinct()
         return self._grouped(plain, keys, aggs, influence, value, name)
 
+    def fold_agg(self, keys: str | list[str], state: dict[str, Column], combine, results: dict[str, Column],
+                 uses: list[str], influence: Influence | None = None, name: str | None = None) -> "TracedFrame":
+        """A keyed fold of one's own (see ``folds.fold``).  ``results`` are computed from the final
+        state; ``uses`` are the input columns, the first being the value influences look at."""
+        from rowtrail.operators.folds import fold
+
+        keys = [keys] if isinstance(keys, str) else list(keys)
+        folded = fold(self.full, keys, state, combine)
+        plain = folded.select(*[col(k) for k in keys], *[e.alias(n) for n, e in results.items()])
+        aggs = {n: Agg(e, tuple(uses)) for n, e in results.items()}
+        return self._grouped(plain, keys, aggs, influence, uses[0] if influence else None, name)
+
     def _grouped(self, plain: DataFrame, keys, aggs, influence, value, name) -> "TracedFrame":
         group = Group(self, tuple(keys), dict(aggs), influence, value)
         id_column = self.ctx.origin_column()

@@ -8,10 +8,17 @@ from rowtrail.operators.keyed import col, null_safe_join
 from rowtrail.operators.lineage import RID
 
 
+def _pairs(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct (key, input row) pairs.  Edges are distinct as they come, so only dropping one of
+    their columns calls for another pass."""
+    wanted = [*keys, "src", RID]
+    pairs = edges.select(*[col(c) for c in wanted])
+    return pairs if set(wanted) == set(edges.columns) else pairs.distinct()
+
+
 def provenance_size(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Number of distinct input ids per output."""
-    pairs = edges.select(*[col(k) for k in keys], "src", RID).distinct()
-    return pairs.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("ids"))
+    return _pairs(edges, keys).groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("ids"))
 
 
 def provenance_bitmap(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +45,7 @@ def contains_all(larger: DataFrame, smaller: DataFrame, keys: list[str]) -> Data
     """Per key of ``smaller``: does ``larger`` hold all of its ids?  Compares (key, id) pairs, so
     the work spreads over ids even when one key dominates."""
     pair = [*keys, "src", RID]
-    known = larger.select(*[col(c) for c in pair]).distinct().withColumn("__known", F.lit(True))
-    checked = null_safe_join(smaller.select(*[col(c) for c in pair]), known, pair, "left")
+    known = _pairs(larger, keys).withColumn("__known", F.lit(True))
+    checked = null_safe_join(_pairs(smaller, keys), known, pair, "left")
     return checked.groupBy(*[col(k) for k in keys]).agg(
         F.every(F.coalesce(col("__known"), F.lit(False))).alias("contained"))

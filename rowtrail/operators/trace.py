@@ -69,27 +69,41 @@ class Trace:
     def rows(self, source: str | None = None) -> DataFrame:
         """The traced rows of one source, with all of its columns."""
         src = self._source(source)
-        return null_safe_join(src.df, self.ids(src.name), list(src.keys), "left_semi")
+        return self._match(src, self.ids(src.name), "left_semi")
+
+    @staticmethod
+    def _match(src, ids: DataFrame, how: str) -> DataFrame:
+        """Source rows joined with ids.  One key column is compared plainly (a row without id is
+        never traced), so that a source bucketed by its key needs no shuffle."""
+        if src.scalar_id:
+            joined = src.df.join(ids, src.keys[0], how)
+            return joined.select(*[col(c) for c in src.df.columns], *[
+                col(c) for c in ids.columns if c not in src.keys and how != "left_semi"])
+        return null_safe_join(src.df, ids, list(src.keys), how)
 
     def _judged(self, fault: Column, source: str | None) -> DataFrame:
         """Every source row with two flags: is it a fault, was it traced."""
         src = self._source(source)
         flagged = self.ids(src.name).withColumn("__traced", F.lit(True))
-        return (null_safe_join(src.df, flagged, list(src.keys), "left")
+        return (self._match(src, flagged, "left")
                 .withColumn("__fault", F.coalesce(fault, F.lit(False)))
                 .withColumn("__traced", F.coalesce(col("__traced"), F.lit(False))))
 
-    def metrics(self, fault: Column, source: str | None = None) -> DataFrame:
-        """One row: counts, precision, recall and yield of the trace against ``fault``."""
+    def metrics(self, fault: Column, source: str | None = None, count_outputs: bool = True) -> DataFrame:
+        """One row: counts, precision, recall and yield of the trace against ``fault``.
+
+        Counting all outputs runs the job once more; ``count_outputs=False`` leaves it null.
+        """
         traced, is_fault = col("__traced"), col("__fault")
         counts = self._judged(fault, source).agg(
             F.count(F.lit(1)).alias("input_count"), F.count_if(is_fault).alias("fault_count"),
             F.count_if(traced).alias("trace_count"), F.count_if(traced & is_fault).alias("correct_count"))
-        outputs = self.frame.full.agg(F.count(F.lit(1)))
+        outputs = (self.frame.full.agg(F.count(F.lit(1))).scalar() if count_outputs
+                   else F.lit(None).cast("bigint"))
         targets = self._target_rows.agg(F.count(F.lit(1)))
         correct = col("correct_count")
         return counts.select(
-            "input_count", outputs.scalar().alias("output_count"), targets.scalar().alias("target_count"),
+            "input_count", outputs.alias("output_count"), targets.scalar().alias("target_count"),
             "fault_count", "trace_count", "correct_count",
             (col("fault_count") - correct).alias("missing_count"),
             (col("trace_count") - correct).alias("extra_count"),
@@ -112,6 +126,14 @@ class Trace:
         return (faults.exceptAll(found).select(F.lit("untraced_fault").alias("kind"), *columns)
                 .unionByName(found.exceptAll(faults).select(F.lit("false_trace").alias("kind"), *columns)))
 
+    def show(self, fault: Column, source: str | None = None, limit: int = 10) -> None:
+        """Print up to ``limit`` targets, traced rows and disagreements, and the metrics."""
+        for title, df in (("targets", self.targets), ("traced rows", self.rows(source)),
+                          ("disagreements", self.diff(fault, source))):
+            print(f"{title} (at most {limit})")
+            df.show(limit, truncate=False)
+        self.metrics(fault, source).show(vertical=True)
+
     def stage_counts(self) -> DataFrame:
         """Rows the trace touches at every stage, from the targets (stage 0) to the sources."""
         visits: list[Visit] = []

@@ -84,7 +84,7 @@ def airport_transit(ctx: TraceContext, table: DataFrame, ident: str,
                     influence: Influence = Outlier()) -> Program:
     stay = minutes_between(col("arrival"), col("departure"))
     out = (ctx.source("airport", table, ident)
-           .select("airport", hour=F.split_part(col("departure"), F.lit(":"), F.lit(1)), stay=stay)
+           .select("airport", hour=F.substring_index(col("departure"), ":", 1), stay=stay)
            .where(col("stay") < 45)
            .group_agg(["airport", "hour"], {"total": agg.total("stay")}, influence))
     return Program(out, col("total") < 0, stay < 0)
@@ -119,10 +119,9 @@ def student_age(ctx: TraceContext, table: DataFrame, ident: str,
 
 def pass_fail(ctx: TraceContext, table: DataFrame, ident: str) -> Program:
     """Passed and failed exams per course, where there is more than one."""
-    exam = F.split(col("item"), ":")
     out = (ctx.source("student_grades", table, ident).explode("item", col("grades"))
-           .select(result=F.concat(F.get(exam, F.lit(0)), F.when(
-               F.get(exam, F.lit(1)).cast("int") > 40, " Pass").otherwise(" Fail")))
+           .select(result=F.concat(F.substring_index(col("item"), ":", 1), F.when(
+               F.substring_index(col("item"), ":", -1).cast("int") > 40, " Pass").otherwise(" Fail")))
            .group_agg("result", {"exams": agg.rows()}).where(col("exams") > 1))
     return Program(out)
 
