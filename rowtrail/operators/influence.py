@@ -12,7 +12,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from rowtrail.operators.keyed import attach_stats, col, first_rows, group_stats
+from rowtrail.operators.keyed import attach_stats, col, first_rows, group_stats, null_safe_join
+from rowtrail.scratch import materialize
 from rowtrail.sources.ids import ordered_chunks
 
 _V = "__v"
@@ -188,10 +189,11 @@ class SequentialOutlier(Influence):
     """One-pass outliers: rows that stood out from the rows before them (or are among the first
     ``warmup``) and that still stand out from the whole group.  "Before" is the order of the ids.
 
-    The running statistics are not computed over a whole group in one task: rows are
-    range-partitioned on (key, id); each (key, chunk) is summarised; the summaries (one row per
-    chunk of a key) give every chunk the statistics of all earlier ones; inside a chunk a running
-    window adds the rest.  Deviations are taken from the group mean, which keeps the sums stable.
+    A group is not run through in one task.  Rows are range-partitioned on (key, id) into chunks;
+    a group that spans chunks contains the first row of a chunk, so there are at most as many such
+    groups as chunks.  Only these need statistics from other chunks: a summary of at most two rows
+    per chunk, which is broadcast.  Everything else is a window within (key, chunk).  Deviations
+    are taken from the group mean, which keeps the running sums stable.
     """
 
     z: float = 3.0
@@ -200,39 +202,26 @@ class SequentialOutlier(Influence):
     def keep(self, rows, keys, value, ids):
         ks, v = [col(k) for k in keys], col(_V)
         chunked = ordered_chunks(_with_value(rows, value.cast("double")), [*keys, *ids])
-        partial = chunked.groupBy(*ks, "__chunk").agg(
-            F.count(F.lit(1)).alias("__n"), F.avg(_V).alias("__a"), F.var_pop(_V).alias("__s"),
-            F.min(_V).alias("__lo"), F.max(_V).alias("__hi"))
+        joined = null_safe_join(chunked, F.broadcast(self._spanning(chunked, keys)), [*keys, "__chunk"], "left")
 
-        whole = Window.partitionBy(*ks)
-        before = whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-        n, shift = col("__n"), col("__a") - col("__mean")
-        summary = (
-            partial.withColumn("__total", F.sum("__n").over(whole))
-            .withColumn("__mean", F.sum(n * col("__a")).over(whole) / col("__total"))
-            .withColumn("__sq", n * (col("__s") + shift * shift))
-            .withColumn("__sd", F.sqrt(F.sum("__sq").over(whole) / col("__total")))
-            .withColumn("__spread", F.max("__hi").over(whole) > F.min("__lo").over(whole))
-            .withColumn("__n0", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-            .withColumn("__d0", F.coalesce(F.sum(n * shift).over(before), F.lit(0.0)))
-            .withColumn("__q0", F.coalesce(F.sum("__sq").over(before), F.lit(0.0)))
-            .withColumn("__lo0", F.min("__lo").over(before))
-            .withColumn("__hi0", F.max("__hi").over(before))
-            .where(col("__spread") & (col("__sd") > 0))
-            .select(*ks, "__chunk", "__n", "__mean", "__sd", "__n0", "__d0", "__q0", "__lo0", "__hi0"))
-        joined = attach_stats(chunked, _stored(summary), [*keys, "__chunk"], ids)
-
-        prior = (Window.partitionBy(*ks, "__chunk").orderBy("__slot")
-                 .rowsBetween(Window.unboundedPreceding, -1))
+        inside = Window.partitionBy(*ks, "__chunk").orderBy("__slot")
+        all_rows = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        prior = inside.rowsBetween(Window.unboundedPreceding, -1)
         d = v - col("__mean")
+        zero = F.lit(0.0)
         ran = (joined
-               .withColumn("__pn", col("__n0") + F.count(_V).over(prior))
-               .withColumn("__pd", (col("__d0") + F.coalesce(F.sum(d).over(prior), F.lit(0.0)))
-                           / F.nullif(col("__pn"), F.lit(0)))
-               .withColumn("__pq", (col("__q0") + F.coalesce(F.sum(d * d).over(prior), F.lit(0.0)))
-                           / F.nullif(col("__pn"), F.lit(0)))
-               .withColumn("__plo", F.least(col("__lo0"), F.min(_V).over(prior)))
-               .withColumn("__phi", F.greatest(col("__hi0"), F.max(_V).over(prior))))
+               .withColumns({"__mean": F.coalesce(col("__mean"), F.avg(_V).over(all_rows)),
+                             "__sd": F.coalesce(col("__sd"), F.stddev_pop(_V).over(all_rows)),
+                             "__lo": F.coalesce(col("__lo"), F.min(_V).over(all_rows)),
+                             "__hi": F.coalesce(col("__hi"), F.max(_V).over(all_rows)),
+                             "__pn": F.coalesce(col("__n0"), F.lit(0)) + F.count(_V).over(prior),
+                             "__plo": F.least(col("__lo0"), F.min(_V).over(prior)),
+                             "__phi": F.greatest(col("__hi0"), F.max(_V).over(prior))})
+               .withColumns({"__pd": F.coalesce(col("__d0"), zero) + F.coalesce(F.sum(d).over(prior), zero),
+                             "__pq": F.coalesce(col("__q0"), zero) + F.coalesce(F.sum(d * d).over(prior), zero)})
+               .withColumns({"__pd": F.try_divide(col("__pd"), col("__pn")),
+                             "__pq": F.try_divide(col("__pq"), col("__pn"))})
+               .where((col("__lo") < col("__hi")) & (col("__sd") > 0)))
         prior_sd = F.sqrt(F.greatest(col("__pq") - col("__pd") * col("__pd"), F.lit(0.0)))
         prior_mean = col("__mean") + col("__pd")
         # with equal prior values any other value is infinitely far away
@@ -242,11 +231,29 @@ class SequentialOutlier(Influence):
         return (ran.where(_is_far(v, col("__mean"), col("__sd"), self.z) & on_arrival)
                 .select(*[col(c) for c in rows.columns]))
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    from rowtrail.scratch import materialize
-
-    return materialize(df, "summaries")
+    @staticmethod
+    def _spanning(chunked: DataFrame, keys: list[str]) -> DataFrame:
+        """Per (key, chunk) of the groups that may span chunks: statistics of the whole group and
+        of its earlier chunks."""
+        ks = [col(k) for k in keys]
+        heads = chunked.where(col("__slot") == 0).select(*ks).distinct()
+        partial = null_safe_join(chunked, F.broadcast(heads), keys, "left_semi").groupBy(*ks, "__chunk").agg(
+            F.count(F.lit(1)).alias("__n"), F.avg(_V).alias("__a"), F.var_pop(_V).alias("__s"),
+            F.min(_V).alias("__l"), F.max(_V).alias("__h"))
+        whole = Window.partitionBy(*ks)
+        before = whole.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        n, shift = col("__n"), col("__a") - col("__mean")
+        summary = (
+            partial.withColumn("__total", F.sum("__n").over(whole))
+            .withColumn("__mean", F.sum(n * col("__a")).over(whole) / col("__total"))
+            .withColumn("__sq", n * (col("__s") + shift * shift))
+            .withColumn("__sd", F.sqrt(F.sum("__sq").over(whole) / col("__total")))
+            .withColumn("__lo", F.min("__l").over(whole)).withColumn("__hi", F.max("__h").over(whole))
+            .withColumn("__n0", F.sum("__n").over(before)).withColumn("__d0", F.sum(n * shift).over(before))
+            .withColumn("__q0", F.sum("__sq").over(before))
+            .withColumn("__lo0", F.min("__l").over(before)).withColumn("__hi0", F.max("__h").over(before)))
+        return materialize(summary.select(*ks, "__chunk", "__mean", "__sd", "__lo", "__hi", "__n0", "__d0", "__q0",
+                                          "__lo0", "__hi0"), "summaries")
 
 
 @dataclass(frozen=True)

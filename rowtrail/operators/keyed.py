@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtrail.scratch import materialize, shuffle_width
 
@@ -12,6 +12,8 @@ from rowtrail.scratch import materialize, shuffle_width
 BROADCAST_ROWS = 100_000
 # A key is hot when it holds at least 1/HOT_SHARE of the rows, so at most HOT_SHARE keys are hot.
 HOT_SHARE = 256
+# Up to this many rows per key and map task, one reducer per key is enough (see first_rows).
+ONE_ROUND_ROWS = 32
 
 
 def col(name: str) -> Column:
@@ -63,17 +65,18 @@ def attach_stats(rows: DataFrame, stats: DataFrame, keys: list[str],
 def first_rows(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of every group.
 
-    Two rounds: within (key, slice of input partitions), then per key over the survivors.  Each
-    round prunes map-side (WindowGroupLimit), so a hot key never meets in one task: the last one
-    sees at most n rows per slice.
+    The rank is pruned before the shuffle (WindowGroupLimit), so a reducer receives at most ``n``
+    rows of a key per map task, however large the group is.  For small ``n`` that is one shuffle
+    of few rows.  For larger ``n`` the survivors of a hot key could still be many, so they are
+    ranked per (key, slice of input partitions) first: the last task sees n rows per slice.
     """
-    from pyspark.sql import Window
-
     by_key = [col(k) for k in keys]
-    slices = max(2, shuffle_width(rows.sparkSession))
-    sliced = rows.withColumn("__slice", F.spark_partition_id() % F.lit(slices))
-    local = Window.partitionBy(*by_key, "__slice").orderBy(*order)
+    survivors = rows
+    if n > ONE_ROUND_ROWS:
+        slices = max(2, shuffle_width(rows.sparkSession))
+        sliced = rows.withColumn("__slice", F.spark_partition_id() % F.lit(slices))
+        local = Window.partitionBy(*by_key, "__slice").orderBy(*order)
+        survivors = (sliced.withColumn("__rn", F.row_number().over(local)).where(col("__rn") <= n)
+                     .drop("__slice", "__rn"))
     final = Window.partitionBy(*by_key).orderBy(*order)
-    survivors = (sliced.withColumn("__rn", F.row_number().over(local)).where(col("__rn") <= n)
-                 .drop("__slice", "__rn"))
     return survivors.withColumn("__rn", F.row_number().over(final)).where(col("__rn") <= n).drop("__rn")

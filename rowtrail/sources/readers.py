@@ -14,6 +14,19 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+FILE_KEYS = ["__file", "__position"]
+
+
+def read_parquet_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Read parquet with a stable identity per row: its file and its position in that file.
+
+    Register it with ``keys=FILE_KEYS``; the identity needs no shuffle and no copy of the data.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    return spark.read.parquet(*paths).select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__position"))
+
+
 def parse_lines(lines: DataFrame, schema: T.StructType, separator: str = ",",
                 line: str = "value") -> tuple[DataFrame, DataFrame]:
     """Split text lines into typed columns.

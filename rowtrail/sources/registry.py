@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from rowtrail.operators.frame import TracedFrame
 from rowtrail.operators.keyed import col
-from rowtrail.sources.ids import with_position
+from rowtrail.scratch import materialize
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -45,12 +45,16 @@ class TraceContext:
 
     def source(self, name: str, df: DataFrame, keys: str | list[str] | None = None,
                column_lineage: bool = False) -> TracedFrame:
-        """Register ``df``.  ``keys`` must identify its rows; without them each row gets a number
-        that is stored with the data (``__row``), because a recomputed number could change."""
+        """Register ``df``.  ``keys`` must identify its rows.
+
+        Without keys each row gets a unique number, and the numbered table is written once (no
+        shuffle), because a recomputed number could change.  Tables read with
+        ``readers.read_parquet_rows`` have stable keys without that copy.
+        """
         if name in self.sources:
             raise ValueError(f"source {name!r} is registered already")
         if keys is None:
-            df, keys = with_position(df, df.columns, "__row"), ["__row"]
+            df, keys = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "numbered"), ["__row"]
         keys = [keys] if isinstance(keys, str) else list(keys)
         registered = Source(name, df, tuple(keys))
         self.sources[name] = registered

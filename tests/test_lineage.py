@@ -162,3 +162,32 @@ def test_bad_requests(ctx, sales):
         frame.group_agg([], {"n": agg.rows()})
     with pytest.raises(ValueError):
         frame.group_agg("shop", {"n": agg.rows()}, Max())
+
+
+def test_custom_fold(ctx, spark):
+    from rowtrail.operators.folds import combine_moments
+
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 != 0, "hot").alias("k"),
+                                    (F.col("id") % 101).cast("double").alias("v")).repartition(9)
+    out = ctx.source("t", df, "id").fold_agg(
+        "k", {"n": F.lit(1).cast("bigint"), "mean": F.col("v"), "m2": F.lit(0.0)}, combine_moments,
+        {"mean": F.col("mean"), "variance": F.col("m2") / F.col("n")}, uses=["v"], influence=Top(2))
+    want = {r["k"]: (r["m"], r["s"]) for r in
+            df.groupBy("k").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s")).collect()}
+    got = {r["k"]: (r["mean"], r["variance"]) for r in out.df.collect()}
+    assert got.keys() == want.keys() == {"hot", None}
+    for key, values in got.items():
+        assert values == pytest.approx(want[key], rel=1e-12)
+    assert len(pairs(out.trace(F.col("k") == "hot").ids(), "id")) == 2
+
+
+def test_user_functions_as_columns(ctx, sales):
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def doubled(v: pd.Series) -> pd.Series:
+        return v * 2
+
+    out = (ctx.source("sales", sales, "id", column_lineage=True).derive("d", doubled("amount"), uses=["amount"])
+           .group_agg("shop", {"hi": agg.largest("d")}))
+    assert pairs(out.edges(by_column=True).where("shop = 'x'"), "out_col", "rid") == [("hi", 2)]
