@@ -69,17 +69,25 @@ class Trace:
     def rows(self, source: str | None = None) -> DataFrame:
         """The traced rows of one source, with all of its columns."""
         src = self._source(source)
-        return self._match(src, self.ids(src.name), "left_semi")
+        ids = self.ids(src.name)
+        if src.integral_id():
+            # the id range as literals reaches the scan and skips files and row groups outside it
+            key = src.keys[0]
+            low, high = ids.agg(F.min(col(key)), F.max(col(key))).first()
+            inside = F.lit(False) if low is None else col(key).between(low, high)
+            return self._match(src, ids, "left_semi", src.df.where(inside))
+        return self._match(src, ids, "left_semi")
 
     @staticmethod
-    def _match(src, ids: DataFrame, how: str) -> DataFrame:
+    def _match(src, ids: DataFrame, how: str, rows: DataFrame | None = None) -> DataFrame:
         """Source rows joined with ids.  One key column is compared plainly (a row without id is
         never traced), so that a source bucketed by its key needs no shuffle."""
+        rows = src.df if rows is None else rows
         if src.scalar_id:
-            joined = src.df.join(ids, src.keys[0], how)
+            joined = rows.join(ids, src.keys[0], how)
             return joined.select(*[col(c) for c in src.df.columns], *[
                 col(c) for c in ids.columns if c not in src.keys and how != "left_semi"])
-        return null_safe_join(src.df, ids, list(src.keys), how)
+        return null_safe_join(rows, ids, list(src.keys), how)
 
     def _judged(self, fault: Column, source: str | None) -> DataFrame:
         """Every source row with two flags: is it a fault, was it traced."""

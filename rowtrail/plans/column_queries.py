@@ -29,6 +29,22 @@ def col_derive(spark, sf_dir):
     return frame.edges(by_column=True)
 
 
+@query("""with r as (select event_type, event_id, row_number() over (partition by event_type order by props, event_id) lo,
+  row_number() over (partition by event_type order by value desc, event_id) hi from events)
+select event_type, unnest(['first', 'digits', 'size']) as out_col, 'events' as src, event_id as rid from r where lo = 1
+union all select event_type, 'whole', 'events', event_id from r where hi = 1
+union all select event_type, 'text', 'events', event_id from r where lo = 1 or hi = 1""")
+def col_string(spark, sf_dir):
+    """String functions and casts keep the lineage of their arguments."""
+    frame = events(spark, sf_dir, column_lineage=True).group_agg(
+        "event_type", {"first": agg.smallest("props"), "hi": agg.largest("value")})
+    frame = (frame.derive("digits", F.regexp_extract("first", "([0-9]+)", 1).try_cast("int"), uses=["first"])
+             .derive("size", F.length("first"), uses=["first"])
+             .derive("whole", F.col("hi").cast("int"), uses=["hi"])
+             .derive("text", F.substring(F.col("first"), F.lit(1), F.col("whole")), uses=["first", "whole"]))
+    return frame.edges(by_column=["first", "digits", "size", "whole", "text"])
+
+
 @query(f"""{_ENDS}
 select event_type, 'label' as out_col, 'events' as src, event_id as rid from r where hi = 1
 union all select event_type, 'price', 'events', event_id from r where lo = 1 or hi = 1""")

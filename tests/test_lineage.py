@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowtrail import aggregates as agg
-from rowtrail.operators.influence import All, Bottom, Max, Top
+from rowtrail.operators.influence import All, Bottom, Max, MaxTies, Outlier, SequentialOutlier, Top, Union
 from rowtrail.operators.provenance import (bitmap_size, bitmap_union, contains_all, provenance_bitmap,
                                            provenance_size)
 
@@ -152,6 +152,22 @@ def test_set_forms(ctx, spark):
     assert pairs(contains_all(even, edges, ["k"]), "contained") == [(False,)] * 3
 
 
+@pytest.mark.parametrize("influence", [None, Max(), Top(50), Bottom(2), MaxTies(), Outlier(), SequentialOutlier(),
+                                       Union(Top(1), Bottom(1))], ids=lambda i: type(i).__name__)
+def test_empty_inputs_and_targets(ctx, sales, influence):
+    source = ctx.source("sales", sales, "id")
+    out = source.where(F.col("amount") > 1000).group_agg("shop", {"s": agg.total("amount")}, influence)
+    assert out.count() == 0 and out.edges().isEmpty() and out.trace().rows().isEmpty()
+    some = source.group_agg("shop", {"s": agg.total("amount")}, influence)
+    trace = some.trace(F.col("s") > 1000)
+    assert trace.targets.isEmpty() and trace.ids().isEmpty() and trace.rows().isEmpty()
+
+
+def test_trace_of_a_source_level_frame(ctx, sales):
+    frame = ctx.source("sales", sales, "id").select("shop", double=F.col("amount") * 2)
+    assert pairs(frame.trace(F.col("double") > 15).rows(), "id", "amount") == [(1, 10.0), (2, 30.0), (5, 9.0)]
+
+
 def test_bad_requests(ctx, sales):
     frame = ctx.source("sales", sales, "id")
     with pytest.raises(ValueError):
