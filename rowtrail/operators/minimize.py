@@ -125,66 +125,57 @@ def minimize(candidates: DataFrame, ids: list[str], program, failing: Column | N
              threshold: int = 1) -> Minimal:
     """Shrink ``candidates`` to a minimal subset on which the program still fails.
 
-    ``program`` is a :class:`FoldedProgram` (one Spark job per round tests all parts and all
-    complements) or a function ``DataFrame -> DataFrame`` tested with ``failing`` (one job per
-    test).  Order of the search: parts from first to last, then complements from first to last,
-    then twice as many parts; it ends at ``threshold`` rows or when nothing smaller fails.
+    ``program`` is a :class:`FoldedProgram` or a function ``DataFrame -> DataFrame`` tested with
+    ``failing`` (one Spark job per test).  Order of the search: parts from first to last, then
+    complements from first to last, then twice as many parts; it ends at ``threshold`` rows or
+    when nothing smaller fails.
+
+    With a folded program one job answers several rounds of halving at once, and otherwise all
+    parts of a round (and, if none fails, all complements in a second job).
     """
     table = store_candidates(candidates, ids)
     total = table.count()
-    folded = isinstance(program, FoldedProgram)
-
-    def fails(intervals: list[Interval]) -> bool:
-        subset = table.where(inside(intervals)).drop(POS)
-        if folded:
-            subset = program.prepare(subset)
-            out = subset.groupBy(*[col(k) for k in program.keys]).agg(
-                *[f.expr.alias(n) for n, f in program.folds.items()])
-            return not out.where(program.failing).isEmpty()
-        return not program(subset).where(failing).isEmpty()
-
-    def search(current: list[Interval], parts: int) -> tuple[str, int] | None:
-        n = size_of(current)
-        bounds = chunk_bounds(n, parts)
-        if folded:
-            return _batched_round(table, current, n, parts, program)
-        for j in range(parts):
-            if fails(ranks_between(current, bounds[j], bounds[j + 1])):
-                return "part", j
-        for j in range(parts if parts > 2 else 0):  # with two parts a complement is the other part
-            rest = ranks_between(current, 0, bounds[j]) + ranks_between(current, bounds[j + 1], n)
-            if fails(rest):
-                return "complement", j
-        return None
+    if isinstance(program, FoldedProgram):
+        search = _FoldedSearch(table, program)
+    else:
+        search = _TestedSearch(table, program, failing)
 
     current: list[Interval] = [(0, total)]
     rounds: list[tuple] = []
     started = time.time()
-    failed = total > 0 and fails(current)
+    failed = total > 0 and search.fails(current)
     rounds.append((0, total, 1, "whole" if failed else "none", None, time.time() - started))
     parts = 2
     while failed and size_of(current) > threshold:
         n = size_of(current)
         parts = min(parts, n)
         started = time.time()
-        found = search(current, parts)
+        found = search.next(current, parts)
         kind, j = found if found else ("none", None)
         rounds.append((len(rounds), n, parts, kind, j, time.time() - started))
         if found is None:
             if parts >= n:
                 break
             parts = min(n, parts * 2)
-            continue
-        bounds = chunk_bounds(n, parts)
-        if kind == "part":
-            current, parts = ranks_between(current, bounds[j], bounds[j + 1]), 2
+        elif kind == "part":
+            current, parts = part_of(current, parts, j), 2
         else:
-            current = ranks_between(current, 0, bounds[j]) + ranks_between(current, bounds[j + 1], n)
-            current, parts = _joined(current), max(parts - 1, 2)
+            current, parts = rest_of(current, parts, j), max(parts - 1, 2)
     kept = table.where(inside(current) if failed else F.lit(False)).drop(POS)
     return Minimal(kept, size_of(current) if failed else 0, failed, rounds)
 
 
+def part_of(current: list[Interval], parts: int, j: int) -> list[Interval]:
+    bounds = chunk_bounds(size_of(current), parts)
+    return ranks_between(current, bounds[j], bounds[j + 1])
+
+
+def rest_of(current: list[Interval], parts: int, j: int) -> list[Interval]:
+    n = size_of(current)
+    bounds = chunk_bounds(n, parts)
+    return _joined(ranks_between(current, 0, bounds[j]) + ranks_between(current, bounds[j + 1], n))
+
+
 def _joined(intervals: list[Interval]) -> list[Interval]:
     out: list[Interval] = []
     for lo, hi in intervals:
@@ -195,46 +186,122 @@ def _joined(intervals: list[Interval]) -> list[Interval]:
     return out
 
 
-def _batched_round(table: DataFrame, current: list[Interval], n: int, parts: int,
-                   program: FoldedProgram) -> tuple[str, int] | None:
-    """Test all parts in one job and, if none fails, all complements in another; one summary row
-    each reaches the driver."""
+def _rank(current: list[Interval]) -> Column:
+    """Number of a row within the current subset, from its position."""
     rank, seen = None, 0
     for lo, hi in current:
         here = col(POS) - F.lit(lo - seen)
         rank = here if rank is None else F.when(col(POS) >= lo, here).otherwise(rank)
         seen += hi - lo
-    rows = table.where(inside(current)).withColumn("__rank", rank)
-    rows = rows.withColumn("__chunk", F.expr(f"__rank * {parts}L div {n}L")).drop("__rank", POS)
-    partial = own_partials(program.prepare(rows), "__chunk", program)
-    if parts > 2:
-        partial = materialize(partial, "partials")
-    first = partial.where(program.failing).agg(F.min("__chunk").alias("part")).first()["part"]
-    if first is not None:
-        return "part", first
-    if parts <= 2:  # the complement of one half is the other
+    return rank
+
+
+class _TestedSearch:
+    """An arbitrary program: one job per tested subset."""
+
+    def __init__(self, table: DataFrame, program: Callable[[DataFrame], DataFrame], failing: Column):
+        self.table, self.program, self.failing = table, program, failing
+
+    def fails(self, intervals: list[Interval]) -> bool:
+        out = self.program(self.table.where(inside(intervals)).drop(POS))
+        return not out.where(self.failing).isEmpty()
+
+    def next(self, current: list[Interval], parts: int) -> tuple[str, int] | None:
+        for j in range(parts):
+            if self.fails(part_of(current, parts, j)):
+                return "part", j
+        for j in range(parts if parts > 2 else 0):  # the complement of one half is the other
+            if self.fails(rest_of(current, parts, j)):
+                return "complement", j
         return None
 
-    keys = [col(k) for k in program.keys]
-    names = ["__n", *program.folds]
-    # candidate outputs per (key, chunk): everything but the chunk, and everything
-    sides = [F.struct(F.lit(prefix).alias("side"), *[col(f"{prefix}_{name}").alias(name) for name in names])
-             for prefix in ("rest", "all")]
-    first_of_key = col("__chunk") == F.min("__chunk").over(Window.partitionBy(*keys))
-    outputs = chunk_partials(partial, "__chunk", program).select(
-        *keys, "__chunk", first_of_key.alias("__first"), F.explode(F.array(*sides)).alias("__out"))
-    failing = (outputs.select(*keys, "__chunk", "__first", "__out.*")
-               .where(col("__n") > 0).where(program.failing))
-    per_chunk = failing.groupBy("__chunk").agg(
-        F.count_if(col("side") == "rest").alias("rest"), F.count_if(col("side") == "all").alias("whole"),
-        F.count_if((col("side") == "all") & col("__first")).alias("__keys"))
-    failing_keys = per_chunk.agg(F.coalesce(F.sum("__keys"), F.lit(0)))
-    # A failing key without rows in a chunk fails in that chunk's complement as well, so every
-    # chunk is judged, also those in which nothing fails.
-    every = table.sparkSession.range(parts).withColumnRenamed("id", "__chunk")
-    judged = every.join(per_chunk, "__chunk", "left").na.fill(0).withColumn("keys", failing_keys.scalar())
-    first = judged.where(col("rest") + col("keys") - col("whole") > 0).agg(F.min("__chunk").alias("part")).first()
-    return ("complement", first["part"]) if first["part"] is not None else None
+
+HALVINGS = 6
+
+
+class _FoldedSearch:
+    """A folded program: partial folds per chunk decide many subsets in one job."""
+
+    def __init__(self, table: DataFrame, program: FoldedProgram):
+        self.table, self.program = table, program
+        self.keys = [col(k) for k in program.keys]
+        self.known: dict[tuple[Interval, ...], bool] = {}  # halves judged ahead
+
+    def fails(self, intervals: list[Interval]) -> bool:
+        if tuple(intervals) not in self.known:
+            self._judge_halves(intervals)
+        return self.known[tuple(intervals)]
+
+    def next(self, current: list[Interval], parts: int) -> tuple[str, int] | None:
+        if parts == 2:
+            halves = [part_of(current, 2, j) for j in range(2)]
+            if tuple(halves[0]) not in self.known:
+                self._judge_halves(current)
+            return next((("part", j) for j in range(2) if self.fails(halves[j])), None)
+        return self._round(current, parts)
+
+    def _judge_halves(self, current: list[Interval]) -> None:
+        """Judge ``current``, its halves, their halves and so on, from one scan.
+
+        Rows are folded per smallest piece; every piece then counts for all pieces around it.
+        Pieces are numbered like a binary heap, so the piece around n is n // 2.
+        """
+        pieces: dict[int, list[Interval]] = {1: current}
+        starts = {1: 0}
+
+        def cut(node: int, depth: int) -> Column:
+            n = size_of(pieces[node])
+            if depth == HALVINGS or n < 2:
+                return F.lit(node)
+            left, right = 2 * node, 2 * node + 1
+            pieces[left], pieces[right] = part_of(pieces[node], 2, 0), part_of(pieces[node], 2, 1)
+            starts[left], starts[right] = starts[node], starts[node] + size_of(pieces[left])
+            return F.when(col("__rank") < starts[right], cut(left, depth + 1)).otherwise(cut(right, depth + 1))
+
+        smallest = cut(1, 0)
+        rows = (self.table.where(inside(current)).withColumn("__rank", _rank(current))
+                .withColumn("__piece", smallest).drop("__rank", POS))
+        partial = own_partials(self.program.prepare(rows), "__piece", self.program)
+        around = F.explode(F.array(*[F.shiftright("__piece", i) for i in range(HALVINGS + 1)]))
+        folds = self.program.folds
+        outputs = (partial.withColumn("__node", around).where(col("__node") > 0).groupBy(*self.keys, "__node")
+                   .agg(*[_MERGE[f.merge](name).alias(name) for name, f in folds.items()]))
+        failing = outputs.where(self.program.failing).select("__node").distinct()
+        found = {r["__node"] for r in failing.collect()}  # at most 2 ** (HALVINGS + 1) numbers
+        self.known = {tuple(piece): node in found for node, piece in pieces.items()}
+
+    def _round(self, current: list[Interval], parts: int) -> tuple[str, int] | None:
+        """All parts in one job; if none fails, all complements in another.  One summary row each
+        reaches the driver."""
+        program, keys = self.program, self.keys
+        n = size_of(current)
+        rows = self.table.where(inside(current)).withColumn("__rank", _rank(current))
+        rows = rows.withColumn("__chunk", F.expr(f"__rank * {parts}L div {n}L")).drop("__rank", POS)
+        partial = materialize(own_partials(program.prepare(rows), "__chunk", program), "partials")
+        first = partial.where(program.failing).agg(F.min("__chunk").alias("part")).first()["part"]
+        if first is not None:
+            return "part", first
+
+        names = ["__n", *program.folds]
+        # candidate outputs per (key, chunk): everything but the chunk, and everything
+        sides = [F.struct(F.lit(prefix).alias("side"), *[col(f"{prefix}_{name}").alias(name) for name in names])
+                 for prefix in ("rest", "all")]
+        first_of_key = col("__chunk") == F.min("__chunk").over(Window.partitionBy(*keys))
+        outputs = chunk_partials(partial, "__chunk", program).select(
+            *keys, "__chunk", first_of_key.alias("__first"), F.explode(F.array(*sides)).alias("__out"))
+        failing = (outputs.select(*keys, "__chunk", "__first", "__out.*")
+                   .where(col("__n") > 0).where(program.failing))
+        per_chunk = failing.groupBy("__chunk").agg(
+            F.count_if(col("side") == "rest").alias("rest"), F.count_if(col("side") == "all").alias("whole"),
+            F.count_if((col("side") == "all") & col("__first")).alias("__keys"))
+        failing_keys = per_chunk.agg(F.coalesce(F.sum("__keys"), F.lit(0)))
+        # A failing key without rows in a chunk fails in that chunk's complement as well, so every
+        # chunk is judged, also those in which nothing fails.
+        every = self.table.sparkSession.range(parts).withColumnRenamed("id", "__chunk")
+        judged = every.join(per_chunk, "__chunk", "left").na.fill(0).withColumn("keys", failing_keys.scalar())
+        first = (judged.where(col("rest") + col("keys") - col("whole") > 0)
+                 .agg(F.min("__chunk").alias("part")).first()["part"])
+        return ("complement", first) if first is not None else None
 
 
 def minimize_trace(trace, program, failing: Column | None = None, source: str | None = None,
