@@ -21,7 +21,8 @@ from rowtrail.scratch import shuffle_width
 # Executors receive these functions by value, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# (states, key columns) -> one row per key with the same columns; should be vectorized
+# (states, key columns) -> fewer rows with the same columns, at best one per key; should be
+# vectorized over the keys
 Combine = Callable[[pd.DataFrame, list[str]], pd.DataFrame]
 
 

@@ -216,7 +216,7 @@ class TracedFrame:
                  uses: list[str], influence: Influence | None = None, name: str | None = None) -> "TracedFrame":
         """A keyed fold of one's own (see ``folds.fold``).  ``results`` are computed from the final
         state; ``uses`` are the input columns, the first being the value influences look at."""
-        from rowtrail.operators.folds import fold
+        from rowtrail.operators.folds import fold  # pandas is needed only here
 
         keys = [keys] if isinstance(keys, str) else list(keys)
         folded = fold(self.full, keys, state, combine)

@@ -2,7 +2,8 @@
 
 Each operator turns the keyed input rows into the kept ones, as a relational filter or rank.
 ``keep`` gets the rows, the key columns, the value expression and the id columns (the
-tie-break, so results do not depend on partitioning).  Null and NaN values never rank.
+tie-break, so results do not depend on partitioning); its result has at least the key and id
+columns.  Null and NaN values never rank.
 """
 
 from __future__ import annotations
@@ -147,10 +148,11 @@ class Union(Influence):
         object.__setattr__(self, "parts", tuple(parts))
 
     def keep(self, rows, keys, value, ids):
-        kept = self.parts[0].keep(rows, keys, value, ids)
+        needed = [col(c) for c in [*keys, *ids]]
+        kept = self.parts[0].keep(rows, keys, value, ids).select(*needed)
         for part in self.parts[1:]:
-            kept = kept.unionByName(part.keep(rows, keys, value, ids))
-        return kept.dropDuplicates([*keys, *ids])
+            kept = kept.unionByName(part.keep(rows, keys, value, ids).select(*needed))
+        return kept.distinct()
 
     def inverted(self):
         return Union(*[part.inverted() for part in self.parts])
@@ -264,3 +266,21 @@ class Custom(Influence):
 
     def keep(self, rows, keys, value, ids):
         return self.fn(rows, keys, value, ids).select(*[col(c) for c in rows.columns])
+
+
+@dataclass(frozen=True)
+class Procedural(Influence):
+    """A choice written in pandas: ``prune(rows, keys)`` drops rows that cannot count.
+
+    ``rows`` has the key and id columns and ``value``.  It is applied to parts of a group before
+    the group (per batch, per slice of partitions), so it must not matter whether a row is dropped
+    early: prune(prune(A) + prune(B)) = prune(A + B).
+    """
+
+    prune: Callable
+
+    def keep(self, rows, keys, value, ids):
+        from rowtrail.operators.folds import fold
+
+        state = {i: col(i) for i in ids} | {"value": value}
+        return fold(rows, keys, state, self.prune).drop("value")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowtrail.operators import aggregates as agg
 from rowtrail.operators.influence import (AbsTop, All, Bottom, Converted, Custom, Max, MaxTies, Min, MinTies,
-                                          Outlier, SequentialOutlier, Top, Union, Where)
+                                          Outlier, Procedural, SequentialOutlier, Top, Union, Where)
 from rowtrail.plans.base import add, events, query, rounded, table
 from rowtrail.plans.lineage_queries import LINEITEM_ID
 from rowtrail.sources.registry import TraceContext
@@ -61,6 +61,17 @@ for _name, _influence, _sql in _CASES:
     add(_name, lambda spark, sf_dir, i=_influence: _kept(i, spark, sf_dir), _sql)
 
 
+@query("""select event_type, event_id as rid, value from (select *, dense_rank() over
+  (partition by event_type order by value desc) r from events) where r <= 3""")
+def infl_procedural(spark, sf_dir):
+    """Rows that hold one of the three largest different values, chosen in pandas."""
+    def prune(rows, keys):
+        rank = rows.groupby(keys, dropna=False)["value"].rank(method="dense", ascending=False)
+        return rows[rank <= 3]
+
+    return _kept(Procedural(prune), spark, sf_dir)
+
+
 def _ties(influence):
     def run(spark, sf_dir):
         items = TraceContext(spark).source("lineitem", table(spark, sf_dir, "lineitem"), LINEITEM_ID)

@@ -12,7 +12,7 @@ from rowtrail.operators.provenance import (bitmap_size, bitmap_union, contains_a
                                            provenance_size)
 from rowtrail.plans.base import events, query, rounded, table
 from rowtrail.plans.programs import word_count
-from rowtrail.scratch import work_root
+from rowtrail.scratch import new_path
 from rowtrail.sources.ids import split_equal, split_weighted, with_position
 from rowtrail.sources.readers import parse_lines, read_table, write_lines
 from rowtrail.sources.registry import TraceContext
@@ -55,9 +55,7 @@ def src_parse_lines(spark, sf_dir):
 @query("select event_id, event_type, user_id from events")
 def src_text_roundtrip(spark, sf_dir):
     """Text sink, then a glob read of its parts with a schema."""
-    import uuid
-
-    path = f"{work_root(spark)}/rowtrail/{spark.sparkContext.applicationId}/lines-{uuid.uuid4().hex}"
+    path = new_path(spark, "lines")
     write_lines(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), path)
     lines = read_table(spark, f"{path}/part-*", "text")
     parsed, _ = parse_lines(lines, T.StructType([
@@ -87,8 +85,6 @@ def prov_flatmap(spark, sf_dir):
 @query("""with w as (select doc_id, unnest(string_split(text, ' ')) as word from documents)
 select word, count(*) as n, count(distinct doc_id) as docs from w group by word""")
 def prov_wordcount(spark, sf_dir):
-    from rowtrail.sources.registry import TraceContext
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     program = word_count(TraceContext(spark), docs, "doc_id")
     sizes = provenance_size(program.output.edges(), ["word"])

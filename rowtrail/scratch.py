@@ -35,11 +35,25 @@ def work_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def _app_folder(spark: SparkSession) -> str:
+    return f"{work_root(spark)}/rowtrail/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables this application wrote here; frames that read them become unusable."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the work folder and return a frame that reads it back."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{work_root(spark)}/rowtrail/{app}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -89,3 +89,27 @@ def test_no_python_in_any_plan(spark, sf_dir):
     for name in ("infl_outlier_seq", "trace_metrics", "col_topbottom_mean", "prov_bitmap"):
         text = physical(QUERIES[name](spark, sf_dir))
         assert "Python" not in text and "InPandas" not in text and "CartesianProduct" not in text
+
+
+def test_work_tables_are_deleted_on_request():
+    """In a session of its own work folder: clear() removes what the application wrote."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import tempfile, pathlib
+from pyspark.sql import SparkSession
+from rowtrail import scratch
+root = tempfile.mkdtemp()
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", root).getOrCreate())
+stored = scratch.materialize(spark.range(3), "t")
+assert scratch.work_root(spark) == root and stored.count() == 3
+assert list(pathlib.Path(root).rglob("*.parquet"))
+scratch.clear(spark)
+assert not list(pathlib.Path(root).rglob("*.parquet"))
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1],
+                          capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
