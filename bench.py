@@ -11,14 +11,18 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtrail import aggregates as agg
+from rowtrail import TraceContext, aggregates as agg
 from rowtrail.operators.influence import (All, MaxTies, Outlier, SequentialOutlier, Top, Union, Bottom, Where)
 from rowtrail.operators.minimize import Fold, FoldedProgram, minimize
+from rowtrail.plans import programs
 from rowtrail.plans.base import events, table
 from rowtrail.plans.catalog import QUERIES
+from rowtrail.scratch import materialize
+from rowtrail.sources import fixtures as fx
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
+PROGRAM_ROWS = int(os.environ.get("BENCH_PROGRAM_ROWS", "500000"))
 RUNS = 2
 
 # catalog queries timed end to end
@@ -55,6 +59,32 @@ def run(job, spark) -> float:
     return time.perf_counter() - started
 
 
+PROGRAMS = {
+    "snow_delta": (lambda ids: fx.weather(ids, fault_one_in=100_000), programs.snow_delta),
+    "snow_variance": (lambda ids: fx.weather(ids, fault_one_in=100_000), programs.snow_variance),
+    "airport": (lambda ids: fx.airport(ids, fault_one_in=100_000), programs.airport_transit),
+    "commute": (lambda ids: fx.trips(ids, fault_one_in=10_000), programs.commute_type),
+    "student_age": (lambda ids: fx.student_info(ids, fault_one_in=100_000), programs.student_age),
+    "gpa_two_level": (fx.grades, programs.gpa_two_level),
+    "course_extremes": (lambda ids: fx.grades_with_zeros(ids, small_one_in=10_000), programs.course_extremes),
+}
+
+
+def program_overheads(spark) -> dict[str, dict[str, float]]:
+    """Each program on a larger table: the plain result, and the result plus the lineage of all of
+    its outputs (what an instrumented run collects), and tracing the failing ones."""
+    out = {}
+    for name, (make, program) in PROGRAMS.items():
+        data = materialize(make(spark.range(PROGRAM_ROWS)), name)
+        fresh = lambda: program(TraceContext(spark), data, "id")
+        plain = min(run(lambda s: fresh().output.df, spark) for _ in range(RUNS))
+        lineage = min(run(lambda s: fresh().output.edges(), spark) for _ in range(RUNS))
+        trace = min(run(lambda s: fresh().trace().rows(), spark) for _ in range(RUNS))
+        out[name] = {"plain": round(plain, 3), "lineage": round(lineage, 3), "trace": round(trace, 3),
+                     "overhead": round((plain + lineage) / plain, 2)}
+    return out
+
+
 def main() -> None:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("rowtrail-bench")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
@@ -73,6 +103,7 @@ def main() -> None:
         "metric": "total seconds of headline queries (best of 2)", "value": round(sum(seconds.values()), 3),
         "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
         "untraced_overhead": round(seconds["traced_sum"] / seconds["plain_sum"], 3),
+        "programs": program_overheads(spark), "program_rows": PROGRAM_ROWS,
         "minimize_rounds": len(rounds), "minimize_seconds": round(sum(r[-1] for r in rounds), 3)}))
     spark.stop()
 

@@ -203,7 +203,9 @@ class SequentialOutlier(Influence):
 
     def keep(self, rows, keys, value, ids):
         ks, v = [col(k) for k in keys], col(_V)
-        chunked = ordered_chunks(_with_value(rows, value.cast("double")), [*keys, *ids])
+        needed = [col(c) for c in [*keys, *ids]]
+        narrow = _with_value(rows, value.cast("double")).select(*needed, _V)
+        chunked = ordered_chunks(narrow, [*keys, *ids])
         joined = null_safe_join(chunked, F.broadcast(self._spanning(chunked, keys)), [*keys, "__chunk"], "left")
 
         inside = Window.partitionBy(*ks, "__chunk").orderBy("__slot")
@@ -230,8 +232,7 @@ class SequentialOutlier(Influence):
         stood_out = F.when(col("__plo") == col("__phi"), v != col("__plo")).otherwise(
             (prior_sd > 0) & (F.try_divide(F.abs(v - prior_mean), prior_sd) >= F.lit(self.z * (1 - Z_SLACK))))
         on_arrival = (col("__pn") < self.warmup) | stood_out
-        return (ran.where(_is_far(v, col("__mean"), col("__sd"), self.z) & on_arrival)
-                .select(*[col(c) for c in rows.columns]))
+        return ran.where(_is_far(v, col("__mean"), col("__sd"), self.z) & on_arrival).select(*needed)
 
     @staticmethod
     def _spanning(chunked: DataFrame, keys: list[str]) -> DataFrame:
