@@ -72,7 +72,8 @@ def first_rows(rows: DataFrame, keys: list[str], order: list[Column], n: int) ->
     """
     by_key = [col(k) for k in keys]
     survivors = rows
-    if n > ONE_ROUND_ROWS:
+    pruned_up_to = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > min(ONE_ROUND_ROWS, pruned_up_to):
         slices = max(2, shuffle_width(rows.sparkSession))
         sliced = rows.withColumn("__slice", F.spark_partition_id() % F.lit(slices))
         local = Window.partitionBy(*by_key, "__slice").orderBy(*order)

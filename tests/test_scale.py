@@ -48,6 +48,16 @@ def test_first_rows_of_a_hot_key(spark, skewed, n, rounds):
     assert physical(got).count("WindowGroupLimit") == 2 * rounds  # partial and final in each round
 
 
+def test_ranks_are_sliced_when_spark_does_not_prune(spark, skewed):
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "-1")
+    try:
+        got = first_rows(skewed, ["k"], [F.col("v").desc(), F.col("id")], 2)
+        assert "__slice" in plan(got) and "WindowGroupLimit" not in physical(got)
+        assert got.where("k = 'hot'").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
 def test_chunks_split_a_hot_key(spark, skewed):
     chunked = ordered_chunks(skewed.where("k = 'hot'"), ["k", "id"])
     sizes = [r["count"] for r in chunked.groupBy("__chunk").count().collect()]
