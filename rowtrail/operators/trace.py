@@ -18,6 +18,7 @@ class Trace:
         if columns is not None and rules is not None:
             raise ValueError("give columns or rules, not both")
         self.frame, self.where, self.columns, self.rules = frame, where, columns, rules
+        self._stored: dict[str, DataFrame] = {}
 
     @cached_property
     def _target_rows(self) -> DataFrame:
@@ -47,8 +48,14 @@ class Trace:
         return reached
 
     @cached_property
-    def _ids(self) -> dict[str, DataFrame]:
-        return {name: materialize(ids, "traced-ids") for name, ids in merged(self._resolve(), []).items()}
+    def _reached(self) -> dict[str, DataFrame]:
+        return merged(self._resolve(), [])
+
+    def _stored_ids(self, source: str) -> DataFrame:
+        """Ids of one source, written when first asked for."""
+        if source not in self._stored:
+            self._stored[source] = materialize(self._reached[source], "traced-ids")
+        return self._stored[source]
 
     def _source(self, name: str | None):
         names = self.frame.sources()
@@ -59,9 +66,9 @@ class Trace:
     def ids(self, source: str | None = None) -> DataFrame:
         """Key columns of the traced rows of one source."""
         src = self._source(source)
-        if src.name not in self._ids:
+        if src.name not in self._reached:
             return src.df.select(*[col(k) for k in src.keys]).limit(0)
-        found = self._ids[src.name]
+        found = self._stored_ids(src.name)
         if src.scalar_id:
             return found.select(col(RID).alias(src.keys[0]))
         return found.select(*[col(RID).getField(k).alias(k) for k in src.keys])
