@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtrail.llm import lines, mixing
+from rowtrail.llm import licenses, lines, mixing, toxicity
 from rowtrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,15 @@ from marked group by doc_id
 @query
 def op9_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade_toxicity(docs, model).drop("text")
