@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtrail.llm import licenses, lines, mixing, toxicity
+from rowtrail.llm import decontaminate, licenses, lines, mixing, secrets, toxicity, urls
 from rowtrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,47 @@ def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return toxicity.grade_toxicity(docs, model).drop("text")
+
+
+@query
+def op1_secret_scan(spark, sf_dir):
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op3_decontamination"] = r"""
+with words as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
+sets as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+         from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from words where len(w) >= 5)),
+item_words as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
+item_sets as (select distinct item_id, array_to_string(w[i:i + 4], ' ') as s
+              from (select item_id, w, unnest(range(1, len(w) - 3)) as i from item_words where len(w) >= 5)),
+sizes as (select item_id, count(*)::int as item_size from item_sets group by item_id)
+select doc_id, item_id, item_size, count(*)::int as shared, count(*) / item_size as containment
+from sets join item_sets using (s) join sizes using (item_id) group by doc_id, item_id, item_size
+having count(*) >= ceil(item_size * 0.8)
+"""
+
+
+@query
+def op5_url_filter(spark, sf_dir):
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op5_url_filter"] = r"""
+with rest as (select page_id, html, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as r from pages),
+parts as (select page_id, html, translate(regexp_extract(r, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                 regexp_extract(r, '(?s)^[^/?#]*([^?#]*)', 1) as path from rest),
+rules(h, p, says) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'allow'),
+                             ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit as (select page_id, arg_max(h || p, length(h || p)) as rule, arg_max(says, length(h || p)) as says
+        from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id),
+listed as (select host || path as key, bool_or(len(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '[^\x20\x09-\x0D]+')) < 100) as listed
+           from parts group by 1)
+select page_id, host, path, rule, coalesce(says, case when listed then 'block' else 'allow' end) as verdict, listed
+from parts join listed on host || path = key left join fit using (page_id)
+"""
