@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtrail.llm import decontaminate, licenses, lines, mixing, secrets, toxicity, urls
+from rowtrail.llm import decontaminate, licenses, lines, mixing, ngram_join, secrets, toxicity, urls
 from rowtrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ listed as (select host || path as key, bool_or(len(regexp_extract_all(regexp_rep
 select page_id, host, path, rule, coalesce(says, case when listed then 'block' else 'allow' end) as verdict, listed
 from parts join listed on host || path = key left join fit using (page_id)
 """
+
+
+@query
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
