@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtrail.llm import decontaminate, licenses, lines, mixing, ngram_join, secrets, toxicity, urls
+from rowtrail.llm import decontaminate, licenses, lines, mixing, ngram_join, secrets, toxicity, urls, vectors
 from rowtrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,19 @@ from parts join listed on host || path = key left join fit using (page_id)
 @query
 def op7_ngram_join(spark, sf_dir):
     return ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_embedding_dedup(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_embedding_dedup"] = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+u as (select vec_id, e, sqrt(list_dot_product(e, e)) as n from v),
+links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id
+          where list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a as vec_id, min(b) as component_id from reach group by a)
+select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept from least
+"""
