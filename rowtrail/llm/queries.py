@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtrail.llm import decontaminate, licenses, lines, mixing, ngram_join, secrets, toxicity, urls, vectors
+from rowtrail.llm import decontaminate, language, licenses, lines, mixing, ngram_join, secrets, toxicity, urls, vectors
 from rowtrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,11 @@ reach(a, b) as (select vec_id, vec_id from v union select r.a, l.b from reach r
 least as (select a as vec_id, min(b) as component_id from reach group by a)
 select vec_id, (select count(*) from links where a = vec_id) as n_links, component_id, vec_id = component_id as kept from least
 """
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_language(docs.where(language.fold() != 2))
+    out = language.predict_language(docs, model)
+    return out.select("doc_id", (language.fold() == 2).alias("held_out"), "lang_pred", "score")
