@@ -46,7 +46,19 @@ class ProductCode:
         return np.concatenate(rows), np.concatenate(filters)
 
 
-def code_for(dims: int, vectors: int, per_filter: int = 256, filters_each: float = 24.0) -> ProductCode:
+class Codes:
+    """Several product codes with their own rotation; a pair is lost only if all of them lose it."""
+
+    def __init__(self, codes: list[ProductCode]):
+        self.codes = codes
+
+    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [code.decode(unit) for code in self.codes]
+        step = self.codes[0].words ** 2
+        return (np.concatenate([r for r, _ in found]), np.concatenate([f + k * step for k, (_, f) in enumerate(found)]))
+
+
+def code_for(dims: int, vectors: int, per_filter: int = 1024, filters_each: float = 8.0, turns: int = 5) -> Codes:
     """More vectors get more and smaller caps: the expected members of a filter stay the same."""
     total = max(256, vectors * filters_each / per_filter)
     words = math.ceil(math.sqrt(total))
@@ -55,7 +67,7 @@ def code_for(dims: int, vectors: int, per_filter: int = 256, filters_each: float
     for _ in range(60):  # height of a cap with this share of a Gaussian
         mid = (low + high) / 2
         low, high = (mid, high) if 0.5 * math.erfc(mid / math.sqrt(2)) > share else (low, mid)
-    return ProductCode(dims, words, low / math.sqrt(max(1, dims)))
+    return Codes([ProductCode(dims, words, low / math.sqrt(max(1, dims)), seed=5 + k) for k in range(turns)])
 
 
 def _unit(values: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +104,12 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.95) -> DataFrame
     of bounded size.  A pair is counted in the smallest filter that it shares, and a task gives
     link counts and a spanning forest, never pairs.
     """
-    values = F.col("embedding").cast("array<double>")
-    rows = embeddings.select(F.col("vec_id").cast("long"), values.alias("embedding")).withColumn("size", F.size("embedding"))
+    single = embeddings.schema["embedding"].dataType.elementType.typeName() == "float"
+    kind = np.float32 if single else np.float64
+    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if single else "array<double>")).withColumn("size", F.size("embedding"))
     lengths = rows.where("embedding is not null and size > 0").groupBy("size").count().orderBy(F.desc("count"), "size").first()
     dims = lengths[0] if lengths else 1
-    rows = rows.withColumn("hash", F.sha2(F.array_join(F.transform("embedding", lambda x: F.hex(F.coalesce(x, F.lit(float("nan"))).cast("string"))), ","), 256))
+    rows = rows.withColumn("hash", F.sha2(F.array_join(F.transform("embedding", lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ","), 256))
     rows = stored(rows, "vectors")
     distinct = stored(rows.where(F.col("embedding").isNotNull()).groupBy("hash").agg(
         F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")), "distinct")
@@ -113,7 +126,7 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.95) -> DataFrame
             cuts = np.searchsorted(both[:, 0], at, side="left")
             lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(both)), pa.int32()), pa.array(both[:, 1].astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array([u.tobytes() for u in unit[at]], pa.binary()), batch.column(2).take(pa.array(at)), lists],
+                [batch.column(0).take(pa.array(at)), pa.array(batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dims).view(f"V{dims * kind().itemsize}")[:, 0].tolist(), pa.binary()), batch.column(2).take(pa.array(at)), lists],
                 ["hash", "unit", "copies", "filters"])
 
     listed = stored(distinct.select("hash", "embedding", "copies").mapInArrow(
@@ -133,7 +146,8 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.95) -> DataFrame
             f = rows_.column("f")[0].as_py()
             side = rows_.column("side").to_numpy()
             ids, copies = rows_.column("id").to_numpy(), rows_.column("copies").to_numpy()
-            unit = np.frombuffer(b"".join(rows_.column("unit").to_pylist()), np.float64).reshape(-1, dims)
+            raw = np.frombuffer(b"".join(rows_.column("unit").to_pylist()), kind).astype(np.float64)
+            unit, _ = _unit(pa.FixedSizeListArray.from_arrays(pa.array(raw), dims).cast(pa.list_(pa.float64())), dims)
             lists = rows_.column("filters").to_pylist()
             x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             same = rows_.column("bi")[0].as_py() == rows_.column("bj")[0].as_py()
