@@ -47,11 +47,19 @@ def fold(rows: DataFrame, keys: list[str], state: dict[str, Column], combine: Co
     return merged.groupBy(*by_key).applyInPandas(per_group, schema)
 
 
+def moments_of(value: Column) -> dict[str, Column]:
+    """The state of one row for :func:`combine_moments`."""
+    return {"n": F.when(value.isNull(), 0).otherwise(1).cast("bigint"), "mean": F.coalesce(value, F.lit(0.0)), "m2": F.lit(0.0)}
+
+
 def combine_moments(states: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Combine (n, mean, m2) states: count, mean and sum of squared deviations."""
+    """Combine (n, mean, m2) states: count, mean and sum of squared deviations.
+
+    A null value is the state (0, 0, 0), see :func:`moments_of`; without any value all three are 0.
+    """
     weighted = states.assign(total=states["n"] * states["mean"])
     sums = weighted.groupby(keys, dropna=False)[["n", "total"]].transform("sum")
-    shift = states["mean"] - sums["total"] / sums["n"]
+    shift = (states["mean"] - sums["total"] / sums["n"].where(sums["n"] > 0)).fillna(0.0)
     spread = states.assign(total=weighted["total"], m2=states["m2"] + states["n"] * shift * shift)
     out = spread.groupby(keys, dropna=False, as_index=False)[["n", "total", "m2"]].sum()
-    return out.assign(mean=out["total"] / out["n"])
+    return out.assign(mean=out["total"] / out["n"].clip(lower=1))

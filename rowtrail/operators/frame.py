@@ -93,6 +93,11 @@ class TracedFrame:
         group = self.whole_group
         return None if group is not None and set(names) & set(group.keys) else group
 
+    def _same_context(self, other: "TracedFrame") -> None:
+        """Hidden id columns are only unique within a context."""
+        if self.ctx is not other.ctx:
+            raise ValueError("both frames must come from one TraceContext")
+
     def _ids(self) -> list[Column]:
         return [col(c) for c in self.origins]
 
@@ -159,6 +164,7 @@ class TracedFrame:
 
     def join(self, other: "TracedFrame", on: str | list[str]) -> "TracedFrame":
         """Inner equi-join; a result row descends from both of its parents."""
+        self._same_context(other)
         on = [on] if isinstance(on, str) else list(on)
         clash = (set(self.columns) & set(other.columns)) - set(on)
         if clash:
@@ -176,6 +182,7 @@ class TracedFrame:
 
     def union(self, other: "TracedFrame") -> "TracedFrame":
         """Rows of both frames (same columns); each row keeps the ids of its own side."""
+        self._same_context(other)
         if set(self.columns) != set(other.columns):
             raise ValueError("a union needs the same columns on both sides")
         shared = set(self.origins) & set(other.origins)

@@ -1,8 +1,9 @@
 """Finding a minimal failing input by delta debugging over Spark jobs.
 
-The candidates are stored once, sorted by a contiguous position.  A subset is a short list of
-position intervals, so testing one is a range filter on that table (pushed to the scan); no data
-is rewritten between tests, and equal rows stay different candidates.
+The candidates are stored sorted by a contiguous position.  A subset is a short list of position
+intervals, so testing one is a range filter on that table (pushed to the scan).  Only when a
+subset has fallen into many intervals are its rows written again.  Equal rows stay different
+candidates.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from rowtrail.scratch import materialize
 from rowtrail.sources.ids import with_position
 
 POS = "__pos"
+#: A subset of more intervals is written and numbered anew, so that it is one interval again.
+MAX_INTERVALS = 32
 Interval = tuple[int, int]  # [from, to)
 
 
@@ -161,6 +164,10 @@ def minimize(candidates: DataFrame, ids: list[str], program, failing: Column | N
             current, parts = part_of(current, parts, j), 2
         else:
             current, parts = rest_of(current, parts, j), max(parts - 1, 2)
+        if len(current) > MAX_INTERVALS:
+            table = store_candidates(table.where(inside(current)).drop(POS), ids)
+            current = [(0, size_of(current))]
+            search.restart(table)
     kept = table.where(inside(current) if failed else F.lit(False)).drop(POS)
     return Minimal(kept, size_of(current) if failed else 0, failed, rounds)
 
@@ -202,6 +209,9 @@ class _TestedSearch:
     def __init__(self, table: DataFrame, program: Callable[[DataFrame], DataFrame], failing: Column):
         self.table, self.program, self.failing = table, program, failing
 
+    def restart(self, table: DataFrame) -> None:
+        self.table = table
+
     def fails(self, intervals: list[Interval]) -> bool:
         out = self.program(self.table.where(inside(intervals)).drop(POS))
         return not out.where(self.failing).isEmpty()
@@ -227,6 +237,10 @@ class _FoldedSearch:
         self.keys = [col(k) for k in program.keys]
         self.known: dict[tuple[Interval, ...], bool] = {}  # halves judged ahead
 
+    def restart(self, table: DataFrame) -> None:
+        """Go on with the survivors, under new positions."""
+        self.table, self.known = table, {}
+
     def fails(self, intervals: list[Interval]) -> bool:
         if tuple(intervals) not in self.known:
             self._judge_halves(intervals)

@@ -22,19 +22,19 @@ def provenance_size(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def provenance_bitmap(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Id sets in compact form: one bitmap per (key, bucket of ids).  Needs integral ids.
+    """Id sets in compact form: one bitmap per (key, source, bucket of ids).  Needs integral ids.
 
     A bucket covers a fixed range of ids, so a large set is many small rows, never one big value.
     """
-    bucketed = edges.select(*[col(k) for k in keys], F.bitmap_bucket_number(RID).alias("bucket"),
+    bucketed = edges.select(*[col(k) for k in keys], "src", F.bitmap_bucket_number(RID).alias("bucket"),
                             F.bitmap_bit_position(RID).alias("__bit"))
-    return (bucketed.groupBy(*[col(k) for k in keys], "bucket")
+    return (bucketed.groupBy(*[col(k) for k in keys], "src", "bucket")
             .agg(F.bitmap_construct_agg("__bit").alias("bits")))
 
 
 def bitmap_union(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
     """Merge the sets of several outputs: bitwise OR per bucket."""
-    return bitmaps.groupBy(*[col(k) for k in keys], "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return bitmaps.groupBy(*[col(k) for k in keys], "src", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def bitmap_size(bitmaps: DataFrame, keys: list[str]) -> DataFrame:

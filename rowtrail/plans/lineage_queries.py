@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from rowtrail.operators import aggregates as agg
-from rowtrail.operators.folds import combine_moments
+from rowtrail.operators.folds import combine_moments, moments_of
 from rowtrail.operators.influence import Bottom, Top, Where
 from rowtrail.operators.keyed import attach_stats, group_stats
 from rowtrail.operators.provenance import (bitmap_size, bitmap_union, contains_all, provenance_bitmap,
@@ -195,14 +195,14 @@ def agg_avg_all(spark, sf_dir):
     return rounded(events(spark, sf_dir).group_agg("event_type", {"mean": agg.average("value")}).df, 8, "mean")
 
 
-@query("""select event_type, count(*) as n, round(avg(value), 6) as mean, round(var_pop(value), 6) as variance
+@query("""select event_type, count(value) as n, round(avg(value), 6) as mean, round(var_pop(value), 6) as variance
 from events group by 1""")
 def agg_custom_fold(spark, sf_dir):
     """A fold with its own state (count, mean, squared deviations), merged in parallel."""
-    value = F.col("value")
     out = events(spark, sf_dir).fold_agg(
-        "event_type", {"n": F.lit(1).cast("bigint"), "mean": value, "m2": F.lit(0.0)}, combine_moments,
-        {"n": F.col("n"), "mean": F.col("mean"), "variance": F.col("m2") / F.col("n")}, uses=["value"])
+        "event_type", moments_of(F.col("value")), combine_moments,
+        {"n": F.col("n"), "mean": F.when(F.col("n") > 0, F.col("mean")),
+         "variance": F.when(F.col("n") > 0, F.col("m2") / F.col("n"))}, uses=["value"])
     return rounded(out.df, 6, "mean", "variance")
 
 

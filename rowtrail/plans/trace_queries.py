@@ -177,7 +177,7 @@ def dd_minimal_pair(spark, sf_dir):
 @query("select event_id, event_type, value from events where value > 300 order by event_id limit 1")
 def dd_minimal_program(spark, sf_dir):
     """The same search with an arbitrary DataFrame program, one job per test, on traced rows."""
-    out = events(spark, sf_dir).group_agg("event_type", {"total": agg.total("value")}, Top(20))
+    out = events(spark, sf_dir).group_agg("event_type", {"total": agg.total("value")}, All())
     candidates = out.trace(F.col("total") > 0).rows().select("event_id", "event_type", "value")
     return minimize(candidates, ["event_id"],
                     lambda rows: rows.groupBy("event_type").agg(F.max("value").alias("peak")),

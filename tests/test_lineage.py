@@ -207,3 +207,20 @@ def test_user_functions_as_columns(ctx, sales):
     out = (ctx.source("sales", sales, "id", column_lineage=True).derive("d", doubled("amount"), uses=["amount"])
            .group_agg("shop", {"hi": agg.largest("d")}))
     assert pairs(out.edges(by_column=True).where("shop = 'x'"), "out_col", "rid") == [("hi", 2)]
+
+
+def test_frames_of_two_contexts_do_not_mix(spark):
+    from rowtrail import TraceContext
+
+    a, b = (TraceContext(spark).source(n, spark.range(3), "id") for n in "ab")
+    for combine in (lambda: a.union(b), lambda: a.join(b, "id")):
+        with pytest.raises(ValueError, match="TraceContext"):
+            combine()
+
+
+def test_nulls_do_not_count_in_moments(spark):
+    from rowtrail.operators.folds import combine_moments, fold, moments_of
+
+    rows = spark.createDataFrame([("k", None), *[("k", float(x)) for x in range(1, 6)], ("none", None)], "k string, v double")
+    out = {r["k"]: r for r in fold(rows, ["k"], moments_of(F.col("v")), combine_moments).collect()}
+    assert (out["k"]["n"], out["k"]["mean"], out["k"]["m2"]) == (5, 3.0, 10.0) and out["none"]["n"] == 0

@@ -106,3 +106,14 @@ def test_splits(spark):
     assert [r["count"] for r in weighted] == [250, 500, 250]
     with pytest.raises(ValueError):
         split_weighted(positioned, [], 10)
+
+
+@pytest.mark.parametrize("hits", [range(0, 90, 2)])
+def test_scattered_culprits(spark, hits):
+    """More intervals than one filter holds: the survivors are stored again and the search goes on."""
+    hits = set(hits)
+    df = spark.range(90).select("id", F.col("id").isin(hits).cast("int").alias("hit")).repartition(3)
+    program = FoldedProgram(["one"], {"hits": Fold(F.sum("hit"))}, F.col("hits") >= len(hits),
+                            prepare=lambda d: d.withColumn("one", F.lit(1)))
+    found = minimize(df, ["id"], program)
+    assert {r["id"] for r in found.rows.collect()} == hits and found.size == len(hits)
