@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtrail.scratch import materialize, shuffle_width
 
-# A group table up to this many rows (one row per key, a few numbers each) is broadcast.
-BROADCAST_ROWS = 100_000
 # A key is hot when it holds at least 1/HOT_SHARE of the rows, so at most HOT_SHARE keys are hot.
 HOT_SHARE = 256
 # Up to this many rows per key and map task, one reducer per key is enough (see first_rows).
@@ -39,19 +37,26 @@ def group_stats(rows: DataFrame, keys: list[str], stats: dict[str, Column]) -> D
     return materialize(aggregated, "group-stats")
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Catalyst broadcasts ``df`` by its estimated bytes; for a stored table, its file sizes."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size <= spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def attach_stats(rows: DataFrame, stats: DataFrame, keys: list[str],
-                 spread_by: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                 spread_by: list[str]) -> DataFrame:
     """Give every row the statistics of its group, without moving a group into one task.
 
-    ``stats`` is a stored table from :func:`group_stats`.  A small one is broadcast, so the rows
-    are not shuffled.  Beyond the bound both sides are shuffled on (key, salt); only hot keys get
+    ``stats`` is a stored table from :func:`group_stats`.  One that Catalyst broadcasts by its bytes
+    is left to it, so the rows are not shuffled.  Beyond that bound both sides are shuffled on (key, salt); only hot keys get
     more than one salt, so the statistics grow by at most HOT_SHARE * salts rows.
     """
-    size = stats.agg(F.count(F.lit(1)).alias("groups"), F.sum("__n").alias("rows")).first()
-    if size["groups"] <= broadcast_rows:
-        return null_safe_join(rows, F.broadcast(stats), keys)
+    if fits_broadcast(stats):
+        return null_safe_join(rows, stats, keys)
     salts = max(2, shuffle_width(rows.sparkSession))
-    is_hot = col("__n") >= F.lit(max(2, size["rows"] // HOT_SHARE))
+    total = stats.agg(F.sum("__n")).scalar()
+    is_hot = col("__n") >= F.greatest(F.lit(2), F.floor(total / HOT_SHARE))
     hot = stats.where(is_hot).select(*[col(k) for k in keys], F.lit(True).alias("__hot"))
     salted_rows = null_safe_join(rows, F.broadcast(hot), keys, "left").withColumn(
         "__salt", F.when(col("__hot"), F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.lit(salts)))

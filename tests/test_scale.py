@@ -26,14 +26,26 @@ def skewed(spark):
         .alias("k"), (F.col("id") % 1000).cast("double").alias("v"))
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
+@pytest.mark.parametrize("bound", ["-1", "64m"])
 def test_stats_reach_every_row_with_and_without_broadcast(spark, skewed, bound):
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else tiny tables end in one task
+    try:
+        _stats_reach_every_row(skewed, bound)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _stats_reach_every_row(skewed, bound):
     stats = group_stats(skewed, ["k"], {"top": F.max("v")})
-    joined = attach_stats(skewed, stats, ["k"], ["id"], broadcast_rows=bound)
+    joined = attach_stats(skewed, stats, ["k"], ["id"])
     assert joined.count() == 30_000 and joined.select("id").distinct().count() == 30_000
     assert joined.where("k = 'hot'").agg(F.min("top"), F.max("top"), F.max("__n")).first()[:] == (999.0, 999.0, 20_000)
     assert joined.where("k is null").first()["__n"] == 1
-    if bound == 0:
+    assert ("BroadcastHashJoin" in physical(joined)) and (bound == "-1" or "SortMergeJoin" not in physical(joined))
+    if bound == "-1":
         # the hot key is spread over several tasks
         tasks = joined.where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
         assert tasks > 1
