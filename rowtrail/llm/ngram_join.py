@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowtrail.llm.common import batch_bytes, mix64, sorted_groups, stored, text_or_empty
 from rowtrail.llm.components import connected_components
+from rowtrail.llm.cuckoo import CuckooFilter, shared_filter, shared_hits, without_ids
 
 #: Growth of the size bands, rows and n-grams of a block of the product, columns multiplied at once.
 BAND, BLOCK_ROWS, BLOCK_CELLS, CHUNK = 1.4, 2048, 1 << 21, 4096
@@ -288,21 +289,25 @@ def _block_rows(docs: DataFrame, members: DataFrame, width: int, threshold: floa
              .select(F.col("i.grp").alias("grp"), F.col("i.block").alias("bi"), F.col("j.block").alias("bj")))
     pairs = stored(pairs, "blockpairs")
 
+    shared = shared_filter(blocks.select("content").distinct())
+
     def cells(batches):
         known = _Hashes()
+        held = {k: CuckooFilter.from_bytes(f) for k, f in shared.value.items()} if shared is not None else None
         for batch in batches:
-            data, ends = batch_bytes(batch.column(batch.schema.get_field_index("text")))
-            view = memoryview(data) if len(data) else memoryview(b"")
-            made = [ngram_set(bytes(view[a:b]), width, known).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            rest = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in rest], pa.array(made, pa.binary())],
-                                             [*rest, "cells"])
-
-    picked = docs.select(F.col("doc_id").cast("long").alias("one_id"), text_or_empty().alias("text")).withColumn("content", F.xxhash64("text"))
+            if held is not None:  # most documents have no partner: their sets are not made, nor shuffled
+                batch = batch.filter(pa.array(shared_hits(batch.column(1).to_numpy(), held)))
+            if batch.num_rows:
+                data, ends = batch_bytes(batch.column(2))
+                view = memoryview(data) if len(data) else memoryview(b"")
+                made = [ngram_set(bytes(view[a:b]), width, known).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["one_id", "content", "cells"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("one_id"), F.xxhash64(text_or_empty()).alias("content"), text_or_empty().alias("text"))
     keyed = blocks.select("grp", "class", "copies", "block", F.col("content").alias("c"), F.col("one_id").alias("o"))
-    full = picked.join(keyed, (F.col("content") == F.col("c")) & F.col("one_id").eqNullSafe(F.col("o")))
-    sets = full.select("grp", "class", "copies", "block", "text").mapInArrow(cells, "grp long, class binary, copies long, block int, cells binary")
-    sets = stored(sets, "sets")
+    made = picked.mapInArrow(cells, "one_id long, content long, cells binary")
+    sets = stored(made.join(keyed, (F.col("content") == F.col("c")) & F.col("one_id").eqNullSafe(F.col("o")))
+                  .select("grp", "class", "copies", "block", "cells"), "sets")
     left = sets.join(pairs, (sets.grp == pairs.grp) & (sets.block == pairs.bi)).select(
         pairs.grp, "bi", "bj", F.lit(0).alias("side"), "class", "copies", "cells")
     right = sets.join(pairs.where("bi < bj"), (sets.grp == pairs.grp) & (sets.block == pairs.bj)).select(
@@ -350,6 +355,9 @@ def _links(a, b, na) -> pa.RecordBatch:
 
 
 def drop_near_copies(documents: DataFrame, width: int = 5, hundredths: int = 80) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id; all columns stay."""
-    gone = ngram_classes(documents, width, hundredths).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(stored(gone, "copies"), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """One document of each group of near copies stays, the one with the smallest doc_id; all columns stay.
+
+    Rows that share an id are one document; rows without id stay.
+    """
+    gone = ngram_classes(documents, width, hundredths).where("component_id <> doc_id").select("doc_id").distinct()
+    return without_ids(documents, "doc_id", stored(gone, "copies"))
