@@ -164,7 +164,7 @@ def test_licenses(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0. See MIT  license", "en", "a"), (2, "GNU General-Public\nLicense; gnu general public license", "en", "a"),
             (3, None, None, None), (4, "mitlicense cc byte Émit license", "en", "a"), (5, "é cc by-nc 4.0", "en", "a"), (None, "", "en", "a")]
     got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, rows)).collect()}
-    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].labels) == (10, 2, 3, 8, "apache,mit", "apache,apache-2,mit")
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].labels) == (11, 2, 3, 9, "apache,mit", "apache,apache-2,mit")
     assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels) == (2, 0, 4, "gpl")
     assert [tuple(got[i])[1:8] for i in (3, None)] == [(0, 0, None, None, "", "", 0.0)] * 2
     assert (got[4].n_base, got[5].n_base, got[5].first_word) == (0, 1, 1) and "cc-by-nc-4" in got[5].labels
