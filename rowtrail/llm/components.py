@@ -18,7 +18,7 @@ def _settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an edge; the component is its smallest node.
 
-    Each round is one job and keeps a table of at most as many edges as nodes and links; a node with
+    Each round writes one table of at most as many edges as nodes and links; a node with
     very many neighbours is combined map-side, and its join is left to adaptive skew handling.  The
     end is looked for once the number of edges stays.  Edges with a null end are left out, loops and
     repeated edges change nothing.
