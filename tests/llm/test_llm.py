@@ -81,6 +81,21 @@ def test_private_keys_are_owned_one_by_one(spark):
     assert not any("pem" in r.spans for r in twice.values())
 
 
+def test_copies_hide_no_secret(spark):
+    """Each credential stands at the same place; exact copies of a text do not count as spread, other copies only label."""
+    token, text = lambda i: "ghp_" + str(i) * 40, "key {} end"
+    rows = [(i, text.format(token(1)), "en", "ab"[i % 2]) for i in range(6)]  # exact copies under two sources
+    rows += [(10 + i, f"{text.format(token(2))} {'x' * i}", "en", "ab"[i % 2]) for i in range(2)]  # near copies
+    rows += [(20 + i, f"{text.format(token(3))} {'y' * i}", "en", "a") for i in range(3)]  # three repositories of one owner
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    place = f"github:4:{4 + len(token(1))}"
+    for i, r in got.items():
+        live = not 10 <= i < 20
+        assert place in (r.spans if live else r.copied_spans).split(",") and place not in (r.copied_spans if live else r.spans).split(",")
+        assert (r.n_live > 0, r.n_copied > 0) == (live, not live)
+        assert r.n_live + r.n_copied == len([s for s in f"{r.spans},{r.copied_spans}".split(",") if s])
+
+
 def brute_links(vecs, least=0.95):
     ok = {}
     for i, v in vecs:
