@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,7 @@ class Codes:
         return (np.concatenate([r for r, _ in found]), np.concatenate([f + k * step for k, (_, f) in enumerate(found)]))
 
 
+@lru_cache(maxsize=16)
 def code_for(dims: int, vectors: int, per_filter: int = 1024, filters_each: float = 8.0, turns: int = 5) -> Codes:
     """More vectors get more and smaller caps: the expected members of a filter stay the same."""
     total = max(256, vectors * filters_each / per_filter)
@@ -93,57 +95,59 @@ def _unit(values: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
 def near_vectors(embeddings: DataFrame, least_cosine: float = 0.95) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
-    Vectors are compared by cosine in double precision, whatever their labels.  Vectors that are
-    null, zero, of another length than the most common one, or that hold null or non-finite
-    components link with nothing.  ``n_links`` counts the other rows linked directly,
+    Vectors of equal length are compared by cosine in double precision, whatever their labels.
+    Vectors that are null or zero, or that hold null or non-finite components, link with nothing.  ``n_links`` counts the other rows linked directly,
     ``component_id`` is the smallest vec_id that links reach, ``kept`` marks it.  Repeated rows
     are separate vectors; rows with a null id link, but their id is never the smallest.
 
-    Equal vectors are compared once.  Every vector is listed for all filter directions that it
-    exceeds; the members of a filter are cut into blocks, and block pairs are multiplied in tasks
+    Equal vectors are compared once.  Every length has codes of its own, sized by its number
+    of vectors.  Every vector is listed for all filter directions of its length that it exceeds; the members of a filter are cut into blocks, and block pairs are multiplied in tasks
     of bounded size.  A pair is counted in the smallest filter that it shares, and a task gives
     link counts and a spanning forest, never pairs.
     """
     single = embeddings.schema["embedding"].dataType.elementType.typeName() == "float"
     kind = np.float32 if single else np.float64
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>" if single else "array<double>")).withColumn("size", F.size("embedding"))
-    lengths = rows.where("embedding is not null and size > 0").groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    dims = lengths[0] if lengths else 1
     rows = rows.withColumn("hash", F.sha2(F.array_join(F.transform("embedding", lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ","), 256))
     rows = stored(rows, "vectors")
     distinct = stored(rows.where(F.col("embedding").isNotNull()).groupBy("hash").agg(
-        F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")), "distinct")
-    code = code_for(dims, distinct.count())
+        F.first("embedding").alias("embedding"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least")), "distinct")
+    lengths = dict(distinct.where("size > 0").groupBy("size").count().collect())  # one number per length
 
     def decode(batches):
-        for batch in batches:
-            unit, good = _unit(batch.column(1), dims)
-            at = np.flatnonzero(good)
-            if not len(at):
-                continue
-            r, f = code.decode(unit[at])
-            both = np.unique(np.stack([at[r], f], axis=1), axis=0)
-            cuts = np.searchsorted(both[:, 0], at, side="left")
-            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(both)), pa.int32()), pa.array(both[:, 1].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array(batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dims).view(f"V{dims * kind().itemsize}")[:, 0].tolist(), pa.binary()), batch.column(2).take(pa.array(at)), lists],
-                ["hash", "unit", "copies", "filters"])
-
-    listed = stored(distinct.select("hash", "embedding", "copies").mapInArrow(
-        decode, "hash string, unit binary, copies long, filters array<int>").withColumn("id", F.monotonically_increasing_id()), "listed")
-    entries = listed.select("id", F.explode("filters").alias("f"))
-    sizes = entries.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = stored(sizes.select("f", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "filtersizes")
-    placed = listed.select("id", "unit", "copies", "filters", F.explode("filters").alias("f")).join(parts, "f")
+        for mixed in batches:
+            sizes = mixed.column(3).to_numpy()
+            for dims in np.unique(sizes[sizes > 0]).tolist():
+                batch = mixed.filter(pa.array(sizes == dims))
+                unit, good = _unit(batch.column(1), dims)
+                at = np.flatnonzero(good)
+                if not len(at):
+                    continue
+                r, f = code_for(dims, lengths[dims]).decode(unit[at])
+                both = np.unique(np.stack([at[r], f], axis=1), axis=0)
+                cuts = np.searchsorted(both[:, 0], at, side="left")
+                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(both)), pa.int32()), pa.array(both[:, 1].astype(np.int32)))
+                own = batch.take(pa.array(at))
+                raw = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dims)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), pa.array(raw.view(f"V{dims * kind().itemsize}")[:, 0].tolist(), pa.binary()), own.column(2), own.column(3), lists],
+                    ["hash", "unit", "copies", "size", "filters"])
+
+    listed = stored(distinct.select("hash", "embedding", "copies", "size").mapInArrow(
+        decode, "hash string, unit binary, copies long, size int, filters array<int>").withColumn("id", F.monotonically_increasing_id()), "listed")
+    entries = listed.select("size", F.explode("filters").alias("f"))
+    sizes = entries.groupBy("size", "f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = stored(sizes.select("size", "f", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "filtersizes")
+    placed = listed.select("id", "unit", "copies", "size", "filters", F.explode("filters").alias("f")).join(parts, ["size", "f"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id", "f"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    spread = placed.select("*", other).select("f", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"),
+    spread = placed.select("*", other).select("size", "f", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"),
                                               (F.col("block") > F.col("o")).cast("int").alias("side"), "id", "unit", "copies", "filters")
-    arranged = spread.repartition("f", "bi", "bj").sortWithinPartitions("f", "bi", "bj", "side", "id")
+    arranged = spread.repartition("size", "f", "bi", "bj").sortWithinPartitions("size", "f", "bi", "bj", "side", "id")
 
     def multiply(batches):
-        for rows_ in sorted_groups(batches, ["f", "bi", "bj"]):
-            f = rows_.column("f")[0].as_py()
+        for rows_ in sorted_groups(batches, ["size", "f", "bi", "bj"]):
+            dims, f = rows_.column("size")[0].as_py(), rows_.column("f")[0].as_py()
             side = rows_.column("side").to_numpy()
             ids, copies = rows_.column("id").to_numpy(), rows_.column("copies").to_numpy()
             raw = np.frombuffer(b"".join(rows_.column("unit").to_pylist()), kind).astype(np.float64)

@@ -133,6 +133,24 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    draw = np.random.default_rng(3)
+    vecs = []
+    for dims, n in ((8, 40), (12, 30), (5, 3), (1, 2)):  # every other vector is close to the one before
+        for i in range(n):
+            near = i % 2 and dims > 1
+            v = vecs[-1][1] + 0.01 * draw.standard_normal(dims) if near else draw.standard_normal(dims)
+            vecs.append((len(vecs), v))
+    vecs += [(100, vecs[45][1]), (101, vecs[72][1]), (102, np.append(vecs[3][1], 0.0)), (103, np.array([]))]
+    cos = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    links = {(i, j) for i, a in vecs for j, b in vecs if i != j and len(a) == len(b) > 0 and cos(a, b) >= 0.95}
+    assert {len(vecs[i][1]) for i, _ in links if i < 75} >= {5, 8, 12}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vecs], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()}
+    comp = components([i for i, _ in vecs], links)
+    assert got == {i: (sum(a == i for a, _ in links), comp[i], comp[i] == i) for i, _ in vecs}
+
+
 def test_filter_recall():
     """Pairs at the least cosine share a filter in nearly all cases."""
     draw = np.random.default_rng(2)
