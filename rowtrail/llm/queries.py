@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtrail.llm import decontaminate, language, licenses, lines, mixing, ngram_join, secrets, toxicity, urls, vectors
+from rowtrail.llm import (decontaminate, fingerprints, language, licenses, lines, merkle, mixing, ngram_join, search, secrets, toxicity,
+                          urls, vectors)
 from rowtrail.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +130,81 @@ def op4_language_id(spark, sf_dir):
     model = language.fit_language(docs.where(language.fold() != 2))
     out = language.predict_language(docs, model)
     return out.select("doc_id", (language.fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.dataset_manifest(table(spark, sf_dir, "documents"), tampered).drop("source")
+
+
+ORACLES["op11_merkle_manifest"] = r"""
+with recursive
+crc as (
+  select doc_id, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) as flipped from documents),
+fields as (
+  select d.*, case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end
+      || case when source is null then '-' else strlen(source) || ':' || source end
+      || case when lang is null then '-' else strlen(lang) || ':' || lang end
+      || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end as head,
+    case when xor(flipped, 4294967295) % 2 = 0 then replace(text, chr(10), '') else text end as probe
+  from documents d join crc using (doc_id)),
+leaves as (
+  select doc_id, coalesce('s' || source, '') as grp, sha256(head || case when text is null then '-' else strlen(text) || ':' || text end) as leaf,
+    sha256(head || case when probe is null then '-' else strlen(probe) || ':' || probe end) as probe,
+    row_number() over (partition by source order by doc_id) - 1 as pos, count(*) over (partition by source) as n from fields),
+low(grp, lev, pos, h, n) as (
+  select grp, 0, pos, leaf, n from leaves
+  union all
+  select grp, lev + 1, pos // 3, sha256(string_agg(h, '' order by pos)), any_value((n + 2) // 3) from low where n > 1 group by grp, lev, pos // 3),
+subs as (select grp, h as subroot, row_number() over (order by grp) - 1 as pos, count(*) over () as n from low where n = 1),
+high(lev, pos, h, n) as (
+  select 0, pos, subroot, n from subs
+  union all
+  select lev + 1, pos // 3, sha256(string_agg(h, '' order by pos)), any_value((n + 2) // 3) from high where n > 1 group by lev, pos // 3),
+steps as (
+  select l.doc_id, 0 as tree, s.lev, coalesce(string_agg(s.h, '' order by s.pos) filter (where s.pos < l.pos // (3 ** s.lev)::bigint), '') as lft,
+    coalesce(string_agg(s.h, '' order by s.pos) filter (where s.pos > l.pos // (3 ** s.lev)::bigint), '') as rgt
+  from leaves l join low s on s.grp = l.grp and s.n > 1 and s.pos // 3 = l.pos // (3 ** (s.lev + 1))::bigint group by l.doc_id, s.lev
+  union all
+  select l.doc_id, 1, s.lev, coalesce(string_agg(s.h, '' order by s.pos) filter (where s.pos < u.pos // (3 ** s.lev)::bigint), ''),
+    coalesce(string_agg(s.h, '' order by s.pos) filter (where s.pos > u.pos // (3 ** s.lev)::bigint), '')
+  from leaves l join subs u using (grp) join high s on s.n > 1 and s.pos // 3 = u.pos // (3 ** (s.lev + 1))::bigint group by l.doc_id, s.lev),
+paths as (select doc_id, list(lft || '|' || rgt order by tree, lev) as path from steps group by doc_id),
+folded as (
+  select doc_id, leaf, subroot, sha256(array_to_string(list_transform(coalesce(path, []), lambda p: replace(p, '|', '')), '')) as proof_sha256,
+    list_reduce(list_prepend(probe, coalesce(path, [])), lambda a, p: sha256(split_part(p, '|', 1) || a || split_part(p, '|', 2))) as folded_root
+  from leaves join subs using (grp) left join paths using (doc_id))
+select doc_id, leaf, subroot, h as root, proof_sha256, folded_root, folded_root = h as verified
+from folded, (select h from high where n = 1)
+"""
+
+
+@query
+def op12_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_lexical_search"] = r"""
+with words as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+sizes as (select doc_id, count(*) as n from words group by doc_id),
+whole as (select count(*) as nd, sum(n)::bigint as l from sizes),
+item_terms as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+tfs as (select doc_id, t, count(*) as tf from words where t in (select t from item_terms) group by doc_id, t),
+weights as (select t, floor(1000 * ln((2 * nd + 2)::double / (2 * count(*) + 1)))::bigint as w from tfs, whole group by t, nd),
+impacts as (select doc_id, t, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // l))) as impact from tfs join sizes using (doc_id), whole),
+scores as (select item_id, doc_id, sum(w * impact)::bigint as score from item_terms join weights using (t) join impacts using (t) group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
