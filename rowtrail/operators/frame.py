@@ -8,7 +8,7 @@ Lineage is a second, on-demand query that follows the ids back (see ``lineage``)
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,8 +21,20 @@ if TYPE_CHECKING:
     from rowtrail.operators.trace import Trace
     from rowtrail.sources.registry import TraceContext
 
-# (hidden id column, result column of that group or None for the whole row)
-Tag = tuple[str, "str | None"]
+
+class Tag(NamedTuple):
+    """A hidden id column, the result column of that group (None: the whole row), and when it counts:
+    pairs of a hidden choice column and the choices of a row under which the input contributes."""
+
+    id: str
+    part: str | None = None
+    when: frozenset[tuple[str, frozenset[int]]] = frozenset()
+
+    def under(self, choice: str, values: frozenset[int]) -> "Tag":
+        return self._replace(when=self.when | {(choice, values)})
+
+    def renamed(self, names: dict[str, str]) -> "Tag":
+        return Tag(names.get(self.id, self.id), self.part, frozenset((names.get(c, c), v) for c, v in self.when))
 
 
 @dataclass(frozen=True, eq=False)
@@ -54,10 +66,12 @@ class Group:
 class TracedFrame:
     def __init__(self, ctx: "TraceContext", full: DataFrame, columns: list[str], origins: dict,
                  tags: dict[str, frozenset[Tag]], unique: bool, column_lineage: bool, name: str,
-                 whole_group: Group | None = None):
+                 whole_group: Group | None = None, ordinals: tuple[str, ...] = (), choices: tuple[str, ...] = ()):
         self.ctx, self.full, self.columns, self.origins = ctx, full, columns, origins
         self.tags, self.unique, self.column_lineage = tags, unique, column_lineage
         self.name, self.whole_group = name, whole_group
+        # hidden columns: element ordinals, which with the ids identify a row; choices that tags refer to
+        self.ordinals, self.choices = ordinals, choices
 
     # -- plain results ---------------------------------------------------------------------
 
@@ -83,7 +97,7 @@ class TracedFrame:
         return sorted(found)
 
     def row_tags(self) -> set[Tag]:
-        return {(id_column, None) for id_column in self.origins}
+        return {Tag(id_column) for id_column in self.origins}
 
     def tags_of(self, columns) -> set[Tag]:
         return set().union(*[self.tags[c] for c in columns])
@@ -98,12 +112,16 @@ class TracedFrame:
         if self.ctx is not other.ctx:
             raise ValueError("both frames must come from one TraceContext")
 
+    def hidden(self) -> list[str]:
+        return [*self.origins, *self.ordinals, *self.choices]
+
     def _ids(self) -> list[Column]:
-        return [col(c) for c in self.origins]
+        return [col(c) for c in self.hidden()]
 
     def _with(self, full: DataFrame, **changes) -> "TracedFrame":
         state = dict(columns=self.columns, origins=self.origins, tags=self.tags, unique=self.unique,
-                     column_lineage=self.column_lineage, name=self.name, whole_group=self.whole_group)
+                     column_lineage=self.column_lineage, name=self.name, whole_group=self.whole_group,
+                     ordinals=self.ordinals, choices=self.choices)
         state.update(changes)
         return TracedFrame(self.ctx, full, **state)
 
@@ -144,12 +162,73 @@ class TracedFrame:
             chosen = chosen.when(condition, value)
         return self.with_columns({name: chosen.otherwise(otherwise)}, uses)
 
+    def _chosen(self, name: str, index: Column, value: Column, inputs: dict[int, set[Tag]]) -> "TracedFrame":
+        """A column whose lineage depends on the row: input sets by the number of the choice."""
+        choice = self.ctx.origin_column()
+        when: dict[Tag, set[int]] = {}
+        for number, tags in inputs.items():
+            for tag in tags:
+                when.setdefault(tag, set()).add(number)
+        everywhere = frozenset(inputs)
+        tags = frozenset(t if numbers == everywhere else t.under(choice, frozenset(numbers)) for t, numbers in when.items())
+        columns = self.columns if name in self.columns else [*self.columns, name]
+        return self._with(self.full.withColumns({choice: index, name: value}), columns=columns, tags=self.tags | {name: tags},
+                          choices=(*self.choices, choice), whole_group=self._unless_key([name]))
+
+    def derive_least(self, name: str, columns: list[str], largest: bool = False) -> "TracedFrame":
+        """The smallest (largest) of several columns, explained by the column it comes from; of equal
+        ones by the first.  Nulls are skipped; where all are null, the first column explains it."""
+        values = [col(c) for c in columns]
+        value = (F.greatest if largest else F.least)(*values)
+        index = F.coalesce(F.array_position(F.array(*values), value) - 1, F.lit(0)).cast("int")
+        return self._chosen(name, index, value, {i: self.tags_of([c]) for i, c in enumerate(columns)})
+
+    def derive_greatest(self, name: str, columns: list[str]) -> "TracedFrame":
+        return self.derive_least(name, columns, largest=True)
+
+    def derive_branch(self, name: str, branches: list[tuple[Column, Column, list[str], list[str]]], otherwise: Column,
+                      otherwise_uses: list[str]) -> "TracedFrame":
+        """A column chosen by conditions, explained by the branch taken.
+
+        A branch is (condition, value, columns the condition looks at, columns of the value).  The
+        lineage of a row has the value's columns of its branch and the columns of all conditions up to the
+        one that held; inputs of other branches are left out.  Compare :meth:`derive_when`.
+        """
+        index, value = F.lit(len(branches)), otherwise
+        for i, (condition, result, _, _) in reversed(list(enumerate(branches))):
+            index = F.when(condition, i).otherwise(index)
+            value = F.when(condition, result).otherwise(value)
+        looked: set[Tag] = set()
+        inputs = {}
+        for i, (_, _, condition_uses, uses) in enumerate(branches):
+            looked = looked | self.tags_of(condition_uses)
+            inputs[i] = looked | self.tags_of(uses)
+        inputs[len(branches)] = looked | self.tags_of(otherwise_uses)
+        return self._chosen(name, index, value, inputs)
+
     def explode(self, name: str, array: Column, uses: list[str] | None = None) -> "TracedFrame":
-        """One row per array element; every child keeps the ids of its parent row."""
+        """One row per array element; every child keeps the ids of its parent row and has its ordinal."""
         inputs = frozenset(self.row_tags() if uses is None else self.tags_of(uses))
         columns = self.columns if name in self.columns else [*self.columns, name]
-        return self._with(self.full.withColumn(name, F.explode(array)), columns=columns,
-                          tags=self.tags | {name: inputs}, unique=False, whole_group=None)
+        ordinal = self.ctx.origin_column()
+        kept = [col(c) for c in self.full.columns if c != name]
+        return self._with(self.full.select(*kept, F.posexplode(array).alias(ordinal, name)), columns=columns,
+                          tags=self.tags | {name: inputs}, unique=False, whole_group=None, ordinals=(*self.ordinals, ordinal))
+
+    def explode_function(self, function, arguments: list[str], names: list[str], uses: list[str] | None = None) -> "TracedFrame":
+        """One row per row that a user-defined table function returns for ``arguments``.
+
+        ``function`` is a table function (``pyspark.sql.functions.udtf``) called once per row, laterally; its
+        result columns become ``names``.  Children keep the ids of their row.  A function without
+        result rows drops the row.
+        """
+        inputs = frozenset(self.row_tags() if uses is None else self.tags_of(uses))
+        clash = set(names) & set(self.columns)
+        if clash:
+            raise ValueError(f"name other columns: {sorted(clash)}")
+        made = function(*[col(a).outer() for a in arguments]).toDF(*names)
+        return self._with(self.full.lateralJoin(made), columns=[*self.columns, *names],
+                          tags=self.tags | {n: inputs for n in names}, unique=False, whole_group=None)
 
     def promote(self, columns: list[str] | None = None) -> "TracedFrame":
         """Switch to column-level lineage: each named column starts with the row's whole lineage."""
@@ -169,26 +248,33 @@ class TracedFrame:
         clash = (set(self.columns) & set(other.columns)) - set(on)
         if clash:
             raise ValueError(f"rename before the join: {sorted(clash)}")
-        renamed = {c: self.ctx.origin_column() for c in other.origins if c in self.origins}
+        renamed = {c: self.ctx.origin_column() for c in other.hidden() if c in self.hidden()}
         right = other.full.withColumnsRenamed(renamed)
-        right_tags = {c: frozenset((renamed.get(i, i), p) for i, p in ts) for c, ts in other.tags.items()}
+        right_tags = {c: frozenset(t.renamed(renamed) for t in ts) for c, ts in other.tags.items()}
         origins = self.origins | {renamed.get(c, c): o for c, o in other.origins.items()}
         tags = self.tags | {c: (self.tags[c] | ts if c in on else ts) for c, ts in right_tags.items()}
         columns = [*on, *[c for c in self.columns if c not in on],
                    *[c for c in other.columns if c not in on]]
         return self._with(self.full.join(right, on), columns=columns, origins=origins, tags=tags,
                           unique=False, name=f"{self.name}+{other.name}", whole_group=None,
+                          ordinals=(*self.ordinals, *[renamed.get(c, c) for c in other.ordinals]),
+                          choices=(*self.choices, *[renamed.get(c, c) for c in other.choices]),
                           column_lineage=self.column_lineage or other.column_lineage)
 
     def union(self, other: "TracedFrame") -> "TracedFrame":
-        """Rows of both frames (same columns); each row keeps the ids of its own side."""
+        """Rows of both frames (same columns); each row keeps the ids of its own side, and the side
+        itself where both sides descend from one source."""
         self._same_context(other)
         if set(self.columns) != set(other.columns):
             raise ValueError("a union needs the same columns on both sides")
         shared = set(self.origins) & set(other.origins)
         tags = {c: self.tags[c] | other.tags[c] for c in self.columns}
-        both = self.full.unionByName(other.full, allowMissingColumns=True)
-        return self._with(both, origins=self.origins | other.origins, tags=tags, whole_group=None,
+        left, right, ordinals = self.full, other.full, dict.fromkeys([*self.ordinals, *other.ordinals])
+        if shared:
+            side = self.ctx.origin_column()
+            left, right, ordinals = left.withColumn(side, F.lit(0)), right.withColumn(side, F.lit(1)), ordinals | {side: None}
+        both = left.unionByName(right, allowMissingColumns=True)
+        return self._with(both, ordinals=tuple(ordinals), choices=tuple(dict.fromkeys([*self.choices, *other.choices])), origins=self.origins | other.origins, tags=tags, whole_group=None,
                           unique=self.unique and other.unique and not shared,
                           column_lineage=self.column_lineage or other.column_lineage)
 
@@ -234,7 +320,7 @@ class TracedFrame:
     def _grouped(self, plain: DataFrame, keys, aggs, influence, value, name) -> "TracedFrame":
         group = Group(self, tuple(keys), dict(aggs), influence, value)
         id_column = self.ctx.origin_column()
-        tags = {c: frozenset({(id_column, c)}) for c in [*keys, *aggs]}
+        tags = {c: frozenset({Tag(id_column, c)}) for c in [*keys, *aggs]}
         return TracedFrame(self.ctx, plain.withColumn(id_column, F.struct(*[col(k) for k in keys])),
                            [*keys, *aggs], {id_column: group}, tags, unique=True,
                            column_lineage=self.column_lineage,
@@ -282,13 +368,37 @@ class TracedFrame:
 
         return edges(self, keep, by_column)
 
-    def with_provenance(self) -> DataFrame:
-        """Every output row with each of its input ids."""
-        return self.edges(keep=self.columns)
+    def identified(self, name: str = "out_id") -> "TracedFrame":
+        """The frame with a visible column that tells its rows apart, equal ones too.
+
+        An output row is identified by the ids of the rows it is made of and the ordinals of the
+        array elements: a struct with a field per input (named after it) and ``element``, ``element_2``, ….  It
+        needs no shuffle and does not depend on partitioning.
+        """
+        fields: dict[str, Column] = {}
+        for hidden in [*self.origins, *self.ordinals]:
+            base = self.origins[hidden].name if hidden in self.origins and not isinstance(self.origins[hidden], Group) else (
+                "group" if hidden in self.origins else "element")
+            label, k = base, 2
+            while label in fields:
+                label, k = f"{base}_{k}", k + 1
+            fields[label] = col(hidden)
+        made = self.full.withColumn(name, F.struct(*[c.alias(label) for label, c in fields.items()]))
+        return self._with(made, columns=[name, *[c for c in self.columns if c != name]],
+                          tags=self.tags | {name: frozenset(self.row_tags())}, unique=True)
+
+    def with_provenance(self, identity: str | None = None) -> DataFrame:
+        """Every output row with each of its input ids.
+
+        ``identity`` names a column that tells output rows apart (see :meth:`identified`): each output then
+        has a set of its own.  Without it, equal outputs share one set.
+        """
+        frame = self if identity is None else self.identified(identity)
+        return frame.edges(keep=frame.columns)
 
-    def take_with_provenance(self, n: int) -> DataFrame:
+    def take_with_provenance(self, n: int, identity: str | None = None) -> DataFrame:
         """``with_provenance`` for ``n`` output rows."""
-        return self._with(materialize(self.full.limit(n), "taken"), whole_group=None).with_provenance()
+        return self._with(materialize(self.full.limit(n), "taken"), whole_group=None).with_provenance(identity)
 
     def trace(self, where: Column | str | None = None, columns: list[str] | None = None,
               rules: list[tuple[Column, list[str]]] | None = None) -> "Trace":

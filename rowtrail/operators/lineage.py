@@ -45,20 +45,25 @@ def resolve(frame: TracedFrame, rows: DataFrame, tags: set[Tag], carry: list[str
     holds every row of the frame, so the stage below needs no filter by group key.
     """
     reached: list[Reached] = []
-    for id_column, origin in frame.origins.items():
-        parts = {part for tag_id, part in tags if tag_id == id_column}
-        if not parts:
-            continue
+    wanted: dict[tuple, set[str | None]] = {}
+    for tag in sorted(tags, key=str):
+        wanted.setdefault((tag.id, tag.when), set()).add(tag.part)
+    for (id_column, when), parts in wanted.items():
+        if parts == wanted.get((id_column, frozenset())) and when:
+            continue  # asked for without a condition as well
+        origin = frame.origins[id_column]
         present = rows.where(col(id_column).isNotNull())
+        for choice, values in when:
+            present = present.where(col(choice).isin(sorted(values)))
         if not isinstance(origin, Group):
             found = present.select(*[col(c) for c in carry], col(id_column).alias(RID))
             reached.append(Reached(origin, found, frame.unique))
             continue
         parent = origin.parent
-        all_groups = complete and frame.whole_group is origin
-        link = _links(origin, present, id_column, carry, stored, frame.unique, all_groups)
+        all_groups = complete and not when and frame.whole_group is origin
+        link = _links(origin, present, id_column, carry, stored and not when, frame.unique, all_groups)
         for influence, value, parent_tags in origin.demands(parts):
-            kept = _group_rows(origin, link, influence, value, carry, all_groups)
+            kept = _group_rows(origin, link, influence, value, carry, all_groups, parent_tags)
             if visits is not None:
                 visits.append(Visit(depth, parent.name, kept.select(*[col(i) for i in parent.origins]),
                                     parent.unique))
@@ -87,8 +92,13 @@ def _links(group: Group, present: DataFrame, id_column: str, carry: list[str], s
     return link if stored and unique else materialize(link, "links")
 
 
+def _row_ids(parent: TracedFrame, tags: set[Tag]) -> list[str]:
+    """Columns an influence operator must keep: the ids, and the choices that the tags ask about."""
+    return [*parent.origins, *sorted({choice for tag in tags for choice, _ in tag.when})]
+
+
 def _group_rows(group: Group, link: DataFrame | None, influence, value: str | None, carry: list[str],
-                all_groups: bool) -> DataFrame:
+                all_groups: bool, tags: set[Tag]) -> DataFrame:
     """The influential input rows of the wanted groups, with the carried columns attached."""
     parent, keys, names = group.parent, list(group.keys), list(_link_names(group).values())
     base = parent.full
@@ -97,7 +107,7 @@ def _group_rows(group: Group, link: DataFrame | None, influence, value: str | No
         wanted = link.select(*names).distinct() if carry else link
         base = null_safe_join(base, wanted, keys, "left_semi", names)
     kept = base if everything else influence.keep(
-        base, keys, col(value) if value else F.lit(None), list(parent.origins))
+        base, keys, col(value) if value else F.lit(None), _row_ids(parent, tags))
     return null_safe_join(kept, link, keys, "inner", names) if carry else kept
 
 
@@ -119,14 +129,14 @@ def _edge_ids(frame: TracedFrame, keep: list[str], tags: set[Tag]) -> tuple[list
     group = frame.whole_group
     carry = [f"__c{i}" for i in range(len(keep))]
     if group is not None and set(keep) <= set(group.keys) and tags <= {
-            (i, p) for i in frame.origins for p in [None, *group.aggs, *group.keys]}:
+            Tag(i, p) for i in frame.origins for p in [None, *group.aggs, *group.keys]}:
         # the output is the group and the key identifies it: the input rows carry the key already
         reached: list[Reached] = []
-        parts = {part for _, part in tags}
+        parts = {tag.part for tag in tags}
         for influence, value, parent_tags in group.demands(parts):
             parent = group.parent
             kept = influence.keep(parent.full, list(group.keys), col(value) if value else F.lit(None),
-                                  list(parent.origins))
+                                  _row_ids(parent, parent_tags))
             carried = kept.withColumns({c: col(k) for c, k in zip(carry, keep)})
             reached += resolve(parent, carried, parent_tags, carry, complete=isinstance(influence, All))
         return reached, carry

@@ -57,6 +57,43 @@ def col_branch(spark, sf_dir):
     return frame.edges(by_column=["label", "price"])
 
 
+_USER_ENDS = """with r as (select user_id, event_id, value, row_number() over (partition by user_id order by value, event_id) lo,
+  row_number() over (partition by user_id order by value desc, event_id) hi from events),
+m as (select user_id, min(value) as low, max(value) as high from events group by 1)"""
+
+
+def _user_ends(spark, sf_dir):
+    return events(spark, sf_dir, column_lineage=True).group_agg(
+        "user_id", {"low": agg.smallest("value"), "high": agg.largest("value")})
+
+
+@query(f"""{_USER_ENDS} select user_id, 'least' as out_col, 'events' as src, event_id as rid from r join m using (user_id)
+where (hi = 1 and high <= 200 + 9 * low) or (lo = 1 and 200 + 9 * low < high)
+union all select user_id, 'greatest', 'events', event_id from r join m using (user_id)
+where (hi = 1 and high >= 200 + 9 * low) or (lo = 1 and 200 + 9 * low > high)
+union all select user_id, 'equal', 'events', event_id from r where lo = 1""")
+def col_least(spark, sf_dir):
+    """The smaller of two values is explained by the one that was chosen; of equal ones by the first."""
+    frame = _user_ends(spark, sf_dir).derive("bound", F.col("low") * 9 + 200, uses=["low"])
+    frame = (frame.derive("same", F.col("bound"), uses=["high"])
+             .derive_least("least", ["high", "bound"]).derive_greatest("greatest", ["high", "bound"])
+             .derive_least("equal", ["bound", "same"]))
+    return frame.edges(by_column=["least", "greatest", "equal"])
+
+
+@query(f"""{_USER_ENDS} select user_id, 'label' as out_col, 'events' as src, event_id as rid from r join m using (user_id)
+where hi = 1 or (lo = 1 and high <= 250)
+union all select user_id, 'price', 'events', event_id from r join m using (user_id)
+where hi = 1 or (lo = 1 and high <= 250 and low < 0.5)""")
+def col_branch_taken(spark, sf_dir):
+    """A value chosen by conditions is explained by the branch taken and the conditions looked at."""
+    frame = _user_ends(spark, sf_dir).derive_branch(
+        "label", [(F.col("high") > 250, F.lit("high"), ["high"], []), (F.col("low") < 0.5, F.lit("low"), ["low"], [])], F.lit("even"), [])
+    frame = frame.derive_branch("price", [(F.col("high") > 250, F.col("high") * 2, ["high"], ["high"]),
+                                          ((F.col("high") <= 250) & (F.col("low") < 0.5), F.col("low") * 3, ["high"], ["low"])], F.lit(1.0), [])
+    return frame.edges(by_column=["label", "price"])
+
+
 @query(f"""{_ENDS} select event_type, 'delta' as out_col, 'events' as src, event_id as rid
 from r where lo = 1 or hi = 1""")
 def col_minmax_delta(spark, sf_dir):

@@ -129,6 +129,43 @@ def prov_union(spark, sf_dir):
     return sides[0].union(sides[1]).with_provenance()
 
 
+@query("""select o_orderkey as out_order, c_custkey as out_customer, o_orderpriority, c_mktsegment, unnest(['orders', 'customer']) as src,
+  unnest([o_orderkey, c_custkey]) as rid from orders join customer on o_custkey = c_custkey""")
+def prov_join_rows(spark, sf_dir):
+    """Every row of a join with a set of its own: most rows have equal visible columns."""
+    ctx = TraceContext(spark)
+    orders = ctx.source("orders", table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderpriority", c_custkey=F.col("o_custkey"))
+    customers = ctx.source("customer", table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_mktsegment")
+    out = orders.join(customers, "c_custkey").select("o_orderpriority", "c_mktsegment")
+    return out.with_provenance("out").select(
+        F.col("out.orders").alias("out_order"), F.col("out.customer").alias("out_customer"), "o_orderpriority", "c_mktsegment", "src", "rid")
+
+
+@query("""select event_id as out_event, cast(unnest([0, 1, 2]) as integer) as out_element, event_type as key, 'events' as src, event_id as rid
+from events""")
+def prov_flatmap_repeats(spark, sf_dir):
+    """Three equal elements of a row are three outputs."""
+    out = events(spark, sf_dir).explode("key", F.array_repeat("event_type", 3)).select("key")
+    return out.with_provenance("out").select(
+        F.col("out.events").alias("out_event"), F.col("out.element").alias("out_element"), "key", "src", "rid")
+
+
+@query("""select event_id as id, cast(unnest([0, 1]) as integer) as number, unnest([split_part(props, ':', 1),
+  substring(props, instr(props, ':') + 1)]) as piece, 'events' as src, event_id as rid from events""")
+def prov_udtf(spark, sf_dir):
+    """A flat map by user code: each returned row keeps the id of the row it was made from."""
+    class Halves:  # sent to the executors by value
+        """The two parts of a text around its first colon, with their order."""
+
+        def eval(self, text: str):
+            for number, part in enumerate((text or "").split(":", 1)):
+                yield number, part
+
+    halves = F.udtf(Halves, returnType="number int, piece string")
+    out = events(spark, sf_dir).select("props", id=F.col("event_id")).explode_function(halves, ["props"], ["number", "piece"])
+    return out.select("id", "number", "piece").with_provenance()
+
+
 @query("select p_brand, 'part' as src, p_partkey as rid from part")
 def prov_distinct(spark, sf_dir):
     return (TraceContext(spark).source("part", table(spark, sf_dir, "part"), "p_partkey")

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from rowtrail.operators.frame import TracedFrame
+from rowtrail.operators.frame import Tag, TracedFrame
 from rowtrail.operators.keyed import col
 from rowtrail.scratch import materialize
 
@@ -61,5 +61,5 @@ class TraceContext:
         id_column = self.origin_column()
         visible = [c for c in df.columns if c != "__row"]
         return TracedFrame(self, df.withColumn(id_column, registered.row_id()), visible,
-                           {id_column: registered}, {c: frozenset({(id_column, None)}) for c in visible},
+                           {id_column: registered}, {c: frozenset({Tag(id_column)}) for c in visible},
                            unique=True, column_lineage=column_lineage, name=name)
