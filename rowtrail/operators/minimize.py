@@ -22,6 +22,8 @@ from rowtrail.sources.ids import with_position
 POS = "__pos"
 #: A subset of more intervals is written and numbered anew, so that it is one interval again.
 MAX_INTERVALS = 32
+#: So many removals at once are kept as intervals; more are a table that the candidates are joined with.
+FEW = 16
 Interval = tuple[int, int]  # [from, to)
 
 
@@ -102,9 +104,18 @@ def chunk_partials(partial: DataFrame, chunk: str, program: FoldedProgram) -> Da
     return partial.withColumns(columns)
 
 
+@dataclass(frozen=True)
+class Removal:
+    """Chunks that can go together: their numbers, or a table (``__chunk``) if there are many."""
+
+    count: int
+    chunks: list[int] | DataFrame
+
+
 @dataclass
 class Minimal:
-    """``rows``: the minimal failing input.  ``rounds``: one log row per round."""
+    """``rows``: the minimal failing input.  ``rounds``: one log row per round; ``part`` is the number
+    of the part found, or how many parts were taken out at once."""
 
     rows: DataFrame
     size: int
@@ -129,12 +140,17 @@ def minimize(candidates: DataFrame, ids: list[str], program, failing: Column | N
     """Shrink ``candidates`` to a minimal subset on which the program still fails.
 
     ``program`` is a :class:`FoldedProgram` or a function ``DataFrame -> DataFrame`` tested with
-    ``failing`` (one Spark job per test).  Order of the search: parts from first to last, then
+    ``failing`` (several tests a job).  Order of the search: parts from first to last, then
     complements from first to last, then twice as many parts; it ends at ``threshold`` rows or
     when nothing smaller fails.
 
+    Parts that can go one by one are taken out together, as many of them from the first on as leave a
+    failing input.  Every input gone on with has been seen to fail, and at the end no single row can
+    go; where several minimal inputs exist, another search order may find another one.
+
     With a folded program one job answers several rounds of halving at once, and otherwise all
-    parts of a round (and, if none fails, all complements in a second job).
+    parts of a round (and, if none fails, all complements in a second job).  The folds are kept for
+    chunks up to 64 times finer than a round asks for (``_FoldedSearch``), so finer rounds read no rows.
     """
     table = store_candidates(candidates, ids)
     total = table.count()
@@ -155,6 +171,15 @@ def minimize(candidates: DataFrame, ids: list[str], program, failing: Column | N
         started = time.time()
         found = search.next(current, parts)
         kind, j = found if found else ("none", None)
+        if kind == "complement":
+            removal, j = j, j.count
+            if isinstance(removal.chunks, list):
+                current = without(current, parts, removal.chunks)
+            else:
+                rows = search.chunked(current, parts).join(removal.chunks, "__chunk", "left_anti").drop("__chunk", POS)
+                table = store_candidates(rows, ids)
+                current = [(0, table.count())]
+                search.restart(table)
         rounds.append((len(rounds), n, parts, kind, j, time.time() - started))
         if found is None:
             if parts >= n:
@@ -163,7 +188,7 @@ def minimize(candidates: DataFrame, ids: list[str], program, failing: Column | N
         elif kind == "part":
             current, parts = part_of(current, parts, j), 2
         else:
-            current, parts = rest_of(current, parts, j), max(parts - 1, 2)
+            parts = max(parts - j, 2)
         if len(current) > MAX_INTERVALS:
             table = store_candidates(table.where(inside(current)).drop(POS), ids)
             current = [(0, size_of(current))]
@@ -177,10 +202,15 @@ def part_of(current: list[Interval], parts: int, j: int) -> list[Interval]:
     return ranks_between(current, bounds[j], bounds[j + 1])
 
 
-def rest_of(current: list[Interval], parts: int, j: int) -> list[Interval]:
+def without(current: list[Interval], parts: int, chunks: list[int]) -> list[Interval]:
+    """The subset less some of its ``parts`` equal runs."""
     n = size_of(current)
     bounds = chunk_bounds(n, parts)
-    return _joined(ranks_between(current, 0, bounds[j]) + ranks_between(current, bounds[j + 1], n))
+    out, at = [], 0
+    for j in sorted(chunks):
+        out += ranks_between(current, at, bounds[j])
+        at = bounds[j + 1]
+    return _joined(out + ranks_between(current, at, n))
 
 
 def _joined(intervals: list[Interval]) -> list[Interval]:
@@ -203,8 +233,12 @@ def _rank(current: list[Interval]) -> Column:
     return rank
 
 
+#: Tests of an arbitrary program that one job runs side by side.
+TESTS = 16
+
+
 class _TestedSearch:
-    """An arbitrary program: one job per tested subset."""
+    """An arbitrary program: each job runs the program on up to ``TESTS`` subsets, as branches of a union."""
 
     def __init__(self, table: DataFrame, program: Callable[[DataFrame], DataFrame], failing: Column):
         self.table, self.program, self.failing = table, program, failing
@@ -212,17 +246,32 @@ class _TestedSearch:
     def restart(self, table: DataFrame) -> None:
         self.table = table
 
+    def failing_of(self, subsets: list[list[Interval]]) -> list[int]:
+        """Numbers of the subsets that fail."""
+        branches = []
+        for number, intervals in enumerate(subsets):
+            out = self.program(self.table.where(inside(intervals)).drop(POS))
+            branches.append(out.where(self.failing).select(F.lit(number).alias("test")).limit(1))
+        return sorted(r["test"] for r in reduce(DataFrame.unionAll, branches).collect())
+
     def fails(self, intervals: list[Interval]) -> bool:
-        out = self.program(self.table.where(inside(intervals)).drop(POS))
-        return not out.where(self.failing).isEmpty()
-
-    def next(self, current: list[Interval], parts: int) -> tuple[str, int] | None:
-        for j in range(parts):
-            if self.fails(part_of(current, parts, j)):
-                return "part", j
-        for j in range(parts if parts > 2 else 0):  # the complement of one half is the other
-            if self.fails(rest_of(current, parts, j)):
-                return "complement", j
+        return bool(self.failing_of([intervals]))
+
+    def next(self, current: list[Interval], parts: int) -> tuple | None:
+        for start in range(0, parts, TESTS):
+            batch = range(start, min(start + TESTS, parts))
+            failing = self.failing_of([part_of(current, parts, j) for j in batch])
+            if failing:
+                return "part", batch[failing[0]]
+        for start in range(0, parts if parts > 2 else 0, TESTS):  # the complement of one half is the other
+            batch = range(start, min(start + TESTS, parts))
+            failing = [batch[i] for i in self.failing_of([without(current, parts, [j]) for j in batch])]
+            if len(failing) == parts:
+                failing.pop()  # something must stay
+            if failing:
+                longer = self.failing_of([without(current, parts, failing[:k]) for k in range(2, len(failing) + 1)]) if len(failing) > 1 else []
+                chunks = failing[:longer[-1] + 2 if longer else 1]
+                return "complement", Removal(len(chunks), chunks)
         return None
 
 
@@ -230,23 +279,29 @@ HALVINGS = 6
 
 
 class _FoldedSearch:
-    """A folded program: partial folds per chunk decide many subsets in one job."""
+    """A folded program: partial folds per chunk decide many subsets in one job.
+
+    The folds of a subset are stored as a dyadic table: for the finest chunks of up to ``2 ** HALVINGS`` times
+    as many parts as asked for.  Chunks of twice as many parts nest, so a coarser round merges neighbours of
+    that table and reads no candidates.
+    """
 
     def __init__(self, table: DataFrame, program: FoldedProgram):
         self.table, self.program = table, program
         self.keys = [col(k) for k in program.keys]
         self.known: dict[tuple[Interval, ...], bool] = {}  # halves judged ahead
+        self.fine: tuple | None = None  # (subset, parts, stored folds)
 
     def restart(self, table: DataFrame) -> None:
         """Go on with the survivors, under new positions."""
-        self.table, self.known = table, {}
+        self.table, self.known, self.fine = table, {}, None
 
     def fails(self, intervals: list[Interval]) -> bool:
         if tuple(intervals) not in self.known:
             self._judge_halves(intervals)
         return self.known[tuple(intervals)]
 
-    def next(self, current: list[Interval], parts: int) -> tuple[str, int] | None:
+    def next(self, current: list[Interval], parts: int) -> tuple | None:
         if parts == 2:
             halves = [part_of(current, 2, j) for j in range(2)]
             if tuple(halves[0]) not in self.known:
@@ -284,14 +339,32 @@ class _FoldedSearch:
         found = {r["__node"] for r in failing.collect()}  # at most 2 ** (HALVINGS + 1) numbers
         self.known = {tuple(piece): node in found for node, piece in pieces.items()}
 
-    def _round(self, current: list[Interval], parts: int) -> tuple[str, int] | None:
-        """All parts in one job; if none fails, all complements in another.  One summary row each
-        reaches the driver."""
-        program, keys = self.program, self.keys
-        n = size_of(current)
+    def chunked(self, current: list[Interval], parts: int) -> DataFrame:
+        """The rows of a subset with the number of their chunk."""
         rows = self.table.where(inside(current)).withColumn("__rank", _rank(current))
-        rows = rows.withColumn("__chunk", F.expr(f"__rank * {parts}L div {n}L")).drop("__rank", POS)
-        partial = materialize(own_partials(program.prepare(rows), "__chunk", program), "partials")
+        return rows.withColumn("__chunk", F.expr(f"__rank * {parts}L div {size_of(current)}L")).drop("__rank")
+
+    def _partials(self, current: list[Interval], parts: int) -> DataFrame:
+        """The folds of every (key, chunk), from the dyadic table if it has them."""
+        subset = tuple(current)
+        if self.fine is None or self.fine[0] != subset or self.fine[1] % parts or (self.fine[1] // parts).bit_count() > 1:
+            finest = parts
+            while finest * 2 <= size_of(current) and finest < parts << HALVINGS:
+                finest *= 2
+            rows = self.program.prepare(self.chunked(current, finest).drop(POS))
+            self.fine = (subset, finest, materialize(own_partials(rows, "__chunk", self.program), "dyadic"))
+        _, finest, table = self.fine
+        if finest == parts:
+            return table
+        merged = {"__n": F.sum("__n")} | {name: _MERGE[f.merge](name) for name, f in self.program.folds.items()}
+        coarser = table.withColumn("__chunk", F.shiftright("__chunk", (finest // parts).bit_length() - 1))
+        return coarser.groupBy(*self.keys, "__chunk").agg(*[e.alias(n) for n, e in merged.items()])
+
+    def _round(self, current: list[Interval], parts: int) -> tuple | None:
+        """All parts in one job; if none fails, all complements in another, and a third for how many parts
+        can go at once.  A few numbers reach the driver."""
+        program, keys = self.program, self.keys
+        partial = self._partials(current, parts)
         first = partial.where(program.failing).agg(F.min("__chunk").alias("part")).first()["part"]
         if first is not None:
             return "part", first
@@ -313,9 +386,35 @@ class _FoldedSearch:
         # chunk is judged, also those in which nothing fails.
         every = self.table.sparkSession.range(parts).withColumnRenamed("id", "__chunk")
         judged = every.join(per_chunk, "__chunk", "left").na.fill(0).withColumn("keys", failing_keys.scalar())
-        first = (judged.where(col("rest") + col("keys") - col("whole") > 0)
-                 .agg(F.min("__chunk").alias("part")).first()["part"])
-        return ("complement", first) if first is not None else None
+        loose = judged.where(col("rest") + col("keys") - col("whole") > 0).select("__chunk")
+        return self._several(partial, loose)
+
+    def _several(self, partial: DataFrame, loose: DataFrame) -> tuple | None:
+        """How many of the chunks that can go one by one can go together, from the first on.
+
+        Per key, the chunks that stay are one fold; suffix folds over the loose ones give the output
+        after each removal, which holds until the key loses its next chunk.  The last count at which
+        some key fails is the answer.
+        """
+        program, keys = self.program, self.keys
+        ranked = with_position(loose.withColumnRenamed("__chunk", "__loose"), ["__loose"], "__turn").withColumnRenamed("__loose", "__chunk")
+        total = ranked.count()
+        if total == 0:
+            return None
+        merges = {"__n": "sum"} | {name: f.merge for name, f in program.folds.items()}
+        turns = (partial.join(ranked, "__chunk", "left").withColumn("__turn", F.coalesce("__turn", F.lit(total)))
+                 .groupBy(*keys, "__turn").agg(*[_MERGE[m](name).alias(name) for name, m in merges.items()]))
+        start = turns.select(*keys).distinct().withColumn("__turn", F.lit(-1).cast("bigint"))
+        ordered = Window.partitionBy(*keys).orderBy("__turn")
+        after = ordered.rowsBetween(1, Window.unboundedFollowing)
+        states = turns.unionByName(start, allowMissingColumns=True).select(
+            *keys, F.coalesce(F.lead("__turn").over(ordered), F.lit(total)).alias("__until"),
+            *[_MERGE[m](name).over(after).alias(name) for name, m in merges.items()])
+        count = states.where(col("__n") > 0).where(program.failing).agg(F.max("__until").alias("count")).first()["count"]
+        if not count:
+            return None
+        gone = ranked.where(col("__turn") < count).select("__chunk")
+        return "complement", Removal(count, [r["__chunk"] for r in gone.collect()] if count <= FEW else gone)
 
 
 def minimize_trace(trace, program, failing: Column | None = None, source: str | None = None,

@@ -157,6 +157,16 @@ def dd_minimal(spark, sf_dir):
     return minimize(rows, ["event_id"], program).rows
 
 
+@query("select event_id, event_type, value from events where value > 250")
+def dd_minimal_scattered(spark, sf_dir):
+    """Culprits all over the table, which only fail together: those of a round go at once."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    needed = rows.where(F.col("value") > 250).count()
+    program = FoldedProgram(["all"], {"hits": Fold(F.sum("hit"))}, F.col("hits") >= needed, prepare=lambda d: d.withColumns(
+        {"all": F.lit(0), "hit": (F.col("value") > 250).cast("int")}))
+    return minimize(rows, ["event_id"], program).rows
+
+
 @query("""select event_id, event_type, value from events where event_id in (
   (select min(event_id) from events where event_type = 'click' and value > 250),
   (select min(event_id) from events where event_type = 'purchase' and value > 250))""")

@@ -108,12 +108,42 @@ def test_splits(spark):
         split_weighted(positioned, [], 10)
 
 
-@pytest.mark.parametrize("hits", [range(0, 90, 2)])
-def test_scattered_culprits(spark, hits):
-    """More intervals than one filter holds: the survivors are stored again and the search goes on."""
+@pytest.mark.parametrize("n, hits", [(90, range(0, 90, 2)), (2000, [i for i in range(2000) if i * 7919 % 4 == 0])])
+def test_scattered_culprits(spark, n, hits):
+    """Many removals are decided at once: 500 culprits among 2,000 candidates take a few dozen rounds."""
     hits = set(hits)
-    df = spark.range(90).select("id", F.col("id").isin(hits).cast("int").alias("hit")).repartition(3)
+    df = spark.range(n).select("id", F.col("id").isin(hits).cast("int").alias("hit")).repartition(3)
     program = FoldedProgram(["one"], {"hits": Fold(F.sum("hit"))}, F.col("hits") >= len(hits),
                             prepare=lambda d: d.withColumn("one", F.lit(1)))
     found = minimize(df, ["id"], program)
     assert {r["id"] for r in found.rows.collect()} == hits and found.size == len(hits)
+    assert len(found.rounds) <= 40
+
+
+def one_minimal(df, rows, need):
+    """Whether the kept values reach the sum, and no longer without any one of them."""
+    kept = [r["v"] for r in rows.collect()]
+    return sum(kept) >= need > sum(kept) - min(kept)
+
+
+def test_removals_that_exclude_each_other(spark):
+    """Each row can go alone but not all of them together: what stays still fails and is minimal."""
+    df = spark.range(200).select("id", (F.col("id") * 31 % 17 + 1).alias("v"), F.lit("k").alias("k"))
+    program = FoldedProgram(["k"], {"s": Fold(F.sum("v"))}, F.col("s") >= 900)
+    assert one_minimal(df, minimize(df, ["id"], program).rows, 900)
+
+
+def test_program_mode_takes_many_tests_a_job(spark):
+    hits = {3, 11, 12, 19, 28}
+    df = spark.range(32).select("id", F.col("id").isin(hits).cast("int").alias("hit"))
+    seen = []
+
+    def program(rows):
+        seen.append(1)
+        return rows.groupBy().agg(F.sum("hit").alias("hits"))
+
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    found = minimize(df, ["id"], program, F.col("hits") >= len(hits))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before)
+    assert {r["id"] for r in found.rows.collect()} == hits
+    assert len(seen) > 60 and jobs < len(seen) * 0.75
