@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rowtrail.llm.common import text_or_empty, texts
+from rowtrail.llm.common import stored, text_or_empty, texts
 
 PREFIXES = (4, 5, 6)
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -96,8 +96,10 @@ class OrdinalModel:
 def fit_toxicity(documents: DataFrame, labels: DataFrame, rows_per_label: int = 3000, seed: int = 11) -> OrdinalModel | None:
     """Fit on at most about ``rows_per_label`` labelled documents of each label, picked by a hash of the id.
 
-    An id with several labels counts as toxic if one says so; null ids and labels are left out.
-    None if either label is missing.
+    An id with several labels counts as toxic if one says so; null ids and labels are left out.  Of
+    rows that repeat an id one is taken, so the sample stays within its bound.  None if either label
+    is missing.  The picked ids are written, so that Catalyst sees how few they are and no text is
+    shuffled to find theirs.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
@@ -105,7 +107,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, rows_per_label: int =
         return None
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, min(1.0, rows_per_label / sizes[1])).otherwise(min(1.0, rows_per_label / sizes[0]))
-    picked = known.where(draw < share)
+    picked = stored(known.where(draw < share), "picked-labels")
 
     def run(batches):
         for batch in batches:
@@ -114,7 +116,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, rows_per_label: int =
                                              ["doc_id", "toxic", "words"])
 
     rows = (documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).join(picked, "doc_id")
-            .select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(run, "doc_id long, toxic int, words string").collect())
+            .select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(run, "doc_id long, toxic int, words string").groupBy("doc_id", "toxic").agg(F.min("words").alias("words")).collect())
     rows.sort(key=lambda r: (r[0], r[2]))
     if len({r[1] for r in rows}) < 2:
         return None
@@ -124,9 +126,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, rows_per_label: int =
 def grade_toxicity(documents: DataFrame, model: OrdinalModel | None, memory: int = 400_000) -> DataFrame:
     """``severity`` (expected grade), ``grade``, ``p_toxic`` and ``toxic`` for every whole text.
 
-    All other columns stay.  A null or empty text, and every text where there is no model, has
-    severity 0.  A document is toxic when P(grade > 0) is at least one half.
+    All other columns stay, but for those of these four names, which are replaced.  A null or empty
+    text, and every text where there is no model, has severity 0.  A document is toxic when
+    P(grade > 0) is at least one half.
     """
+    documents = documents.drop("severity", "grade", "p_toxic", "toxic")
     columns = documents.columns
     named = {c: f"__c{i}" for i, c in enumerate(columns)}
     tail = ", ".join(f"{named[f.name]} {f.dataType.simpleString()}" for f in documents.schema.fields)
