@@ -3,7 +3,8 @@
 A fold is a set of state columns computed from each row and a ``combine`` function that reduces
 several states of a key to one.  States are combined per Arrow batch before anything is shuffled,
 then per (key, slice of input partitions), then per key, so a hot key reaches one task only as a
-bounded number of states.
+bounded number of states.  After a shuffle the states come sorted by key and are combined batch by
+batch, all keys of a batch in one call; only the states of the last, still open key are carried on.
 """
 
 from __future__ import annotations
@@ -26,6 +27,33 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 Combine = Callable[[pd.DataFrame, list[str]], pd.DataFrame]
 
 
+def _same_key(states: pd.DataFrame, keys: list[str], row: pd.Series) -> pd.Series:
+    same = pd.Series(True, states.index)
+    for k in keys:
+        value = row[k]
+        missing = value is None or value is pd.NaT or value != value
+        same &= states[k].isna() if missing else states[k] == value
+    return same
+
+
+def combine_sorted(batches: Iterator[pd.DataFrame], combine: Combine, keys: list[str], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Combine the states of a partition sorted by key; holds one batch and the open key's states."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = batch.iloc[-1]
+        batch = batch[columns]
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        out = combine(batch, keys)[columns]
+        is_open = _same_key(out, keys, last)
+        held = out[is_open]
+        yield out[~is_open]
+    if held is not None:
+        yield held
+
+
 def fold(rows: DataFrame, keys: list[str], state: dict[str, Column], combine: Combine) -> DataFrame:
     """The combined state of every key: columns ``keys`` and those of ``state``."""
     states = rows.select(*[col(k) for k in keys], *[e.alias(n) for n, e in state.items()])
@@ -36,15 +64,15 @@ def fold(rows: DataFrame, keys: list[str], state: dict[str, Column], combine: Co
             if len(batch):
                 yield combine(batch, keys)[columns]
 
-    def per_group(group: pd.DataFrame) -> pd.DataFrame:
-        return combine(group[columns], keys)[columns]
+    def per_key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return combine_sorted(batches, combine, keys, columns)
 
     by_key = [col(k) for k in keys]
-    slices = max(2, shuffle_width(rows.sparkSession))
+    width = shuffle_width(rows.sparkSession)
     partial = states.mapInPandas(per_batch, schema)
-    sliced = partial.withColumn("__slice", F.spark_partition_id() % F.lit(slices))
-    merged = sliced.groupBy(*by_key, "__slice").applyInPandas(per_group, schema)
-    return merged.groupBy(*by_key).applyInPandas(per_group, schema)
+    sliced = partial.withColumn("__slice", F.spark_partition_id() % F.lit(max(2, width)))
+    merged = sliced.repartition(width, *by_key, "__slice").sortWithinPartitions(*by_key).mapInPandas(per_key, schema)
+    return merged.repartition(width, *by_key).sortWithinPartitions(*by_key).mapInPandas(per_key, schema)
 
 
 def moments_of(value: Column) -> dict[str, Column]:

@@ -147,8 +147,28 @@ class Union(Influence):
     def __init__(self, *parts: Influence):
         object.__setattr__(self, "parts", tuple(parts))
 
+    def _extremes(self) -> bool:
+        return all(type(part) in (Top, Bottom) and part.n == 1 for part in self.parts)
+
+    def _one_pass(self, rows, keys, value, ids):
+        """One partial aggregate that keeps a row per part: the extreme value, of equal ones the wanted id."""
+        valued = _with_value(rows, value)
+        row = F.struct(*[col(i) for i in ids])
+        buffers = []
+        for part in self.parts:
+            # the order of (value, ids), with the value turned round where value and ids go opposite ways
+            upwards = part.largest == (part.tie == "last")
+            ranked = F.struct((col(_V) if upwards else -col(_V)).alias("v"), row.alias("ids"))
+            buffers.append((F.max if part.tie == "last" else F.min)(ranked).getField("ids"))
+        kept = valued.groupBy(*[col(k) for k in keys]).agg(F.array_distinct(F.array(*buffers)).alias("__rows"))
+        return kept.select(*[col(k) for k in keys], F.explode("__rows").alias("__row")).select(
+            *[col(k) for k in keys], *[col("__row").getField(i).alias(i) for i in ids])
+
     def keep(self, rows, keys, value, ids):
         needed = [col(c) for c in [*keys, *ids]]
+        kind = rows.select(value.alias(_V)).schema[_V].dataType
+        if self._extremes() and isinstance(kind, (T.DoubleType, T.FloatType)) and not set(keys) & set(ids):
+            return self._one_pass(rows, keys, value, ids).select(*needed)
         kept = self.parts[0].keep(rows, keys, value, ids).select(*needed)
         for part in self.parts[1:]:
             kept = kept.unionByName(part.keep(rows, keys, value, ids).select(*needed))

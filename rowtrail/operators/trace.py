@@ -7,8 +7,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtrail.operators.frame import Group, TracedFrame
-from rowtrail.operators.keyed import col, null_safe_join
+from rowtrail.operators.keyed import col, fits_broadcast, null_safe_join
 from rowtrail.operators.lineage import RID, Reached, Visit, merged, resolve
+from rowtrail.operators.provenance import BITMAP_BYTES, bitmap_semi_join, id_bitmaps
 from rowtrail.scratch import materialize
 
 
@@ -80,11 +81,17 @@ class Trace:
         if src.integral_id():
             # the id range as literals reaches the scan and skips files and row groups outside it
             key = src.keys[0]
-            low, high = ids.agg(F.min(col(key)), F.max(col(key))).first()
+            low, high, buckets = ids.agg(F.min(col(key)), F.max(col(key)), F.count_distinct(F.bitmap_bucket_number(key))).first()
             inside = F.lit(False) if low is None else col(key).between(low, high)
-            return self._match(src, ids, "left_semi", src.df.where(inside))
+            found = src.df.where(inside)
+            if buckets * BITMAP_BYTES <= self.bitmap_limit and not fits_broadcast(ids):
+                return bitmap_semi_join(found, key, id_bitmaps(ids, key))
+            return self._match(src, ids, "left_semi", found)
         return self._match(src, ids, "left_semi")
 
+    #: Bitmaps of traced ids up to so many bytes are sent to the scan of the source; beyond, both are shuffled by id.
+    bitmap_limit = 64 << 20
+
     @staticmethod
     def _match(src, ids: DataFrame, how: str, rows: DataFrame | None = None) -> DataFrame:
         """Source rows joined with ids.  One key column is compared plainly (a row without id is
@@ -96,42 +103,50 @@ class Trace:
                 col(c) for c in ids.columns if c not in src.keys and how != "left_semi"])
         return null_safe_join(rows, ids, list(src.keys), how)
 
-    def _judged(self, fault: Column, source: str | None) -> DataFrame:
-        """Every source row with two flags: is it a fault, was it traced."""
-        src = self._source(source)
-        flagged = self.ids(src.name).withColumn("__traced", F.lit(True))
-        return (self._match(src, flagged, "left")
-                .withColumn("__fault", F.coalesce(fault, F.lit(False)))
-                .withColumn("__traced", F.coalesce(col("__traced"), F.lit(False))))
+    def _faults(self, src, fault: Column) -> DataFrame:
+        return src.df.where(F.coalesce(fault, F.lit(False)))
 
     def metrics(self, fault: Column, source: str | None = None, count_outputs: bool = True) -> DataFrame:
         """One row: counts, precision, recall and yield of the trace against ``fault``.
 
-        Counting all outputs runs the job once more; ``count_outputs=False`` leaves it null.
+        The source is scanned for its counts and for its faults; only the faults' keys are joined with
+        the traced ids, so the source is not shuffled.  Counting all outputs runs the job once
+        more; ``count_outputs=False`` leaves it null.
         """
-        traced, is_fault = col("__traced"), col("__fault")
-        counts = self._judged(fault, source).agg(
-            F.count(F.lit(1)).alias("input_count"), F.count_if(is_fault).alias("fault_count"),
-            F.count_if(traced).alias("trace_count"), F.count_if(traced & is_fault).alias("correct_count"))
+        src = self._source(source)
+        ids = self.ids(src.name)
+        counts = src.df.agg(F.count(F.lit(1)).alias("input_count"), F.count_if(F.coalesce(fault, F.lit(False))).alias("fault_count"))
+        keys = [col(k) for k in src.keys]
+        hit = self._keys_match(src, self._faults(src, fault).select(*keys), ids, "left_semi")
         outputs = (self.frame.full.agg(F.count(F.lit(1))).scalar() if count_outputs
                    else F.lit(None).cast("bigint"))
-        targets = self._target_rows.agg(F.count(F.lit(1)))
+        counts = counts.select(
+            "input_count", outputs.alias("output_count"), self._target_rows.agg(F.count(F.lit(1))).scalar().alias("target_count"),
+            "fault_count", ids.agg(F.count(F.lit(1))).scalar().alias("trace_count"), hit.agg(F.count(F.lit(1))).scalar().alias("correct_count"))
         correct = col("correct_count")
         return counts.select(
-            "input_count", outputs.alias("output_count"), targets.scalar().alias("target_count"),
-            "fault_count", "trace_count", "correct_count",
+            "input_count", "output_count", "target_count", "fault_count", "trace_count", "correct_count",
             (col("fault_count") - correct).alias("missing_count"),
             (col("trace_count") - correct).alias("extra_count"),
             F.try_divide(correct.cast("double"), col("trace_count")).alias("precision"),
             F.try_divide(correct.cast("double"), col("fault_count")).alias("recall"),
             correct.alias("yield"))
 
+    @staticmethod
+    def _keys_match(src, rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return rows.join(ids, src.keys[0], how) if src.scalar_id else null_safe_join(rows, ids, list(src.keys), how)
+
     def diff(self, fault: Column, source: str | None = None) -> DataFrame:
-        """Source rows on which trace and fault disagree: ``kind`` untraced_fault or false_trace."""
+        """Source rows on which trace and fault disagree: ``kind`` untraced_fault or false_trace.
+
+        Faults are looked up among the traced ids, traced rows are judged: the other rows take no part.
+        """
         src = self._source(source)
-        return (self._judged(fault, source).where(col("__fault") != col("__traced"))
-                .withColumn("kind", F.when(col("__fault"), "untraced_fault").otherwise("false_trace"))
-                .select("kind", *[col(c) for c in src.df.columns]))
+        columns = [col(c) for c in src.df.columns]
+        missed = self._keys_match(src, self._faults(src, fault), self.ids(src.name), "left_anti")
+        wrong = self.rows(src.name).where(~F.coalesce(fault, F.lit(False)))
+        return (missed.select(F.lit("untraced_fault").alias("kind"), *columns)
+                .unionByName(wrong.select(F.lit("false_trace").alias("kind"), *columns)))
 
     def diff_values(self, fault: Column, columns: list[str], source: str | None = None) -> DataFrame:
         """The same comparison by value (multiset difference) instead of by row id."""

@@ -8,8 +8,8 @@ from rowtrail.operators import aggregates as agg
 from rowtrail.operators.folds import combine_moments, moments_of
 from rowtrail.operators.influence import Bottom, Top, Where
 from rowtrail.operators.keyed import attach_stats, group_stats
-from rowtrail.operators.provenance import (bitmap_size, bitmap_union, contains_all, provenance_bitmap,
-                                           provenance_size)
+from rowtrail.operators.provenance import (bitmap_contains, bitmap_size, bitmap_union, contains_all, number_ids,
+                                           provenance_bitmap, provenance_size)
 from rowtrail.plans.base import events, query, rounded, table
 from rowtrail.plans.programs import word_count
 from rowtrail.scratch import new_path
@@ -207,6 +207,21 @@ def prov_bitmap(spark, sf_dir):
     return bitmap_size(bitmaps.unionByName(any_type), ["event_type"])
 
 
+@query("""select l_returnflag, count(*) as ids, bool_and(l_quantity > 10) as contained from (select distinct l_returnflag, l_orderkey, l_linenumber,
+  l_partkey, l_suppkey, l_extendedprice, l_quantity from lineitem) group by 1""")
+def prov_bitmap_lineitem(spark, sf_dir):
+    """Bitmaps over a five-column id, by its number in the source's dictionary."""
+    ctx = TraceContext(spark)
+    frame = ctx.source("lineitem", table(spark, sf_dir, "lineitem"), LINEITEM_ID)
+
+    def sets(least):
+        edges = frame.group_agg("l_returnflag", {"qty": agg.total("l_quantity")}, Where(lambda v: v > least)).edges()
+        return provenance_bitmap(number_ids(edges, ctx.id_dictionary("lineitem"), LINEITEM_ID), ["l_returnflag"])
+
+    everything = sets(0)
+    return bitmap_size(everything, ["l_returnflag"]).join(bitmap_contains(sets(10), everything, ["l_returnflag"]), "l_returnflag")
+
+
 @query("""select event_type, bool_and(value > 50) as large_in_medium, bool_and(value > 200) as medium_in_large
 from events where value > 100 group by 1""")
 def prov_contains(spark, sf_dir):

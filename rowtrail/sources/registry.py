@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from rowtrail.operators.frame import Tag, TracedFrame
 from rowtrail.operators.keyed import col
 from rowtrail.scratch import materialize
+from rowtrail.sources.ids import with_position
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -38,6 +39,18 @@ class TraceContext:
         self.spark = spark
         self.sources: dict[str, Source] = {}
         self._origins = 0
+        self._dictionaries: dict[str, DataFrame] = {}
+
+    def id_dictionary(self, name: str) -> DataFrame:
+        """The ids of a source numbered from 0 in their order: its key columns and ``id_no``, written once.
+
+        Contiguous numbers make composite and text ids fit for bitmaps.
+        """
+        if name not in self._dictionaries:
+            source = self.sources[name]
+            ids = source.df.select(*[col(k) for k in source.keys]).distinct()
+            self._dictionaries[name] = materialize(with_position(ids, list(source.keys), "id_no"), "id-dictionary")
+        return self._dictionaries[name]
 
     def origin_column(self) -> str:
         self._origins += 1
