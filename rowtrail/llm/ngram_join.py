@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowtrail.llm.common import batch_bytes, mix64, sorted_groups, stored, text_or_empty
 from rowtrail.llm.components import connected_components
-from rowtrail.llm.cuckoo import CuckooFilter, shared_filter, shared_hits, without_ids
 
-#: Growth of the size bands, rows and n-grams of a block of the product, columns multiplied at once.
-BAND, BLOCK_ROWS, BLOCK_CELLS, CHUNK = 1.4, 2048, 1 << 21, 4096
+#: Growth of the size bands, rows and n-grams of a block of the product, columns multiplied at once.  A block
+#: pair needs about 40 bytes per pair of rows and 100 per n-gram: 100 MB.
+BAND, BLOCK_ROWS, BLOCK_CELLS, CHUNK = 1.4, 1024, 1 << 19, 2048
+#: Hashes of words, and groups of documents or documents, that a task remembers.
+KNOWN_WORDS, REMEMBERED = 100_000, 1 << 19
 
 
 class _Hashes(dict):
@@ -29,7 +31,7 @@ def ngram_set(text: bytes, width: int, known: _Hashes) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(known) > 500_000:
+    if len(known) > KNOWN_WORDS:
         known.clear()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - width + 1)
@@ -87,8 +89,40 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def sketch_of(cells: np.ndarray) -> bytes:
+    """The set as parities: a bit per column of a hashed row of n to 2 n bits, set if it holds an odd number of n-grams.
+
+    Two sets differ in at least as many n-grams as their sketches differ in bits.  A longer sketch
+    folds onto a shorter one (halves are added without carry).
+    """
+    bits = 1 << max(6, int(max(1, len(cells)) - 1).bit_length())
+    counts = np.bincount((mix64(cells) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1 == 1).tobytes()
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of any lengths as rows of words, all of the shortest length."""
+    shortest = min(map(len, sketches))
+    out = np.zeros((len(sketches), shortest // 8), np.uint64)
+    for row, sketch in zip(out, sketches):
+        row[:] = np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, shortest // 8), axis=0)
+    return out
+
+
+def may_link(left: list[bytes], left_n: np.ndarray, right: list[bytes], right_n: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets can have the similarity, by their sizes and the bits in which the sketches differ."""
+    words = _folded([*left, *right])
+    a, b = words[:len(left)], words[len(left):]
+    hits = np.zeros((len(a), len(b)), bool)
+    for i, row in enumerate(a):
+        apart = np.bitwise_count(b ^ row).sum(axis=1, dtype=np.int64)
+        both = left_n[i] + right_n
+        hits[i] = (apart <= (1 - threshold) / (1 + threshold) * both + 1e-9) & (np.minimum(left_n[i], right_n) >= threshold * np.maximum(left_n[i], right_n) - 1e-9)
+    return hits
+
+
 def document_classes(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, class, node, n): documents with equal n-gram sets have the same class; stored."""
+    """(doc_id, class, node, n, content, sketch): documents with equal n-gram sets have the same class; stored."""
     def run(batches):
         known = _Hashes()
         for batch in batches:
@@ -99,14 +133,19 @@ def document_classes(documents: DataFrame, width: int) -> DataFrame:
             nodes = [int.from_bytes(c[:8], "little", signed=True) if c else None for c in classes]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(classes, pa.binary()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 batch.column(2)], ["doc_id", "class", "node", "n", "content"])
+                 batch.column(2), pa.array([sketch_of(s) if len(s) else None for s in sets], pa.binary())],
+                ["doc_id", "class", "node", "n", "content", "sketch"])
 
     rows = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return stored(rows.withColumn("content", F.xxhash64("text")).mapInArrow(run, "doc_id long, class binary, node long, n long, content long"), "classes")
+    return stored(rows.withColumn("content", F.xxhash64("text")).mapInArrow(run, "doc_id long, class binary, node long, n long, content long, sketch binary"), "classes")
+
 
+def candidate_groups(documents: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(grp, node): the different groups of two or more nodes that share a column key.
 
-def candidate_edges(documents: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(a, b): nodes that share a column key, as a star per key; equal keys of a batch are joined before the shuffle."""
+    Near copies share nearly all of their keys, and a group is named by its members, so that keys with the same
+    members give one group.  A group of more than ``REMEMBERED`` nodes passes through and is named by its key.
+    """
     edges = _bands(threshold)
 
     def keys(batches):
@@ -120,47 +159,97 @@ def candidate_edges(documents: DataFrame, width: int, threshold: float) -> DataF
                 if not len(cells):
                     continue
                 node = int.from_bytes(class_of(cells)[:8], "little", signed=True)
-                if node in seen:
-                    continue
-                seen.add(node)
-                own = column_keys(cells, threshold, edges)
-                all_keys.append(own)
-                all_nodes.append(np.full(len(own), node, np.int64))
-            if not all_keys:
+                if node not in seen:
+                    seen.add(node)
+                    all_keys.append(column_keys(cells, threshold, edges))
+                    all_nodes.append(np.full(len(all_keys[-1]), node, np.int64))
+            if all_keys:
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(all_keys)), pa.array(np.concatenate(all_nodes))], ["key", "node"])
+
+    def groups(batches):
+        held_key, held_node, passing, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), None, set()
+        for batch in _with_end(batches):
+            last = batch is None
+            key, node = (held_key, held_node) if last else (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in ((0, held_key), (1, held_node)))
+            if not len(key):
                 continue
-            k, v = np.concatenate(all_keys), np.concatenate(all_nodes)
-            order = np.lexsort((v, k))
-            k, v = k[order], v[order]
-            first = np.diff(k, prepend=~k[:1]).astype(bool)
-            lead = v[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-            links = np.unique(np.stack([v[~first], lead[~first]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([_signed(k[first]), pa.array(v[first]), pa.nulls(int(first.sum()), pa.int64())], ["key", "a", "b"])
-            if len(links):
-                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())],
-                                                 ["key", "a", "b"])
-
-    def stars(batches):
-        lead_key = lead = None
-        for batch in batches:
-            key, a = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            is_link = np.asarray(batch.column(2).is_valid())
-            links = batch.filter(pa.array(is_link)).select([1, 2])
-            key, a = key[~is_link], a[~is_link]
-            if len(key):
-                first = np.append(True, key[1:] != key[:-1])
-                if lead_key is not None and key[0] == lead_key:
-                    first[0] = False
-                at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-                leads = np.where(at >= 0, a[np.maximum(at, 0)], lead if lead is not None else 0)
-                lead_key, lead = key[-1], leads[-1]
-                other = ~first & (a != leads)
-                if other.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(leads[other])], ["a", "b"])
-            if links.num_rows:
-                yield pa.RecordBatch.from_arrays(links.columns, ["a", "b"])
-
-    rows = documents.select(text_or_empty().alias("text")).mapInArrow(keys, "key long, a long, b long")
-    return (rows.repartition("key").sortWithinPartitions("key", "a").mapInArrow(stars, "a long, b long").distinct())
+            fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))  # a node repeats if batches hold equal sets
+            key, node = key[fresh], node[fresh]
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            keep = len(key) if last else int(starts[-1])  # the last run may go on
+            if not last and len(key) - keep > REMEMBERED:
+                passing = int(key[-1])
+                keep = len(key)
+            held_key, held_node = key[keep:], node[keep:]
+            key, node = key[:keep], node[:keep]
+            if not keep:
+                continue
+            starts = starts[starts < keep]
+            sizes = np.diff(np.append(starts, keep))
+            names = mix64(np.add.reduceat(mix64(node.view(np.uint64)), starts)).view(np.int64).copy()
+            whole = key[starts] == passing if passing is not None else np.zeros(len(starts), bool)
+            names[whole] = key[starts][whole]
+            wanted = sizes > 1
+            for i in np.flatnonzero(wanted & ~whole).tolist():
+                name = int(names[i])
+                wanted[i] = name not in seen
+                seen.add(name)
+            wanted |= whole
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            rows = np.repeat(wanted, sizes)
+            if rows.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)[rows]), pa.array(node[rows])], ["grp", "node"])
+
+    rows = documents.select(text_or_empty().alias("text")).mapInArrow(keys, "key long, node long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(groups, "grp long, node long").distinct()
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def candidate_edges(documents: DataFrame, known: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(a, b): a spanning forest of the nodes of every group whose sketches allow a link.
+
+    Sharing a key alone joins nothing: a common n-gram is in many sets that have little else in
+    common.  All pairs of a group are compared by sketch, block by block; ``known`` has a node's
+    size and sketch.
+    """
+    members = stored(candidate_groups(documents, width, threshold).join(
+        known.select("node", "n", "sketch"), "node"), "candidates")
+    blocks, pairs = _blocks(members, threshold, BLOCK_ROWS, None)
+    rows = _sides(blocks.select("grp", "block", "node", "n", "sketch"), pairs, ["node", "n", "sketch"])
+
+    def compare(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for group in sorted_groups(batches, ["grp", "bi", "bj"]):
+            side, node, n = (group.column(c).to_numpy() for c in ("side", "node", "n"))
+            sketch = group.column("sketch").to_pylist()
+            if len(root) > REMEMBERED:
+                root.clear()
+            if len(node) < 2 or len({find(x) for x in node.tolist()}) == 1:
+                continue  # joined already
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            right = right if len(right) else left
+            hits = may_link([sketch[i] for i in left], n[left], [sketch[i] for i in right], n[right], threshold)
+            a, b = [], []
+            for i, j in forest(hits):
+                x, y = int(node[left[i]]), int(node[right[j]])
+                if find(x) != find(y):
+                    root[find(x)] = find(y)
+                    a.append(x), b.append(y)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def _incidence(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -226,8 +315,8 @@ def ngram_classes(documents: DataFrame, width: int = 3, hundredths: int = 90) ->
     the other documents linked directly, ``component_id`` is the smallest doc_id that links reach.
 
     Equal sets are one row of the incidence matrix.  Rows that agree in a whole group of columns
-    (``column_keys``, which loses no pair) are brought together; each such group of rows is
-    multiplied block by block, overlap counts add up over chunks of columns, block pairs whose
+    (``column_keys``, which loses no pair) are compared by sketch (``may_link``, which loses none either);
+    what that leaves connected is multiplied block by block, overlap counts add up over chunks of columns, block pairs whose
     sizes cannot reach the similarity are skipped, and pairs below the bound are dropped inside
     the task: only link counts and a spanning forest leave it, so a group of near copies gives
     rows in proportion to its members.  N-grams are compared by 64-bit hashes.
@@ -238,13 +327,12 @@ def ngram_classes(documents: DataFrame, width: int = 3, hundredths: int = 90) ->
     threshold = hundredths / 100
     docs = documents.select("doc_id", "text")
     classes = document_classes(docs, width)
-    found = stored(candidate_edges(docs, width, threshold), "candidates")
-    groups = stored(connected_components(found), "groups")
     known = (classes.where("class is not null").groupBy("class").agg(
-        F.first("node").alias("node"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"),
+        F.first("node").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"),
         F.min("doc_id").alias("least"), F.min(F.struct("content", "doc_id")).alias("one")))
     known = stored(known, "known")
-    members = known.join(groups, "node").select("class", "n", "copies", F.col("component").alias("grp"),
+    groups = stored(connected_components(candidate_edges(docs, known, width, threshold)), "groups")
+    members = known.join(groups, "node").select("class", "node", "n", "copies", F.col("component").alias("grp"),
                                                 F.col("one.content").alias("content"), F.col("one.doc_id").alias("one_id"))
     members = stored(members, "members")
     edge_schema = "a binary, b binary, na long, nb long"
@@ -263,11 +351,11 @@ def ngram_classes(documents: DataFrame, width: int = 3, hundredths: int = 90) ->
                       F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _block_rows(docs: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Rows (grp, bi, bj, side, class, copies, cells) of the block pairs that can hold links, sorted.
+def _blocks(members: DataFrame, threshold: float, most_rows: int, most_cells: int | None) -> tuple[DataFrame, DataFrame]:
+    """The members (grp, node, n, …) with their block, and the pairs of blocks whose sizes allow a link.
 
-    A group is ordered by set size and cut into blocks of bounded rows and cells; the position
-    in a group comes from sums over sizes, not from one sorted group.
+    A group is ordered by set size and cut into blocks of about ``most_rows`` rows and ``most_cells`` n-grams; the
+    position in a group comes from sums over sizes, not from one sorted group.
     """
     from pyspark.sql import Window
 
@@ -276,43 +364,47 @@ def _block_rows(docs: DataFrame, members: DataFrame, width: int, threshold: floa
     sized = by_size.select("grp", "n", "m", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("rows_before"),
                            F.coalesce(F.sum(F.col("m") * F.col("n")).over(before), F.lit(0)).alias("cells_before"))
     # rows of one size are spread over that size's blocks by hash
-    fill = F.greatest(F.col("m") / BLOCK_ROWS, F.col("m") * F.col("n") / BLOCK_CELLS)
-    base = F.greatest(F.floor(F.col("rows_before") / BLOCK_ROWS), F.floor(F.col("cells_before") / BLOCK_CELLS))
+    fill, base = F.col("m") / most_rows, F.floor(F.col("rows_before") / most_rows)
+    if most_cells:
+        fill = F.greatest(fill, F.col("m") * F.col("n") / most_cells)
+        base = F.greatest(base, F.floor(F.col("cells_before") / most_cells))
     sized = sized.withColumn("base", base).withColumn("parts", F.greatest(F.lit(1), F.ceil(fill)))
     blocks = (members.join(sized, ["grp", "n"])
-              .withColumn("block", (F.col("base") + F.pmod(F.xxhash64("class"), F.col("parts"))).cast("int")))
-    blocks = stored(blocks.select("grp", "class", "n", "copies", "content", "one_id", "block"), "blocks")
+              .withColumn("block", (F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")))
+    blocks = stored(blocks.select(*members.columns, "block"), "blocks")
     spans = blocks.groupBy("grp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     i, j = spans.alias("i"), spans.alias("j")
     pairs = (i.join(j, (F.col("i.grp") == F.col("j.grp")) & (F.col("i.block") <= F.col("j.block")))
              .where((F.col("i.high") >= F.floor(F.col("j.low") * threshold)) & (F.col("j.high") >= F.floor(F.col("i.low") * threshold)))
              .select(F.col("i.grp").alias("grp"), F.col("i.block").alias("bi"), F.col("j.block").alias("bj")))
-    pairs = stored(pairs, "blockpairs")
+    return blocks, stored(pairs, "blockpairs")
+
 
-    shared = shared_filter(blocks.select("content").distinct())
+def _sides(rows: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (grp, bi, bj, side, *columns) of all block pairs, each pair in one task, sorted."""
+    left = rows.join(pairs, (rows.grp == pairs.grp) & (rows.block == pairs.bi)).select(pairs.grp, "bi", "bj", F.lit(0).alias("side"), *columns)
+    right = rows.join(pairs.where("bi < bj"), (rows.grp == pairs.grp) & (rows.block == pairs.bj)).select(pairs.grp, "bi", "bj", F.lit(1).alias("side"), *columns)
+    return left.unionByName(right).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "side", columns[0])
+
+
+def _block_rows(docs: DataFrame, members: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Rows (grp, bi, bj, side, class, copies, cells) of the block pairs that can hold links, sorted."""
+    blocks, pairs = _blocks(members, threshold, BLOCK_ROWS, BLOCK_CELLS)
 
     def cells(batches):
         known = _Hashes()
-        held = {k: CuckooFilter.from_bytes(f) for k, f in shared.value.items()} if shared is not None else None
         for batch in batches:
-            if held is not None:  # most documents have no partner: their sets are not made, nor shuffled
-                batch = batch.filter(pa.array(shared_hits(batch.column(1).to_numpy(), held)))
-            if batch.num_rows:
-                data, ends = batch_bytes(batch.column(2))
-                view = memoryview(data) if len(data) else memoryview(b"")
-                made = [ngram_set(bytes(view[a:b]), width, known).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["one_id", "content", "cells"])
-
-    picked = docs.select(F.col("doc_id").cast("long").alias("one_id"), F.xxhash64(text_or_empty()).alias("content"), text_or_empty().alias("text"))
-    keyed = blocks.select("grp", "class", "copies", "block", F.col("content").alias("c"), F.col("one_id").alias("o"))
-    made = picked.mapInArrow(cells, "one_id long, content long, cells binary")
-    sets = stored(made.join(keyed, (F.col("content") == F.col("c")) & F.col("one_id").eqNullSafe(F.col("o")))
-                  .select("grp", "class", "copies", "block", "cells"), "sets")
-    left = sets.join(pairs, (sets.grp == pairs.grp) & (sets.block == pairs.bi)).select(
-        pairs.grp, "bi", "bj", F.lit(0).alias("side"), "class", "copies", "cells")
-    right = sets.join(pairs.where("bi < bj"), (sets.grp == pairs.grp) & (sets.block == pairs.bj)).select(
-        pairs.grp, "bi", "bj", F.lit(1).alias("side"), "class", "copies", "cells")
-    return left.unionByName(right).repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj", "side", "class")
+            data, ends = batch_bytes(batch.column(0))
+            view = memoryview(data) if len(data) else memoryview(b"")
+            made = [ngram_set(bytes(view[a:b]), width, known).tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *batch.columns[1:]], ["cells", *batch.schema.names[1:]])
+
+    # most documents have no partner: their sets are not made; texts are shuffled once, at every size
+    texts = docs.select(text_or_empty().alias("text"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_or_empty()).alias("h"))
+    wanted = texts.join(blocks.hint("merge"), (F.col("h") == F.col("content")) & F.col("d").eqNullSafe(F.col("one_id")))
+    sets = wanted.select("text", "grp", "class", "copies", "block").mapInArrow(
+        cells, "cells binary, grp long, class binary, copies long, block int")
+    return _sides(stored(sets, "sets"), pairs, ["class", "copies", "cells"])
 
 
 def _multiply(hundredths: int):
@@ -359,5 +451,5 @@ def drop_near_copies(documents: DataFrame, width: int = 5, hundredths: int = 80)
 
     Rows that share an id are one document; rows without id stay.
     """
-    gone = ngram_classes(documents, width, hundredths).where("component_id <> doc_id").select("doc_id").distinct()
-    return without_ids(documents, "doc_id", stored(gone, "copies"))
+    gone = ngram_classes(documents, width, hundredths).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return documents.join(stored(gone, "copies").hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
