@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
 
 from rowtrail.llm.common import mix64
 
@@ -29,7 +27,7 @@ class CuckooFilter:
         room = max(room or 0, len(hashes))
         while True:
             made = cls.sized(room)
-            if all(made.insert(h) for h in hashes):
+            if made.insert_all(hashes):
                 return made
             room *= 2
 
@@ -51,6 +49,23 @@ class CuckooFilter:
     def _other(self, place: int, mark: int) -> int:
         return place ^ int(mix64(np.array([mark], np.uint64))[0] & np.uint64(len(self.slots) - 1))
 
+    def insert_all(self, hashes: np.ndarray) -> bool:
+        """Insert an array: whole arrays go to free slots of the first, then of the second bucket; only the rest kicks."""
+        hashes = np.asarray(hashes, np.uint64)
+        mark, first, second = self._places(hashes)
+        left = np.arange(len(hashes))
+        for places in (first, second):
+            order = left[np.argsort(places[left], kind="stable")]
+            bucket = places[order].astype(np.int64)
+            start = np.flatnonzero(np.diff(bucket, prepend=-1))
+            turn = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+            taken = (self.slots[bucket] != 0).sum(axis=1)  # slots fill from the left, but deletions leave holes
+            fits = turn < SLOTS - taken
+            hole = np.argsort(self.slots[bucket[fits]] != 0, axis=1, kind="stable")
+            self.slots[bucket[fits], hole[np.arange(int(fits.sum())), turn[fits]]] = mark[order[fits]]
+            left = order[~fits]
+        return all(self.insert(h) for h in hashes[left])
+
     def insert(self, value: int) -> bool:
         mark, a, b = (int(x[0]) for x in self._places(np.array([value], np.uint64)))
         for place in (a, b):
@@ -81,56 +96,3 @@ class CuckooFilter:
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         mark, a, b = self._places(hashes)
         return ((self.slots[a] == mark[:, None]) | (self.slots[b] == mark[:, None])).any(axis=1)
-
-
-SHARDS = 64
-
-
-def shared_filter(hashes: DataFrame, max_bytes: int = 64 << 20):
-    """A broadcast of one filter per shard over a table of distinct 64-bit hashes (its only column).
-
-    Only filter bytes reach the driver.  None if they exceed ``max_bytes``: the caller then does
-    without the filter.
-    """
-    name = hashes.columns[0]
-
-    def build(rows):
-        made = CuckooFilter.of(rows["h"].to_numpy().astype(np.int64).view(np.uint64))
-        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "filter": [made.to_bytes()]})
-
-    if hashes.count() * 2 * 2 > max_bytes:  # two bytes a slot, at least half of the slots in use
-        return None
-    rows = (hashes.select(F.col(name).alias("h"), F.pmod(F.col(name), F.lit(SHARDS)).cast("int").alias("shard"))
-            .groupBy("shard").applyInPandas(build, "shard int, filter binary").collect())
-    return hashes.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in rows})
-
-
-def shared_hits(hashes: np.ndarray, held: dict[int, CuckooFilter]) -> np.ndarray:
-    """Which int64 hashes are in the filter of their shard."""
-    hit, shard = np.zeros(len(hashes), bool), hashes % SHARDS
-    for s, one in held.items():
-        at = np.flatnonzero(shard == s)
-        if len(at):
-            hit[at] = one.contains(hashes[at].view(np.uint64))
-    return hit
-
-
-def without_ids(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """``rows`` whose long ``column`` is not in the table of distinct ``ids``; all columns stay.
-
-    Rows that the filter of the ids leaves out are passed on where they are; only the others are
-    joined, which makes the result exact.  A null is in no table.
-    """
-    name = ids.columns[0]
-    shared = shared_filter(ids)
-    if shared is None:
-        return rows.join(ids, rows[column] == ids[name], "left_anti")
-
-    @F.pandas_udf("boolean")
-    def near(values: pd.Series) -> pd.Series:
-        held = {k: CuckooFilter.from_bytes(f) for k, f in shared.value.items()}
-        return pd.Series(shared_hits(values.to_numpy().astype(np.int64), held))
-
-    marked = rows.withColumn("__near", near(F.coalesce(F.col(column).cast("long"), F.lit(0))))
-    maybe = marked.where("__near").join(ids.select(F.col(name).alias("__id")), F.col(column) == F.col("__id"), "left_anti")
-    return marked.where("not __near").unionByName(maybe).drop("__near")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,24 +28,29 @@ def _half(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(keys), np.uint64)[::2]
 
 
-def _shard(key: bytes, shards: int) -> int:
-    return int.from_bytes(key[-2:], "big") % shards
+#: Repeated lines of a shard: the number of shards follows their count.
+SHARD_LINES = 200_000
+LEAST_SHARDS = 16
 
 
 class LineStore:
     """Which lines repeat across documents; documents can be inserted and deleted again.
 
     ``postings`` has a row per document and distinct line of at least ``min_chars`` code points:
-    (key, doc_id, n), n counting insertions less deletions of rows.  ``counts`` sums it to exact
-    reference counts and keepers (the largest doc_id).  ``filters`` has one cuckoo filter per
-    shard of the keys that at least ``min_docs`` rows hold; it decides only which lines are looked
-    up in the exact table, so its false positives never change a result.
+    (key, doc_id, n), n counting insertions less deletions of rows.  ``heavy`` sums it to exact
+    reference counts and keepers (the largest doc_id) of the keys that at least ``min_docs`` rows hold.
+    ``filters`` has one cuckoo filter per shard of these keys; it decides only which lines are looked
+    up in the exact table, so its false positives never change a result.  Beyond ``max_filter_bytes``
+    the filters are not sent to the tasks and every line is looked up: the same rows, more of them
+    shuffled.  There are as many shards as keep ``SHARD_LINES`` keys in each.
+
+    Each row is a document of its own, also where ids repeat: a line counts once per row, and all
+    rows with the keeper's id keep it.  Null texts are one empty line.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int = 5, min_chars: int = 40, shards: int = 64,
-                 max_filter_bytes: int = 256 << 20):
+    def __init__(self, spark: SparkSession, min_docs: int = 5, min_chars: int = 40, max_filter_bytes: int = 256 << 20):
         self.spark, self.min_docs, self.min_chars = spark, min_docs, min_chars
-        self.shards, self.max_filter_bytes = shards, max_filter_bytes
+        self.shards, self.max_filter_bytes = LEAST_SHARDS, max_filter_bytes
         self.postings: DataFrame | None = None
         self.heavy: DataFrame | None = None
         self.filters: DataFrame | None = None
@@ -83,6 +89,11 @@ class LineStore:
             live = self.postings
         heavy = stored(live.groupBy("key").agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("keeper"))
                        .where(F.col("n_docs") >= self.min_docs), "heavy")
+        shards = max(LEAST_SHARDS, -(-heavy.count() // SHARD_LINES))
+        if self.filters is not None and shards > 2 * self.shards:
+            self.filters = None  # too few shards by now: all are built anew
+        if self.filters is None:
+            self.shards, self.heavy = shards, None
         self.filters = self._filters(self.heavy, heavy)
         self.heavy = heavy
         return self
@@ -95,8 +106,8 @@ class LineStore:
         else:
             changes = (old.select("key", F.lit(-1).alias("sign")).unionByName(new.select("key", F.lit(1).alias("sign")))
                        .groupBy("key").agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0"))
-        tail = F.conv(F.hex(F.substring("key", KEY_BYTES - 1, 2)), 16, 10).cast("int")
-        changes = changes.select((tail % shards).alias("shard"), "key", "sign")
+        tail = F.conv(F.hex(F.substring("key", KEY_BYTES - 3, 4)), 16, 10).cast("long")
+        changes = changes.select((tail % shards).cast("int").alias("shard"), "key", "sign")
         known = self.filters
 
         def build(state, rows):
@@ -106,9 +117,7 @@ class LineStore:
             if made is not None:
                 for h in drop:
                     made.delete(h)
-                if all(made.insert(h) for h in add):
-                    return made
-                return None
+                return made if made.insert_all(add) else None
             return CuckooFilter.of(add)
 
         def fresh(rows):
@@ -132,7 +141,7 @@ class LineStore:
         if not full:
             return made
         # a full filter is built anew, larger, from the exact table
-        again = (new.select((tail % shards).alias("shard"), "key", F.lit(1).alias("sign"))
+        again = (new.select((tail % shards).cast("int").alias("shard"), "key", F.lit(1).alias("sign"))
                  .where(F.col("shard").isin(full)).groupBy("shard").applyInPandas(fresh, schema))
         return stored(made.where("filter is not null").unionByName(again), "filters")
 
@@ -150,7 +159,7 @@ class LineStore:
         def near(batches):
             held = {s: CuckooFilter.from_bytes(f) for s, f in shared.value.items()}
             for batch in batches:
-                yield batch.filter(pa.array(_hits(batch.column(0).to_pylist(), held, shards)))
+                yield batch.filter(pa.array(_hits(b"".join(batch.column(0).to_pylist()), held, shards)))
 
         if shared is not None:
             keys = keys.mapInArrow(near, "key binary, doc_id long")
@@ -160,67 +169,55 @@ class LineStore:
     def apply(self, documents: DataFrame) -> DataFrame:
         """The documents with repeated lines taken out, and ``n_lines``, ``n_dropped``.
 
-        A null text stays null where nothing is dropped and counts as one empty line.  Rows with
-        equal ids lose the same lines.  Lines that only rows without id hold stay.  Texts of
-        documents without a line in the filters are not shuffled.
-        """
-        shared, min_chars, shards = self._shared_filters(), self.min_chars, self.shards
-        columns = documents.columns
-        schema = documents.schema
+        A null text stays null and counts as one empty line.  Rows with equal ids lose the same lines.
+        Lines that only rows without id hold stay.  All other columns stay, but for those of
+        these two names, which are replaced.
 
-        def touched(batches):
-            held = {s: CuckooFilter.from_bytes(f) for s, f in shared.value.items()} if shared is not None else None
-            for batch in batches:
-                flags = []
-                for text in texts(batch.column(0)):
-                    own = [k for k in _keys(text, min_chars) if k is not None]
-                    flags.append(bool(own) and (held is None or bool(_hits(own, held, shards).any())))
-                yield pa.RecordBatch.from_arrays([pa.array(flags, pa.bool_()), *batch.columns],
-                                                 ["__touched", *batch.schema.names])
+        The lines that go are known from the postings, so only documents that lose some are taken
+        apart again.  Their keys are joined by id, which shuffles the texts once at every size.
+        """
+        min_chars = self.min_chars
+        documents = documents.drop("n_lines", "n_dropped")
+        gone = stored(self._drops(self._shared_filters()).groupBy("doc_id").agg(F.collect_set("key").alias("gone")), "gone")
 
         def rewrite(batches):
             for batch in batches:
-                out, lines, dropped = [], [], []
-                for text, gone in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                    gone = set(gone or ())
-                    rows = text.split(b"\n")
-                    kept = [r for r, k in zip(rows, _keys(text, min_chars)) if k is None or k not in gone]
-                    out.append(b"\n".join(kept).decode())
-                    lines.append(len(rows))
-                    dropped.append(len(rows) - len(kept))
-                made = [pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], ["__text", "n_lines", "n_dropped",
-                                                                                *batch.schema.names[2:]])
-
-        rest = [f for f in schema.fields if f.name != "text"]
+                text, drops = batch.column(0), batch.column(1)
+                n_lines = pc.add(pc.fill_null(pc.count_substring(text, "\n"), 0).cast(pa.int64()), 1)
+                n_dropped, made = np.zeros(batch.num_rows, np.int64), []
+                hit = np.flatnonzero(np.asarray(drops.is_valid()) & np.asarray(text.is_valid()))
+                for i, raw, gone in zip(hit.tolist(), texts(text.take(pa.array(hit))), drops.take(pa.array(hit)).to_pylist()):
+                    gone, rows = set(gone), raw.split(b"\n")
+                    kept = [r for r, k in zip(rows, _keys(raw, min_chars)) if k is None or k not in gone]
+                    made.append(b"\n".join(kept).decode("utf-8", "surrogateescape"))
+                    n_dropped[i] = len(rows) - len(kept)
+                mask = np.zeros(batch.num_rows, bool)
+                mask[hit] = True
+                text = pc.replace_with_mask(text, pa.array(mask), pa.array(made, text.type))
+                yield pa.RecordBatch.from_arrays([text, n_lines, pa.array(n_dropped), *batch.columns[2:]],
+                                                 ["__text", "n_lines", "n_dropped", *batch.schema.names[2:]])
+
+        rest = [f for f in documents.schema.fields if f.name != "text"]
         named = {f.name: f"__c{i}" for i, f in enumerate(rest)}
-        flat = documents.select(F.col("text").cast("string").alias("__t"), *[F.col(f"`{f.name}`").alias(named[f.name]) for f in rest])
         tail = ", ".join(f"{named[f.name]} {f.dataType.simpleString()}" for f in rest)
-        marked = flat.mapInArrow(touched, f"__touched boolean, __t string, {tail}")
-        plain = marked.where("not __touched").select(
-            F.col("__t").alias("__text"), (F.length(F.coalesce("__t", F.lit(""))) - F.length(F.replace(
-                F.coalesce("__t", F.lit("")), F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
-            F.lit(0).cast("long").alias("n_dropped"), *named.values())
-        gone = self._drops(shared).groupBy("doc_id").agg(F.collect_set("key").alias("__gone"))
-        hit = marked.where("__touched").join(gone, F.col(named["doc_id"]).eqNullSafe(F.col("doc_id")), "left")
-        changed = hit.select("__t", "__gone", *named.values()).mapInArrow(
-            rewrite, f"__text string, n_lines long, n_dropped long, {tail}")
-        both = plain.unionByName(changed)
-        return both.select(*[F.col("__text").alias("text") if c == "text" else F.col(named[c]).alias(c) for c in columns],
-                           "n_lines", "n_dropped")
-
-
-def _hits(keys: list[bytes], held: dict[int, CuckooFilter], shards: int) -> np.ndarray:
-    """Which keys are in the filter of their shard."""
-    hit = np.zeros(len(keys), bool)
-    if not keys:
-        return hit
-    low = _half(keys)
-    shard = np.array([_shard(k, shards) for k in keys])
-    for s in np.unique(shard).tolist():
-        if s in held:
-            at = np.flatnonzero(shard == s)
-            hit[at] = held[s].contains(low[at])
+        flat = documents.select(F.col("text").cast("string").alias("__t"), *[F.col(f"`{f.name}`").alias(named[f.name]) for f in rest])
+        held = flat.join(gone.hint("merge"), F.col(named["doc_id"]).cast("long").eqNullSafe(F.col("doc_id")), "left")
+        out = held.select("__t", "gone", *named.values()).mapInArrow(rewrite, f"__text string, n_lines long, n_dropped long, {tail}")
+        return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(named[c]).alias(c) for c in documents.columns],
+                          "n_lines", "n_dropped")
+
+
+def _hits(keys: bytes, held: dict[int, CuckooFilter], shards: int) -> np.ndarray:
+    """Which of the joined keys are in the filter of their shard."""
+    low = np.frombuffer(keys, np.uint64)[::2]
+    shard = np.frombuffer(keys, ">u4")[3::4].astype(np.int64) % shards
+    hit = np.zeros(len(low), bool)
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for s, one in held.items():
+        at = order[bounds[s]:bounds[s + 1]]
+        if len(at):
+            hit[at] = one.contains(low[at])
     return hit
 
 
