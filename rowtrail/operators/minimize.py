@@ -24,6 +24,8 @@ POS = "__pos"
 MAX_INTERVALS = 32
 #: So many removals at once are kept as intervals; more are a table that the candidates are joined with.
 FEW = 16
+#: Numbers of so many parts are put in order by one task.
+MANY_PARTS = 1 << 16
 Interval = tuple[int, int]  # [from, to)
 
 
@@ -387,9 +389,9 @@ class _FoldedSearch:
         every = self.table.sparkSession.range(parts).withColumnRenamed("id", "__chunk")
         judged = every.join(per_chunk, "__chunk", "left").na.fill(0).withColumn("keys", failing_keys.scalar())
         loose = judged.where(col("rest") + col("keys") - col("whole") > 0).select("__chunk")
-        return self._several(partial, loose)
+        return self._several(partial, loose, parts)
 
-    def _several(self, partial: DataFrame, loose: DataFrame) -> tuple | None:
+    def _several(self, partial: DataFrame, loose: DataFrame, parts: int) -> tuple | None:
         """How many of the chunks that can go one by one can go together, from the first on.
 
         Per key, the chunks that stay are one fold; suffix folds over the loose ones give the output
@@ -397,7 +399,10 @@ class _FoldedSearch:
         some key fails is the answer.
         """
         program, keys = self.program, self.keys
-        ranked = with_position(loose.withColumnRenamed("__chunk", "__loose"), ["__loose"], "__turn").withColumnRenamed("__loose", "__chunk")
+        if parts <= MANY_PARTS:  # so few numbers are ranked in one task
+            ranked = materialize(loose.withColumn("__turn", F.row_number().over(Window.orderBy("__chunk")).cast("bigint") - 1), "loose")
+        else:
+            ranked = with_position(loose.withColumnRenamed("__chunk", "__loose"), ["__loose"], "__turn").withColumnRenamed("__loose", "__chunk")
         total = ranked.count()
         if total == 0:
             return None
