@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtrail.operators.aggregates import Agg
 from rowtrail.operators.influence import All, Bottom, Influence, Top
-from rowtrail.operators.keyed import col
+from rowtrail.operators.keyed import col, null_safe_join
 from rowtrail.scratch import materialize
 
 if TYPE_CHECKING:
@@ -396,6 +396,27 @@ class TracedFrame:
         frame = self if identity is None else self.identified(identity)
         return frame.edges(keep=frame.columns)
 
+    def with_provenance_size(self, name: str = "ids") -> DataFrame:
+        """The groups of an aggregation with the number of their distinct input rows.
+
+        Where all rows of a group count and they come from one source, that is one aggregate beside the
+        others: one scan, no lineage query.  Otherwise the sizes are counted from the edges and joined.
+        """
+        group = self.whole_group
+        if group is None or not set(group.keys) <= set(self.columns):
+            raise ValueError("sizes belong to the groups of an aggregation with its keys")
+        parent = group.parent
+        origins = list(parent.origins.values())
+        plain = not parent.column_lineage and isinstance(group.influence or All(), All)
+        if plain and len(origins) == 1 and not isinstance(origins[0], Group) and set(self.columns) == {*group.keys, *group.aggs}:
+            ids = F.count_distinct(*[col(c) for c in parent.origins]).alias(name)
+            return (parent.full.groupBy(*[col(k) for k in group.keys]).agg(*[a.expr.alias(n) for n, a in group.aggs.items()], ids)
+                    .select(*[col(c) for c in [*self.columns, name]]))
+        from rowtrail.operators.provenance import provenance_size
+
+        sizes = provenance_size(self.edges(keep=list(group.keys)), list(group.keys)).withColumnRenamed("ids", name)
+        return null_safe_join(self.df, sizes, list(group.keys), "left").na.fill(0, [name])
+
     def take_with_provenance(self, n: int, identity: str | None = None) -> DataFrame:
         """``with_provenance`` for ``n`` output rows."""
         return self._with(materialize(self.full.limit(n), "taken"), whole_group=None).with_provenance(identity)

@@ -209,9 +209,11 @@ class Outlier(Influence):
 @dataclass(frozen=True)
 class SequentialOutlier(Influence):
     """One-pass outliers: rows that stood out from the rows before them (or are among the first
-    ``warmup``) and that still stand out from the whole group.  "Before" is the order of the ids.
+    ``warmup``) and that still stand out from the whole group.  "Before" is the order of the columns
+    ``order`` (nulls first), then of the ids.
 
-    A group is not run through in one task.  Rows are range-partitioned on (key, id) into chunks;
+    A group is not run through in one task.  Rows are range-partitioned on (key, order, id) into chunks
+    of about ``chunk_rows`` rows;
     a group that spans chunks contains the first row of a chunk, so there are at most as many such
     groups as chunks.  Only these need statistics from other chunks: a summary of at most two rows
     per chunk, which is broadcast.  Everything else is a window within (key, chunk).  Deviations
@@ -220,12 +222,16 @@ class SequentialOutlier(Influence):
 
     z: float = 3.0
     warmup: int = 100
+    order: tuple[str, ...] = ()
+    chunk_rows: int = 250_000
 
     def keep(self, rows, keys, value, ids):
         ks, v = [col(k) for k in keys], col(_V)
         needed = [col(c) for c in [*keys, *ids]]
-        narrow = _with_value(rows, value.cast("double")).select(*needed, _V)
-        chunked = ordered_chunks(narrow, [*keys, *ids])
+        turns = {f"__turn{i}": col(c) for i, c in enumerate(self.order)}
+        narrow = _with_value(rows, value.cast("double")).select(*needed, *[c.alias(n) for n, c in turns.items()], _V)
+        chunks = max(1, -(-narrow.count() // self.chunk_rows))
+        chunked = ordered_chunks(narrow, [*keys, *turns, *ids], chunks)
         joined = null_safe_join(chunked, F.broadcast(self._spanning(chunked, keys)), [*keys, "__chunk"], "left")
 
         inside = Window.partitionBy(*ks, "__chunk").orderBy("__slot")

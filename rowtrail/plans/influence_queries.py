@@ -53,6 +53,7 @@ _CASES = [
     ("infl_converted", Converted(lambda v: v % 10, Top(3)), _ranked("value % 10 desc, event_id", 3)),
     ("infl_outlier", Outlier(), f"select event_type, event_id as rid, value from ({_OUTLIERS})"),
     ("infl_outlier_seq", SequentialOutlier(), _SEQUENTIAL),
+    ("infl_outlier_arrival", SequentialOutlier(order=("ts",)), _SEQUENTIAL.replace("order by event_id", "order by ts, event_id")),
     ("infl_custom", Custom(lambda rows, keys, value, ids: rows.where(F.col(ids[0]) % 7 == 0)),
      "select event_type, event_id as rid, value from events where event_id % 7 = 0"),
 ]

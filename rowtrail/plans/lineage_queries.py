@@ -86,9 +86,7 @@ def prov_flatmap(spark, sf_dir):
 select word, count(*) as n, count(distinct doc_id) as docs from w group by word""")
 def prov_wordcount(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    program = word_count(TraceContext(spark), docs, "doc_id")
-    sizes = provenance_size(program.output.edges(), ["word"])
-    return program.output.df.join(sizes, "word").select("word", "n", F.col("ids").alias("docs"))
+    return word_count(TraceContext(spark), docs, "doc_id").output.with_provenance_size("docs")
 
 
 # -- joins, set operations -----------------------------------------------------------------

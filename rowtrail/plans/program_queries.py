@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowtrail.functions.scalar import GPA_STEPS
+from rowtrail.operators.influence import Outlier
 from rowtrail.plans import programs
 from rowtrail.plans.base import add, query, rounded, table
 from rowtrail.scratch import materialize
@@ -198,11 +199,11 @@ def prog_snow_delta_rows_score(spark, sf_dir):
 _VAR_OUT = "select key, var_samp(cast(mm as double)) as variance from k group by key"
 
 
-def _far(key: str, value: str, rows: str) -> str:
-    """Ids at least three deviations from the mean of their group."""
+def _far(key: str, value: str, rows: str, z: float = 3) -> str:
+    """Ids at least ``z`` deviations from the mean of their group."""
     return (f"select id from (select id, {value} as v, avg({value}) over g as m, stddev_pop({value}) over g as sd, "
             f"min({value}) over g as v0, max({value}) over g as v1 from {rows} window g as (partition by {key})) "
-            "where v0 < v1 and sd > 0 and abs(v - m) / sd >= 3 * (1 - 1e-9)")
+            f"where v0 < v1 and sd > 0 and abs(v - m) / sd >= {z} * (1 - 1e-9)")
 
 
 @query(f"with {_SNOW} select key, round(variance, 2) as variance from ({_VAR_OUT})")
@@ -379,6 +380,15 @@ def prog_gpa_variance_score(spark, sf_dir):
     return _score(programs.gpa_variance(TraceContext(spark), _stored(spark, sf_dir, "grades"), "id"))
 
 
+@query(_score_sql(_GPA.replace(GRADES, ZEROS), "grades", _GPA_VAR, "variance > 0.96", _far(
+    "dept", "points", "(select * from p where dept in (select dept from o where variance > 0.96))", 2.5),
+    "course in ('Physics 401', 'Physics 402') and grade = 0"))
+def prog_gpa_variance_zeros_score(spark, sf_dir):
+    """The same program where grades of zero widen the spread: faults that its outlier rule reaches."""
+    return _score(programs.gpa_variance(TraceContext(spark), _stored(spark, sf_dir, "grades_with_zeros"), "id", Outlier(2.5),
+                                        F.col("course").isin(fx.ZEROED_COURSES) & (F.col("grade") == 0)))
+
+
 _COURSES = f"""{ZEROS}, p as (select id, course, grade, trim(regexp_extract(course, '^([^0-9]*)', 1)) as dept from grades),
 c as (select dept, course, avg(grade) as mean from p group by 1, 2),
 r as (select *, row_number() over (partition by dept order by mean, dept, course) lo,

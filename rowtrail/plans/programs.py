@@ -137,12 +137,12 @@ def gpa_two_level(ctx: TraceContext, table: DataFrame, ident: str,
     return Program(out, col("dept") == "CS", col("course").isin(INFLATED_COURSES))
 
 
-def gpa_variance(ctx: TraceContext, table: DataFrame, ident: str,
-                 influence: Influence = Outlier()) -> Program:
+def gpa_variance(ctx: TraceContext, table: DataFrame, ident: str, influence: Influence = Outlier(),
+                 fault: Column | None = None) -> Program:
     out = ctx.source("grades", table, ident).select(
         dept=department(col("course")), points=grade_points(col("grade"))).group_agg(
         "dept", {"variance": agg.population_variance("points")}, influence)
-    return Program(out, col("variance") > 0.96, col("course").isin(INFLATED_COURSES))
+    return Program(out, col("variance") > 0.96, col("course").isin(INFLATED_COURSES) if fault is None else fault)
 
 
 def course_extremes(ctx: TraceContext, table: DataFrame, ident: str, limit: int = 5) -> Program:

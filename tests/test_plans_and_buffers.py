@@ -1,6 +1,7 @@
 """Scoring that leaves the source where it is, numbered ids, sorted folds and one-pass extremes."""
 
 import re
+import statistics
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowtrail import aggregates as agg
 from rowtrail.operators.folds import combine_moments, combine_sorted, moments_of
-from rowtrail.operators.influence import All, Bottom, Max, Min, Procedural, Top, Union, Where
+from rowtrail.operators.influence import All, Bottom, Max, Min, Procedural, SequentialOutlier, Top, Union, Where
 from rowtrail.operators.provenance import (bitmap_contains, bitmap_semi_join, bitmap_size, id_bitmaps, number_ids,
                                            provenance_bitmap)
 
@@ -144,3 +145,34 @@ def test_extremes_in_one_pass(ctx, spark):
     assert kept(Min(), Max()) == [1, 3, 5, 8, 9] and kept(Min("last"), Max("last")) == [2, 4, 5, 8, 9] and kept(Max("last"), Max()) == [1, 2, 5, 9]
     several = frame.group_agg("k", {"d": agg.spread("v")}, Union(Top(2), Bottom(1))).edges()
     assert sorted(r["rid"] for r in several.collect()) == [1, 2, 3, 5, 8, 9]
+
+
+def test_sizes_come_with_the_aggregate(ctx, spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "b c b")], "id int, text string")
+    words = ctx.source("t", df, "id").explode("w", F.split("text", " ")).group_agg("w", {"n": agg.rows()})
+    sized = words.with_provenance_size()
+    assert sorted(sized.collect()) == [("a", 2, 1), ("b", 4, 3), ("c", 1, 1)]
+    assert "Join" not in str(sized._jdf.queryExecution().executedPlan().toString())
+    top = ctx.source("u", df, "id").explode("w", F.split("text", " ")).with_columns({"v": F.lit(1.0)}).group_agg("w", {"n": agg.total("v")}, Max())
+    assert sorted(top.with_provenance_size("sources").select("w", "sources").collect()) == [("a", 1), ("b", 1), ("c", 1)]
+    with pytest.raises(ValueError):
+        ctx.source("v", df, "id").with_provenance_size()
+
+
+@pytest.mark.parametrize("chunk_rows", [7, 60, 10_000])
+def test_outliers_by_arrival(ctx, spark, chunk_rows):
+    """The order of arrival decides, whatever the ids; any number of chunks gives the same rows."""
+    rows = [(i, "k" if i % 5 else "m", (i * 37) % 400, float((i * 7919) % 10) + (500.0 if i in (15, 203, 391) else 0.0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, k string, at int, v double")
+    out = ctx.source(f"t{chunk_rows}", df, "id").group_agg("k", {"s": agg.total("v")}, SequentialOutlier(warmup=10, order=("at",), chunk_rows=chunk_rows))
+    expected = set()
+    for key in "km":
+        own = sorted((at, i, v) for i, k, at, v in rows if k == key)
+        values = [v for *_, v in own]
+        mean, sd = statistics.fmean(values), statistics.pstdev(values)
+        for n, (_, i, v) in enumerate(own):
+            before = values[:n]
+            stood = n < 10 or (abs(v - statistics.fmean(before)) / statistics.pstdev(before) >= 3 if len(set(before)) > 1 else v != before[0])
+            if stood and abs(v - mean) / sd >= 3:
+                expected.add(i)
+    assert {r["rid"] for r in out.edges().collect()} == expected and expected
