@@ -28,17 +28,18 @@ def op8_line_dedup(spark, sf_dir):
 
 
 ORACLES["op8_line_dedup"] = """
-with split as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+with rows as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+split as (
+  select row, doc_id, unnest(string_split(text, chr(10))) as line,
+         generate_subscripts(string_split(text, chr(10)), 1) as pos from rows),
 keyed as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from split),
-heavy as (select k, max(doc_id) as keeper from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5),
-marked as (select s.*, h.k is not null and s.doc_id <> h.keeper as gone from keyed s left join heavy h on s.k = h.k)
+heavy as (select k, max(doc_id) as keeper from keyed where length(k) >= 40 group by k having count(distinct row) >= 5 and keeper is not null),
+marked as (select s.*, h.k is not null and s.doc_id is distinct from h.keeper as gone from keyed s left join heavy h on s.k = h.k)
 select doc_id, count(*) as n_lines, sum(gone::int)::bigint as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
-from marked group by doc_id
+from marked group by row, doc_id
 """
 
 
@@ -108,6 +109,23 @@ def op7_ngram_join(spark, sf_dir):
     return ngram_join.ngram_classes(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op7_ngram_join"] = r"""
+with recursive
+words as (select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select distinct row, array_to_string(w[i:i + 2], ' ') as s
+  from (select row, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from words where len(w) > 0)),
+sizes as (select row, count(*) as n from sets group by row),
+shared as (select a.row as x, b.row as y, count(*) as c from sets a join sets b on a.s = b.s and a.row < b.row group by 1, 2),
+links as (select x, y from shared join sizes a on a.row = x join sizes b on b.row = y where 100 * c >= 90 * (a.n + b.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach(x, y) as (select row, row from words union select reach.x, both_ways.y from reach join both_ways on reach.y = both_ways.x),
+parts as (select x, min(doc_id) as component_id from reach join words on words.row = y group by x)
+select doc_id, coalesce(n, 0) as n_shingles, (select count(*) from both_ways b where b.x = words.row) as n_links,
+  component_id from words left join sizes using (row) join parts on parts.x = words.row
+"""
+
+
 @query
 def op2_embedding_dedup(spark, sf_dir):
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
