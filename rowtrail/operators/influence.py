@@ -309,5 +309,7 @@ class Procedural(Influence):
     def keep(self, rows, keys, value, ids):
         from rowtrail.operators.folds import fold
 
+        if "value" in (*keys, *ids):
+            raise ValueError("prune sees the judged value as the column 'value': rename the key column of that name")
         state = {i: col(i) for i in ids} | {"value": value}
         return fold(rows, keys, state, self.prune).drop("value")

@@ -165,6 +165,9 @@ def edges(frame: TracedFrame, keep: list[str] | None, by_column: bool | list[str
             if out_cols != [None]:
                 found = found.withColumn("out_col", F.explode(F.array(*[F.lit(c) for c in out_cols])))
             parts.append((source, found))
+    taken = {"src", RID, *([] if by_column is False else ["out_col"])} & set(keep)
+    if taken:
+        raise ValueError(f"lineage has columns of its own with these names, rename yours: {sorted(taken)}")
     common = common_id_type([df for _, df in parts])
     labels = [*keep, *([] if by_column is False else ["out_col"])]
     result = None

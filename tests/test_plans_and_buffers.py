@@ -176,3 +176,15 @@ def test_outliers_by_arrival(ctx, spark, chunk_rows):
             if stood and abs(v - mean) / sd >= 3:
                 expected.add(i)
     assert {r["rid"] for r in out.edges().collect()} == expected and expected
+
+
+def test_names_that_lineage_needs(ctx, spark):
+    """A clash with a column of the lineage itself is refused, not answered wrongly."""
+    df = spark.createDataFrame([(1, "a", 1.0)], "id int, src string, v double")
+    frame = ctx.source("t", df, "id")
+    with pytest.raises(ValueError, match="src"):
+        frame.group_agg("src", {"s": agg.total("v")}).edges()
+    assert frame.group_agg("src", {"s": agg.total("v")}).trace(F.col("src") == "a").ids().count() == 1
+    renamed = frame.select("v", value=F.col("src"))
+    with pytest.raises(ValueError, match="value"):
+        renamed.group_agg("value", {"s": agg.total("v")}, Procedural(lambda rows, keys: rows)).edges()
