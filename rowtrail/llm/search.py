@@ -177,8 +177,8 @@ def _ranked(shared, top: int, n_docs: int, n_terms: int, first_only: bool):
                 continue
             cols, lengths = _unpacked(batch.column(2))
             tfs, _ = _unpacked(batch.column(3))
-            n = batch.column(1).to_numpy()
-            m = 50 + 50 * n * n_docs // n_terms
+            n = batch.column(1).to_pylist()
+            m = np.array([50 + 50 * own * n_docs // n_terms for own in n], np.int64)  # the product may leave 64 bits
             rows = np.repeat(np.arange(len(n)), lengths)
             tfs = tfs.astype(np.int64)
             impacts = ONE * tfs // (1000 * tfs + 20 * m[rows])
