@@ -190,7 +190,7 @@ def minimize(candidates: DataFrame, ids: list[str], program, failing: Column | N
         elif kind == "part":
             current, parts = part_of(current, parts, j), 2
         else:
-            parts = max(parts - j, 2)
+            parts = max(parts - j, 1) * 2  # finer at once; single rows are tried again until none can go
         if len(current) > MAX_INTERVALS:
             table = store_candidates(table.where(inside(current)).drop(POS), ids)
             current = [(0, size_of(current))]
