@@ -29,72 +29,79 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _bit(level: int, turn: int, bits: int, key: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(level), F.lit(turn), F.col(key)), F.lit(bits))
+#: 64-bit words of a filter in one row of a level.
+SHARD_WORDS = 8192
+
+
+def _probe(level: int, turn: int, within: int, key: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(level), F.lit(turn), F.col(key)), F.lit(within))
 
 
 class Cascade:
-    """Levels of Bloom filters as arrays of 64-bit words, each a scalar subquery of a stored table."""
+    """Levels of Bloom filters.  A level is a stored table ``(shard, words)``: a key's shard comes from its hash, and
+    its bits stand in that shard's words, an array of bounded length."""
 
-    def __init__(self, levels: list[tuple[int, int, DataFrame]]):
+    def __init__(self, levels: list[tuple[int, int, int, DataFrame]]):
         self.levels = levels
 
-    def contains(self, key: str) -> Column:
-        """Exact for every key of the universe that the cascade was built over."""
-        answer = F.lit(len(self.levels) % 2 == 1)
-        for n in reversed(range(len(self.levels))):
-            answer = F.when(self.within(n, key), answer).otherwise(F.lit(n % 2 == 1))
-        return answer
-
-    def within(self, n: int, key: str) -> Column:
-        bits, turns, words = self.levels[n]
-        array, hit = words.scalar(), F.lit(True)
+    def hits(self, rows: DataFrame, n: int, key: str, name: str) -> DataFrame:
+        """Adds whether level ``n`` holds the key; a small level is broadcast by Catalyst, a large one joined by shard."""
+        shards, bits, turns, words = self.levels[n]
+        held = words.select(F.col("shard").alias("__shard"), F.col("words").alias("__words"))
+        joined = rows.withColumn("__at", _probe(n, -1, shards, key)).join(held, F.col("__at") == F.col("__shard"), "left")
+        hit = F.col("__words").isNotNull()
         for turn in range(turns):
-            at = _bit(n, turn, bits, key)
-            word = F.get(array, F.shiftright(at, 6).cast("int"))
+            at = _probe(n, turn, bits, key)
+            word = F.get(F.col("__words"), F.shiftright(at, 6).cast("int"))
             hit = hit & (F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
-        return hit
+        return joined.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__at", "__shard", "__words")
+
+    def judged(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """Adds whether the key is listed; exact for every key of the universe that the cascade was built over."""
+        columns, answer = rows.columns, F.lit(len(self.levels) % 2 == 1)
+        for n in range(len(self.levels)):
+            rows = self.hits(rows, n, key, f"__hit{n}")
+        for n in reversed(range(len(self.levels))):
+            answer = F.when(F.col(f"__hit{n}"), answer).otherwise(F.lit(n % 2 == 1))
+        return rows.select(*[F.col(f"`{c}`") for c in columns if c != name], answer.alias(name))
 
 
-def build_cascade(universe: DataFrame, key: str, listed: str, rate: float = 0.02, max_bytes: int = 64 << 20,
-                  max_levels: int = 30) -> Cascade:
+def build_cascade(universe: DataFrame, key: str, listed: str, rate: float = 0.02, shard_words: int = SHARD_WORDS) -> Cascade:
     """Encode which keys of ``universe`` (distinct keys with a boolean ``listed``) are listed.
 
     Level 0 holds the listed keys, each further level the false positives that the level before
-    has among the keys of the other class.  Ends when there are none.  A level over ``max_bytes``
-    is refused with an error: shard the keys by hash then, and build a cascade per shard.
+    has among the keys of the other class.  Ends when there are none: every level has hashes of its
+    own and holds about ``rate`` of the keys of the level two before.  A level has as many shards as its
+    keys need, each one row of ``shard_words`` words built by itself, so no level is too large.
     """
     spark = universe.sparkSession
     left = stored(universe.select(F.col(key), F.col(listed).alias("inside")), "universe")
-    levels: list[tuple[int, int, DataFrame]] = []
+    levels: list[tuple[int, int, int, DataFrame]] = []
     while True:
         n = len(levels)
         inside = F.col("inside") == F.lit(n % 2 == 0)
         size = left.where(inside).count()
         if not size:
             return Cascade(levels)
-        if n == max_levels:
-            raise RuntimeError("the cascade did not end; are the keys distinct?")
-        bits = max(64, 64 * math.ceil(size * -math.log(rate) / math.log(2) ** 2 / 64))
-        if bits // 8 > max_bytes:
-            raise ValueError(f"a filter of {bits // 8} bytes is over the bound of {max_bytes}")
-        turns = max(1, round(bits / size * math.log(2)))
-        turns = min(turns, 16)
-        spots = left.where(inside).select(F.explode(F.array(*[_bit(n, t, bits, key) for t in range(turns)])).alias("at"))
-        words = (spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-                 .unionByName(spark.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")))
-                 .groupBy("word").agg(F.bit_or("bits").alias("bits")))
-        whole = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
-        levels.append((bits, turns, stored(whole, "bloom")))
+        needed = max(1, math.ceil(size * -math.log(rate) / math.log(2) ** 2 / 64))
+        shards = -(-needed // shard_words)
+        words = -(-needed // shards)
+        turns = max(1, min(16, round(64 * words * shards / size * math.log(2))))
+        spots = left.where(inside).select(_probe(n, -1, shards, key).alias("shard"), F.explode(F.array(*[_probe(n, t, 64 * words, key) for t in range(turns)])).alias("at"))
+        filled = (spots.groupBy("shard", F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+                  .unionByName(spark.range(shards * words).select((F.col("id") % shards).alias("shard"), F.expr(f"id div {shards}L").alias("word"), F.lit(0).cast("long").alias("bits")))
+                  .groupBy("shard", "word").agg(F.bit_or("bits").alias("bits")))
+        table = filled.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
+        levels.append((shards, 64 * words, turns, stored(table, "bloom")))
         # keys of this class are settled below; those of the other class stay if they are false positives
-        left = stored(left.where(inside | Cascade(levels).within(n, key)), "cascade")
+        left = stored(Cascade(levels).hits(left, n, key, "__hit").where(inside | F.col("__hit")).drop("__hit"), "cascade")
 
 
-def judge_urls(pages: DataFrame, cascade: Cascade | None, key: str = "key", rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, cascade: Cascade, key: str = "key", rules=RULES) -> DataFrame:
     """``host, path, rule, verdict`` for every row; without a rule the cascade blocks listed keys."""
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    listed = cascade.contains(key) if cascade is not None else F.lit(False)
-    return pages.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(listed, "block").otherwise("allow")), "listed": listed})
+    return (cascade.judged(pages, key, "listed").withColumn("rule", rule)
+            .withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))))
 
 
 def thin_pages(pages: DataFrame, min_words: int = 100) -> DataFrame:
