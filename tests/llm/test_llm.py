@@ -51,7 +51,8 @@ def test_secrets(spark):
     want = sorted((str(r[0]), hashlib.sha256(",".join(brute_secrets(r[1] or "")).encode()).hexdigest()) for r in rows)
     assert sorted((str(r.doc_id), r.base_sha256) for r in got) == want
     by = {r.doc_id: r for r in got}
-    assert "opaque" in by[None].spans and "opaque" not in by[3].spans and "opaque" not in by[4].spans
+    assert "opaque" in by[None].spans and not by[None].copied_spans
+    assert all("opaque" in by[i].spans and "opaque" in by[i].copied_spans for i in (3, 4))
     assert all(set(brute_secrets(t or "")) <= set(by[i].spans.split(",")) | {""} for i, t, *_ in rows if i in (2, 3, 7, None))
     assert secrets.scan_secrets(docs(spark, [])).count() == 0
 
@@ -78,7 +79,16 @@ def test_private_keys_are_owned_one_by_one(spark):
     assert one.spans == "pem:4:31" and one.n_live == 1
     # one key in two shapes is one value
     twice = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, [(1, pem(1), "en", "a"), (2, pem(1).replace("\n", "\\r\\n"), "en", "b")])).collect()}
-    assert not any("pem" in r.spans for r in twice.values())
+    assert all("pem" in r.spans and "pem" in r.copied_spans for r in twice.values())
+
+
+def test_long_secrets_are_whole(spark):
+    """No length hides a token or cuts a key: the first digit far inside, thousands of lines without an END line."""
+    late, only = "q" * 5000 + "1" + "z" * 40, "q" * 300
+    rows = [(1, f"see {late} end", "en", "a"), (2, f"see {only} end", "en", "a"), (3, pem(1, lines=5000, end=False), "en", "a"), (4, "G" * 100 + "_7" + "z" * 30, "en", "a")]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert got[1] == f"opaque:4:{4 + len(late)}" and not got[2] and got[4].startswith("opaque:0:132")
+    assert got[3].split(",")[0] == f"pem:0:{len(rows[2][1])}"
 
 
 def test_copies_hide_no_secret(spark):
@@ -91,9 +101,9 @@ def test_copies_hide_no_secret(spark):
     place = f"github:4:{4 + len(token(1))}"
     for i, r in got.items():
         live = not 10 <= i < 20
-        assert place in (r.spans if live else r.copied_spans).split(",") and place not in (r.copied_spans if live else r.spans).split(",")
+        assert place in r.spans.split(",") and (place in r.copied_spans.split(",")) != live
         assert (r.n_live > 0, r.n_copied > 0) == (live, not live)
-        assert r.n_live + r.n_copied == len([s for s in f"{r.spans},{r.copied_spans}".split(",") if s])
+        assert r.n_live + r.n_copied == len(r.spans.split(","))
 
 
 def brute_links(vecs, least=0.95):
@@ -218,6 +228,23 @@ def test_urls(spark):
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_words", [1, 3, 8192])
+def test_cascade_is_exact_with_any_shard(spark, shard_words):
+    universe = spark.range(4000).select(F.concat(F.lit("key"), "id").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
+    cascade = urls.build_cascade(universe, "key", "listed", shard_words=shard_words)
+    assert (shard_words > 8000) == (cascade.levels[0][0] == 1) and len(cascade.levels) > 1
+    rows = spark.range(4000).select("id", F.concat(F.lit("key"), "id").alias("key"), F.lit(1).alias("words"), F.lit(2).alias("shard"))
+    got = cascade.judged(rows, "key", "found")
+    assert got.columns == ["id", "key", "words", "shard", "found"] and got.where("found <> (id % 3 = 0)").isEmpty() and got.count() == 4000
+    assert cascade.levels[0][3].agg(F.max(F.size("words"))).first()[0] <= shard_words
+
+
+def test_long_urls(spark):
+    pages = spark.createDataFrame([(1, "x://A.com/de/" + "y" * 200_000, None), (2, "x://" + "h" * 100_000 + ".org/" + "?" * 9, "w " * 300)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urls.filter_urls(pages).collect()}
+    assert (got[1].rule, got[1].verdict, len(got[1].path)) == ("com/de/", "block", 200_004) and (got[2].rule, got[2].path) == ("org/", "/")
+
+
 def test_licenses(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0. See MIT  license", "en", "a"), (2, "GNU General-Public\nLicense; gnu general public license", "en", "a"),
             (3, None, None, None), (4, "mitlicense cc byte Émit license", "en", "a"), (5, "é cc by-nc 4.0", "en", "a"), (None, "", "en", "a")]
@@ -229,6 +256,29 @@ def test_licenses(spark):
     assert len(licenses.rules()) >= 200 and licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_suppression_against_brute_force(spark):
+    """By priority, then place; a span inside an accepted one goes, one around it stays."""
+    draw = np.random.default_rng(0)
+    parts = ["licensed under the mit license", "apache license version 2 0", "the", "gnu general public license v3 or later", "cc by nc sa 4 0", "all rights reserved",
+             "released under the terms of the bsd license", "public domain", "permission is hereby granted free of charge to any person obtaining a copy", "word", "copyright c 2020"]
+    gate = {}
+    for r in licenses.rules():
+        gate.setdefault(r[2], []).append(r)
+    for _ in range(60):
+        text = " ".join(parts[i] for i in draw.integers(0, len(parts), int(draw.integers(0, 25)))).encode()
+        found = sorted((r[0], m.start(), m.end(), f"{r[1]}-{m.groupdict()['v'].decode()}" if m.groupdict().get("v") else r[1], r[4])
+                       for r in licenses.rules() if r[2] in text for m in r[3].finditer(text))
+        kept = []
+        for _, a, b, label, weight in found:
+            if not any(x <= a and b <= y for x, y, *_ in kept):
+                kept.append((a, b, label, weight))
+        assert licenses.detect(text, gate) == sorted(kept)
+    long = "mit license " * 20_000
+    rows = [(1, long, "en", "a"), (1, long, "en", "a"), (2, "MIT  license", "en", "a"), (2, "mit-license", "en", "a")]
+    got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.labels) for r in licenses.scan_licenses(docs(spark, rows)).collect())
+    assert got == [(1, 40_000, 20_000, 0, 39_998, "mit")] * 2 + [(2, 2, 1, 0, 0, "mit")] * 2
+
+
 @pytest.mark.parametrize("width, hundredths", [(3, 90), (5, 80)])
 def test_ngram_join(spark, width, hundredths):
     draw = np.random.default_rng(width)
@@ -251,6 +301,50 @@ def test_ngram_join(spark, width, hundredths):
     assert kept == {i for i in sets if comp[i] == i}
 
 
+def test_common_ngrams_chain_nothing(spark):
+    """Documents made of shared passages have keys in common all along, yet only true links join them."""
+    passages = [" ".join(words(50 + i, 12, 10_000)) for i in range(40)]
+    rows = [(i, " ".join([passages[i % 40], passages[(i + 1) % 40], " ".join(words(1000 + i // 3, 14, 10_000))]), "en", "a") for i in range(120)]
+    rows += [(500 + i, f"{passages[0]} {passages[0]} x{i}", "en", "a") for i in range(30)]
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for i, t, *_ in rows}
+    links = {(a, b) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    frame = docs(spark, rows)
+    known = ngram_join.document_classes(frame.select("doc_id", "text"), 5).dropDuplicates(["class"])
+    edges = ngram_join.candidate_edges(frame.select("doc_id", "text"), known, 5, 0.8).collect()
+    group = components([r.node for r in known.select("node").collect()], [(r.a, r.b) for r in edges])
+    sizes = {}
+    for root in group.values():
+        sizes[root] = sizes.get(root, 0) + 1
+    assert max(sizes.values()) <= 30  # by keys alone all 150 would be one group
+    comp = components(list(sets), links)
+    assert {r.doc_id: (r.n_links, r.component_id) for r in ngram_join.ngram_classes(frame, 5, 80).collect()} == {
+        i: (sum(a == i for a, _ in links), comp[i]) for i in sets}
+
+
+def test_sketches_lose_nothing():
+    draw = np.random.default_rng(2)
+    for threshold in (0.8, 0.9):
+        for n in (1, 2, 9, 63, 64, 65, 200, 1500):
+            a = np.unique(draw.integers(0, 1 << 62, n).astype(np.uint64))
+            both = []
+            for gone in range(0, max(2, n // 4), max(1, n // 40)):
+                extra = draw.integers(0, 1 << 62, int(draw.integers(0, n // 8 + 2))).astype(np.uint64)
+                both.append(np.unique(np.concatenate([a[gone:], extra])))
+            both = [b for b in both if len(b)]
+            hits = ngram_join.may_link([ngram_join.sketch_of(a)], np.array([len(a)]), [ngram_join.sketch_of(b) for b in both], np.array([len(b) for b in both]), threshold)[0]
+            true = np.array([len(np.intersect1d(a, b)) >= threshold * len(np.union1d(a, b)) - 1e-12 for b in both])
+            assert hits[true].all()
+    far = [np.unique(draw.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(50)]
+    hits = ngram_join.may_link([ngram_join.sketch_of(s) for s in far], np.array([len(s) for s in far]), [ngram_join.sketch_of(s) for s in far], np.array([len(s) for s in far]), 0.8)
+    assert hits.sum() == 50
+
+
+def test_long_texts_and_ngrams(spark):
+    long = " ".join(words(9, 40_000, 30_000))
+    rows = [(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, " ".join(words(10, 40_000, 30_000)), "en", "a")]
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_classes(docs(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_ngram_edge_cases(spark):
     twice = docs(spark, [(1, "a b c d e f", "en", "a"), (1, "a b c d e f", "en", "a"), (None, "a b c d e f", "en", "a"), (None, None, None, None)])
     assert sorted(str(r.component_id) for r in ngram_join.ngram_classes(twice).collect()) == ["1", "1", "1", "None"]
@@ -301,6 +395,9 @@ def test_line_dedup_and_back(spark):
     rows = [(i, f"start {i}\n  {common.upper()}\t\nend\n{accents if i % 2 else 'none'}", "en", "a") for i in range(12)]
     rows += [(50, None, None, None), (51, "", "en", "a"), (52, f"{common}\n{common}", "en", "a"), (53, "É" * 39, "en", "a"), (54, "x" * 300_000, "en", "a")]
     take = lambda df: sorted((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in df.collect())
+    clashing = lines.line_dedup(docs(spark, rows))
+    assert clashing.columns == [c for c in DOCS.replace(" string", "").replace(" long", "").split(", ") if c != "n_lines"] + ["n_lines", "n_dropped"]
+    assert take(clashing) == brute_lines([r[:2] for r in rows])
     frame = docs(spark, rows).drop("n_lines")
     assert take(lines.line_dedup(frame)) == brute_lines([r[:2] for r in rows])
     store = lines.LineStore(spark).insert(frame)
@@ -317,6 +414,26 @@ def test_line_dedup_and_back(spark):
     assert {r.n_dropped for r in lines.line_dedup(nobody).collect()} == {0}
 
 
+def test_line_dedup_of_repeated_ids(spark):
+    """Each row is a document: five rows of one id make a line common, and the rows of the largest id keep it."""
+    line = "a line of forty characters or more, repeated often"
+    rows = [(1, f"{line}\nrest", "en", "a")] * 5 + [(2, line, "en", "a")] * 2 + [(3, f"{line[:30]}", "en", "a"), (None, line, "en", "a"), (2, None, "en", "a")]
+    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, str(r.text)) for r in lines.line_dedup(docs(spark, rows)).collect())
+    assert got == sorted([("1", 2, 1, "rest")] * 5 + [("2", 1, 0, line)] * 2 + [("3", 1, 0, line[:30]), ("None", 1, 1, ""), ("2", 1, 0, "None")])
+
+
+def test_shards_follow_the_count(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_LINES", 20)
+    base = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common line number "), F.col("id") % 200, F.lit(" and forty characters more of it")).alias("text"))
+    store = lines.LineStore(spark).insert(base.where("id % 200 < 30"))
+    assert store.shards == lines.LEAST_SHARDS and store.heavy.count() == 30
+    store.insert(base.where("id % 200 >= 30").withColumn("more", F.lit(1)))
+    assert store.heavy.count() == 200 and store.shards == lines.LEAST_SHARDS
+    monkeypatch.setattr(lines, "SHARD_LINES", 2)
+    store.insert(spark.createDataFrame([(5000, "one more line")], "doc_id long, text string"))
+    assert store.shards == 100 and store.apply(base).where("n_dropped <> cast(doc_id < 800 as bigint)").isEmpty()
+
+
 def test_cuckoo():
     draw = np.random.default_rng(0)
     held = draw.integers(0, 1 << 62, 5000).astype(np.uint64)
@@ -371,9 +488,11 @@ def test_toxicity(spark):
         labels += [(i, 1, int(i % 4 == 0))] if i < 300 else []
     rows += [(900, None, None, None), (901, "", "en", "a"), (902, "grunkster " + "calm " * 50_000, "en", "a"), (None, "zblort", "en", "a"), (4, rows[4][1], "en", "a")]
     labels += [(None, 1, 1), (950, None, None), (0, 1, 0)]
-    frame = docs(spark, rows).withColumn("severity_", F.lit(1))
+    frame = docs(spark, rows).withColumn("severity", F.lit(1)).withColumn("toxic", F.lit("?"))
     model = toxicity.fit_toxicity(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    got = toxicity.grade_toxicity(frame, model).collect()
+    graded = toxicity.grade_toxicity(frame, model)
+    assert len(set(graded.columns)) == len(graded.columns)
+    got = graded.collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows) and sum(by[i].toxic != (i % 4 == 0) for i in range(400)) <= 2
     assert by[902].toxic and by[None].toxic and not by[900].toxic and by[901].severity == 0.0
@@ -383,19 +502,45 @@ def test_toxicity(spark):
     assert toxicity.grade_toxicity(docs(spark, []), model).count() == 0
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline_against_a_plain_chain(spark, tmp_path):
+    """run() writes and rereads every stage; its rows equal a chain in Python over planted cases."""
+    import corpus_pipeline as pipeline
+
+    footer = "This footer of more than forty characters is found in many documents."
+    item = " ".join(words(5, 30))
+    plain = lambda i, n=40: " ".join(f"t{x}" for x in words(100 + i, n, 3000))
+    rows = [(i, f"{plain(i)}\n{footer}" if i % 4 == 0 else plain(i), "en", "abc"[i % 3]) for i in range(200)]
+    rows += [(300 + i, f"{plain(300 + i)} zblort grunkly {plain(i, 5)}", "en", "a") for i in range(60)]  # toxic
+    rows += [(400, plain(7) + " end", "en", "b"), (401, plain(8), "en", None), (402, plain(8), "de", "c")]  # near and exact copies
+    rows += [(500, f"{plain(500)} {item} {plain(501)}", "en", "a"), (501, None, None, None), (502, "", "en", "a"), (503, f"{footer}\n{footer}", "en", "b")]
+    labels = [(i, 1, int(300 <= i < 400)) for i, *_ in rows if i < 400 and i % 5]
+    frame = spark.createDataFrame([(i, t, l, s, len(t or "")) for i, t, l, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+
+    left = [(i, t, s) for i, t, _, s in rows if not 300 <= i < 400]
+    cut = {i: t for i, _, _, t in brute_lines([(i, t) for i, t, _ in left])}
+    left = [(i, cut[i] if t is not None else None, s) for i, t, s in left]
+    sets = {i: {tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t, _ in left}
+    comp = components(list(sets), [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    left = [(i, t, s) for i, t, s in left if comp[i] == i]
+    assert not {400, 401, 402} & {i for i, *_ in left}
+    left = [(i, t, s) for i, t, s in left if item not in (t or "")]
+    assert set(got) == {i for i, *_ in left} and 503 in got and 500 not in got
+    sizes, taken = {}, {}
+    for i, t, s in left:
+        assert got[i].size == len((t or "").split()) and got[i].taken % max(1, got[i].size) == 0
+        sizes[s] = sizes.get(s, 0) + got[i].size
+        taken[s] = taken.get(s, 0) + got[i].taken
+    target = brute_targets(sizes)
+    assert all(got[i].target == pytest.approx(target[s]) for i, _, s in left) and all(abs(taken[s] - target[s]) <= 80 for s in sizes)
+
+
+def test_pipeline_of_nothing(spark, sf_dir):
     import corpus_pipeline as pipeline
 
-    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in pipeline.STAGES[:-1]:
-        before = frame
-        frame = stage(spark, before, sf_dir)
-        assert frame.columns == pipeline.DOCUMENT, name
-        ids = {r[0] for r in before.select("doc_id").collect()}
-        kept = {r[0] for r in frame.select("doc_id").collect()}
-        assert kept <= ids and len(kept) > 0.7 * len(ids), name
-        frame = spark.createDataFrame(frame.collect(), before.select(*pipeline.DOCUMENT).schema)
-    assert pipeline.mix_sources(spark, frame, sf_dir).count() == frame.count()
-    empty = frame.limit(0)
+    empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
