@@ -143,7 +143,8 @@ def minimize(candidates: DataFrame, ids: list[str], program, failing: Column | N
 
     ``program`` is a :class:`FoldedProgram` or a function ``DataFrame -> DataFrame`` tested with
     ``failing`` (several tests a job).  Order of the search: parts from first to last, then
-    complements from first to last, then twice as many parts; it ends at ``threshold`` rows or
+    complements from first to last, then twice as many parts (more at first: a round of four costs as
+    much as one of 16); it ends at ``threshold`` rows or
     when nothing smaller fails.
 
     Parts that can go one by one are taken out together, as many of them from the first on as leave a
@@ -186,11 +187,11 @@ def minimize(candidates: DataFrame, ids: list[str], program, failing: Column | N
         if found is None:
             if parts >= n:
                 break
-            parts = min(n, parts * 2)
+            parts = min(n, max(parts * 2, search.wide))
         elif kind == "part":
             current, parts = part_of(current, parts, j), 2
         else:
-            parts = max(parts - j, 1) * 2  # finer at once; single rows are tried again until none can go
+            parts = max((parts - j) * 2, search.wide)  # finer at once; single rows are tried again until none can go
         if len(current) > MAX_INTERVALS:
             table = store_candidates(table.where(inside(current)).drop(POS), ids)
             current = [(0, size_of(current))]
@@ -242,6 +243,8 @@ TESTS = 16
 class _TestedSearch:
     """An arbitrary program: each job runs the program on up to ``TESTS`` subsets, as branches of a union."""
 
+    wide = TESTS  # parts of a round once halves do not fail: one job tests as many
+
     def __init__(self, table: DataFrame, program: Callable[[DataFrame], DataFrame], failing: Column):
         self.table, self.program, self.failing = table, program, failing
 
@@ -288,6 +291,8 @@ class _FoldedSearch:
     that table and reads no candidates.
     """
 
+    wide = 32  # parts of a round once halves do not fail: no dearer than four
+
     def __init__(self, table: DataFrame, program: FoldedProgram):
         self.table, self.program = table, program
         self.keys = [col(k) for k in program.keys]

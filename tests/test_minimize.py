@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import rowtrail.operators.minimize as minimizer
 from rowtrail import aggregates as agg
 from rowtrail.operators.minimize import (Fold, FoldedProgram, chunk_bounds, minimize, minimize_trace,
                                          ranks_between)
@@ -133,17 +134,11 @@ def test_removals_that_exclude_each_other(spark):
     assert one_minimal(df, minimize(df, ["id"], program).rows, 900)
 
 
-def test_program_mode_takes_many_tests_a_job(spark):
+def test_program_mode_takes_many_tests_a_job(spark, monkeypatch):
     hits = {3, 11, 12, 19, 28}
     df = spark.range(32).select("id", F.col("id").isin(hits).cast("int").alias("hit"))
-    seen = []
-
-    def program(rows):
-        seen.append(1)
-        return rows.groupBy().agg(F.sum("hit").alias("hits"))
-
-    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
-    found = minimize(df, ["id"], program, F.col("hits") >= len(hits))
-    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before)
+    tests, one_job = [], minimizer._TestedSearch.failing_of
+    monkeypatch.setattr(minimizer._TestedSearch, "failing_of", lambda self, subsets: tests.append(len(subsets)) or one_job(self, subsets))
+    found = minimize(df, ["id"], lambda rows: rows.groupBy().agg(F.sum("hit").alias("hits")), F.col("hits") >= len(hits))
     assert {r["id"] for r in found.rows.collect()} == hits
-    assert len(seen) > 60 and jobs < len(seen) * 0.75
+    assert len(tests) <= 20 and max(tests) == minimizer.TESTS and sum(tests) > 3 * len(tests)
