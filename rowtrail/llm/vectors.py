@@ -129,20 +129,23 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.95) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(both)), pa.int32()), pa.array(both[:, 1].astype(np.int32)))
                 own = batch.take(pa.array(at))
                 raw = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dims)
+                packed = both[:, 1].astype(np.int32).tobytes()
+                packed = [packed[4 * a:4 * b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(both)])]
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), pa.array(raw.view(f"V{dims * kind().itemsize}")[:, 0].tolist(), pa.binary()), own.column(2), own.column(3), lists],
-                    ["hash", "unit", "copies", "size", "filters"])
+                    [own.column(0), pa.array(raw.view(f"V{dims * kind().itemsize}")[:, 0].tolist(), pa.binary()), own.column(2), own.column(3), lists, pa.array(packed, pa.binary())],
+                    ["hash", "unit", "copies", "size", "filters", "packed"])
 
+    # the lists travel packed: only those of linked vectors are looked at again
     listed = stored(distinct.select("hash", "embedding", "copies", "size").mapInArrow(
-        decode, "hash string, unit binary, copies long, size int, filters array<int>").withColumn("id", F.monotonically_increasing_id()), "listed")
+        decode, "hash string, unit binary, copies long, size int, filters array<int>, packed binary").withColumn("id", F.monotonically_increasing_id()), "listed")
     entries = listed.select("size", F.explode("filters").alias("f"))
     sizes = entries.groupBy("size", "f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = stored(sizes.select("size", "f", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "filtersizes")
-    placed = listed.select("id", "unit", "copies", "size", "filters", F.explode("filters").alias("f")).join(parts, ["size", "f"])
+    placed = listed.select("id", "unit", "copies", "size", "packed", F.explode("filters").alias("f")).join(parts, ["size", "f"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id", "f"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
     spread = placed.select("*", other).select("size", "f", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"),
-                                              (F.col("block") > F.col("o")).cast("int").alias("side"), "id", "unit", "copies", "filters")
+                                              (F.col("block") > F.col("o")).cast("int").alias("side"), "id", "unit", "copies", "packed")
     arranged = spread.repartition("size", "f", "bi", "bj").sortWithinPartitions("size", "f", "bi", "bj", "side", "id")
 
     def multiply(batches):
@@ -152,7 +155,7 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.95) -> DataFrame
             ids, copies = rows_.column("id").to_numpy(), rows_.column("copies").to_numpy()
             raw = np.frombuffer(b"".join(rows_.column("unit").to_pylist()), kind).astype(np.float64)
             unit, _ = _unit(pa.FixedSizeListArray.from_arrays(pa.array(raw), dims).cast(pa.list_(pa.float64())), dims)
-            lists = rows_.column("filters").to_pylist()
+            packed = rows_.column("packed")
             x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             same = rows_.column("bi")[0].as_py() == rows_.column("bj")[0].as_py()
             y = x if same else y
@@ -161,7 +164,10 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.95) -> DataFrame
             hits = unit[x] @ unit[y].T >= least_cosine
             if same:
                 np.fill_diagonal(hits, False)
-            hits &= ~_shares_smaller([lists[i] for i in x], [lists[i] for i in y], f, hits)
+            i, j = np.flatnonzero(hits.any(axis=1)), np.flatnonzero(hits.any(axis=0))
+            if not len(i):
+                continue
+            hits[np.ix_(i, j)] &= ~_shares_smaller(_unpacked(packed, x[i]), _unpacked(packed, y[j]), f)
             a, b, n = [], [], []
             for own, table, weight in ((x, hits, copies[y]), (y, hits.T, copies[x])):
                 count = table.astype(np.int64) @ weight
@@ -189,17 +195,20 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.95) -> DataFrame
                       F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _shares_smaller(left: list[list[int]], right: list[list[int]], f: int, hits: np.ndarray) -> np.ndarray:
-    """Which linked pairs also share a filter below ``f`` and are counted there."""
-    out = np.zeros(hits.shape, bool)
-    i, j = hits.any(axis=1), hits.any(axis=0)
-    below: dict[int, tuple[list[int], list[int]]] = {}
-    for side, lists, use in ((0, left, i), (1, right, j)):
-        for row in np.flatnonzero(use).tolist():
-            for g in lists[row]:
-                if g < f:
-                    below.setdefault(g, ([], []))[side].append(row)
-    for rows, columns in below.values():
-        if rows and columns:
-            out[np.ix_(rows, columns)] = True
+def _unpacked(packed: pa.ChunkedArray, rows: np.ndarray) -> list[np.ndarray]:
+    return [np.frombuffer(raw, np.int32) for raw in packed.take(pa.array(rows)).to_pylist()]
+
+
+def _shares_smaller(left: list[np.ndarray], right: list[np.ndarray], f: int) -> np.ndarray:
+    """Which pairs of filter lists share a filter below ``f``: such a pair is counted there."""
+    out = np.zeros((len(left), len(right)), bool)
+    sides = []
+    for lists in (left, right):
+        rows, filters = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+        rows, filters = rows[filters < f], filters[filters < f]
+        order = np.argsort(filters, kind="stable")
+        sides.append((rows[order], filters[order]))
+    (a, fa), (b, fb) = sides
+    for g in np.intersect1d(fa, fb).tolist():
+        out[np.ix_(a[np.searchsorted(fa, g):np.searchsorted(fa, g, "right")], b[np.searchsorted(fb, g):np.searchsorted(fb, g, "right")])] = True
     return out
