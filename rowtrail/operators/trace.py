@@ -81,11 +81,12 @@ class Trace:
         if src.integral_id():
             # the id range as literals reaches the scan and skips files and row groups outside it
             key = src.keys[0]
-            low, high, buckets = ids.agg(F.min(col(key)), F.max(col(key)), F.count_distinct(F.bitmap_bucket_number(key))).first()
-            inside = F.lit(False) if low is None else col(key).between(low, high)
-            found = src.df.where(inside)
-            if buckets * BITMAP_BYTES <= self.bitmap_limit and not fits_broadcast(ids):
-                return bitmap_semi_join(found, key, id_bitmaps(ids, key))
+            low, high = ids.agg(F.min(col(key)), F.max(col(key))).first()
+            found = src.df.where(F.lit(False) if low is None else col(key).between(low, high))
+            if not fits_broadcast(ids):
+                buckets = ids.select(F.bitmap_bucket_number(key).alias("bucket")).distinct().count()
+                if buckets * BITMAP_BYTES <= self.bitmap_limit:
+                    return bitmap_semi_join(found, key, id_bitmaps(ids, key))
             return self._match(src, ids, "left_semi", found)
         return self._match(src, ids, "left_semi")
 
