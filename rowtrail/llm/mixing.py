@@ -2,56 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from rowtrail.llm.common import stored, text_or_empty
 from rowtrail.sources.ids import with_position
 
-#: Bins per doubling of the virtual finish time; their number is bounded by the range of a double.
-FINE = 1024
-COARSE = 16
+#: Equal parts into which a round of ``_walk`` cuts the range of values that is left.
+PARTS = 4096
+
+
+def _walk(rows: DataFrame, by: str, sums: list[str], reached: Callable) -> tuple[list[float], float | None]:
+    """Sums over the rows below the first value of ``by`` at which ``reached(sums up to it, value)`` holds, and the last value below it.
+
+    ``reached`` must stay true for larger values.  Each round looks at one row of sums per part and goes
+    on in the part in which it becomes true, until that part holds a single value; so no task or
+    driver sees more than ``PARTS`` rows, however many rows share a part or a value.
+    """
+    passed, last = [0] * len(sums), None
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    while low is not None:
+        part = F.least(F.floor((F.col(by) - low) / ((high - low) / PARTS)), F.lit(PARTS - 1)) if high > low else F.lit(0)
+        parts = rows.groupBy(part.alias("part")).agg(F.min(by), F.max(by), *[F.sum(c) for c in sums]).collect()
+        for _, first, end, *more in sorted(parts):
+            through = [x + y for x, y in zip(passed, more)]
+            if reached(through, end):
+                break
+            passed, last = through, end
+        else:
+            break
+        if first == end:
+            break
+        low, high = first, end
+        rows = stored(rows.where(F.col(by).between(low, high)), "walk")
+    return passed, last
 
 
 def _targets(sources: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
-    """Add ``target``: shares of the budget by weight, at most ``repeats`` times the source's size."""
+    """Add ``target``: shares of the budget by weight, at most ``repeats`` times the source's size.
+
+    A source is capped when the level of tokens per unit of weight is above its cap by weight; the
+    level at which all targets meet the budget is found by walking these values.
+    """
     ranked = with_position(sources.withColumn("__null", F.col("source").isNull()), ["__null", "source"], "rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                           (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = stored(ranked.select("source", "source_size", "n_docs", weight.alias("weight"),
-                                  (F.col("source_size") * float(repeats)).alias("cap")), "targets")
-    total, level = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
-    budget = share * float(total or 0)
-    level = budget / level if level else 0.0
-    while True:
-        over = F.col("weight") * level > F.col("cap")
-        used, free = ranked.agg(F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))).first()
-        risen = (budget - (used or 0.0)) / free if free else level
-        if risen <= level * (1 + 1e-12):
-            break
-        level = risen
-    return ranked.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.lit(level)))
+    cap = F.col("source_size") * float(repeats)
+    ranked = stored(ranked.select("source", "source_size", "n_docs", weight.alias("weight"), cap.alias("cap"),
+                                  (cap / weight).alias("full")), "targets")
+    total, weights_sum = (x or 0 for x in ranked.agg(F.sum("source_size"), F.sum("weight")).first())
+    budget = share * float(total)
+    (used, gone), last = _walk(ranked, "full", ["cap", "weight"], lambda s, full: s[0] + full * (weights_sum - s[1]) >= budget)
+    level = (budget - used) / (weights_sum - gone) if weights_sum > gone else last or 0.0
+    return ranked.drop("full").withColumn("target", F.least(F.col("cap"), F.col("weight") * F.lit(level)))
 
 
 def _cut(items: DataFrame, budget: float) -> float:
-    """The largest finish time up to which all items fit the budget."""
-    log = F.log2("finish")
-    items = items.withColumn("coarse", F.floor(log * COARSE)).withColumn("fine", F.floor(log * COARSE * FINE))
-    taken, cut, part = 0, 0.0, items
-    for level in ("coarse", "fine"):
-        rows = part.groupBy(level).agg(F.sum("size").alias("s"), F.max("finish").alias("f")).collect()
-        found = None
-        for b, s, f in sorted(rows):
-            if taken + s > budget:
-                found = b
-                break
-            taken, cut = taken + s, max(cut, f)
-        if found is None:
-            return cut
-        part = part.where(F.col(level) == found)
-    order = Window.orderBy("finish")
-    steps = part.groupBy("finish").agg(F.sum("size").alias("s")).withColumn("t", F.sum("s").over(order))
-    last = steps.where(F.col("t") + taken <= budget).agg(F.max("finish")).first()[0]
-    return max(cut, last or 0.0)
+    """The largest finish time up to which all items fit the budget; 0 if there is none."""
+    return _walk(items, "finish", ["size"], lambda s, _: s[0] > budget)[1] or 0.0
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,

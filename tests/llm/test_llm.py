@@ -207,6 +207,15 @@ def test_language(spark):
     assert language.predict_language(docs(spark, rows[:2]), None).first().lang_pred == "und"
 
 
+def test_language_sample_of_a_repeated_id(spark, monkeypatch):
+    """An id that a third of the rows share gives no more than three windows."""
+    seen = []
+    monkeypatch.setattr(language.ByteCNN, "fit", classmethod(lambda cls, block, y, names: seen.append((len(block), sorted(names)))))
+    rows = [(1, f"some words number {i} " * 40, ("aa", "zz")[i % 2], "s") for i in range(100)] + [(i, "other words " * 40, "aa", "s") for i in range(2, 12)]
+    language.fit_language(docs(spark, rows))
+    assert seen and seen[0][0] <= 3 * 11 and seen[0][1][0] == "aa"
+
+
 def test_language_held_out(spark):
     rows = queries.QUERIES["op4_language_id"](spark, "/root/testdata/sf0.01").join(
         spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out and lang_pred <> 'und'")
@@ -478,6 +487,50 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [(1, None, None, None)])).first().taken == 0
 
 
+def brute_taken(rows, weights=(5, 2, 1), share=1.5, repeats=2):
+    """Words taken per row (u, doc_id, size, source): finish times of all passes in order, up to the budget."""
+    sizes, finish = {}, {}
+    for _, _, n, s in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    target = brute_targets(sizes)
+    reached = dict.fromkeys(sizes, 0)
+    for k, (u, i, n, s) in sorted(enumerate(rows), key=lambda r: r[1][:3]):
+        reached[s] += n
+        for turn in range(repeats):
+            if n:
+                finish.setdefault((reached[s] + sizes[s] * turn) / target[s], []).append(k)
+    taken, left = [0] * len(rows), share * sum(sizes.values()) * (1 + 1e-12)
+    for t in sorted(finish):
+        left -= sum(rows[k][2] for k in finish[t])
+        if left < 0:
+            break
+        for k in finish[t]:
+            taken[k] += rows[k][2]
+    return taken
+
+
+@pytest.mark.parametrize("parts", [4, 4096])
+def test_mixing_takes_what_finishes_first(spark, monkeypatch, parts):
+    monkeypatch.setattr(mixing, "PARTS", parts)
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(["w"] * int(draw.integers(1, 40))), "en", "aaaabcd"[i % 7]) for i in range(400)] + [(900, None, "en", "e"), (901, "w " * 30_000, "en", None)]
+    frame = docs(spark, rows)
+    u = F.pmod(F.xxhash64(F.lit(7), "doc_id", "size"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    drawn = frame.select("doc_id", "source", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ ]+"), 0)).cast("long").alias("size")).withColumn("u", u)
+    plain = [(r.u, r.doc_id, r.size, r.source) for r in drawn.collect()]
+    want = sorted((r[1], r[2], n) for r, n in zip(plain, brute_taken(plain)))
+    assert sorted((r.doc_id, r.size, r.taken) for r in mixing.mix(frame, rows_per_bucket=50).collect()) == want
+
+
+def test_walk_stops_at_the_first_value(spark):
+    values = [0.0, 1e-9, 1e-9, 0.25, 0.25 + 2**-53, 0.5, 7.0, 7.0, 1e6]
+    rows = spark.createDataFrame([(v, 1) for v in values], "v double, n long")
+    for k in range(len(values) + 2):
+        below = [v for v in values if sum(x <= v for x in values) <= k]
+        assert mixing._walk(rows, "v", ["n"], lambda s, _: s[0] > k) == ([len(below)], max(below, default=None))
+    assert mixing._walk(rows.limit(0), "v", ["n"], lambda s, _: True) == ([0], None)
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for i in range(400):
