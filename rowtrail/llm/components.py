@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Each round writes one table of at most as many edges as nodes and links; a node with
     very many neighbours is combined map-side, and its join is left to adaptive skew handling.  The
     end is looked for once the number of edges stays.  Edges with a null end are left out, loops and
-    repeated edges change nothing.
+    repeated edges change nothing.  Rounds grow at most with the square of the logarithm of the nodes;
+    an error is raised after ``max_rounds``.
     """
     links = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     current = stored(links.where(F.col(a) != F.col(b)).select(

@@ -110,7 +110,8 @@ def fold(doc_id="doc_id"):
 def fit_language(documents: DataFrame, rows_per_language: int = 600, windows_per_row: int = 3, seed: int = 13) -> ByteCNN | None:
     """Fit on up to about ``rows_per_language`` documents of each language, three windows of each.
 
-    The documents are picked by a hash of the id, among those with an id, a language and a text.
+    The documents are picked by a hash of the id, among those with an id, a language and a text; of
+    rows that repeat an id one window is kept for each place, so the sample stays within its bound.
     Only text and language are used.  None if no language is known.
     """
     known = documents.where("doc_id is not null and lang is not null and text is not null and length(text) > 0")
@@ -134,8 +135,10 @@ def fit_language(documents: DataFrame, rows_per_language: int = 600, windows_per
                                               pa.array([b.tobytes() for b in block[keep]], pa.binary())], ["doc_id", "place", "lang", "bytes"])
 
     rows = (known.where(draw < share).select(F.col("doc_id").cast("long"), "lang", "text")
-            .mapInArrow(run, "doc_id long, place long, lang string, bytes binary").collect())
-    rows.sort(key=lambda r: (r[0], r[1], bytes(r[3])))
+            .mapInArrow(run, "doc_id long, place long, lang string, bytes binary")
+            .groupBy("doc_id", "place").agg(F.min(F.struct("lang", "bytes")).alias("w"))
+            .select("doc_id", "place", "w.lang", "w.bytes").collect())
+    rows.sort(key=lambda r: (r[0], r[1]))
     languages = sorted({r[2] for r in rows})
     if not languages:
         return None
