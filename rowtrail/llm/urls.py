@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowtrail.llm.common import stored
 
 # Rules by host suffix and path prefix.
-RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"),
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
          ("com", "/de/", "block")]
 
 

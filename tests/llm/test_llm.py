@@ -230,13 +230,22 @@ def test_urls(spark):
     pages = spark.createDataFrame([(i, u, h, "k") for i, (u, h) in enumerate(names)], "page_id long, url string, html string, key string")
     got = {r.page_id: r for r in urls.filter_urls(pages).collect()}
     assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in range(10)] == [
-        ("a.example.org", "/es/1", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "allow"), ("evil.net", "/a", None, "block"),
+        ("a.example.org", "/es/1", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "block"), ("evil.net", "/a", None, "block"),
         ("evil.net", "/b", None, "allow"), ("", "", None, "block"), ("", "", None, "block"), ("m.fr.com", "/fr/", "com/fr/", "allow"), ("org", "", None, "allow"),
         ("notexample.org", "/es/", "org/", "allow"), ("evil.net", "/a", None, "block")]
     assert all(got[10 + i].listed == bool(i % 3) for i in range(600))
     assert urls.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_rules_say_what_the_contract_says(spark):
+    """Each rule's word, on thick pages: no listed key stands behind a block."""
+    urls_of = ["x://a.org/b", "x://example.org/es/1", "x://example.org/en/1", "x://www.example.org/en/15", "x://example.org/en/2", "x://a.com/fr/", "x://a.com/de/"]
+    pages = spark.createDataFrame([(i, u, "w " * 200) for i, u in enumerate(urls_of)], "page_id long, url string, html string")
+    assert [(r.rule, r.verdict) for r in urls.filter_urls(pages).orderBy("page_id").collect()] == [
+        ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("example.org/en/1", "block"), ("org/", "allow"), ("com/fr/", "allow"),
+        ("com/de/", "block")]
+
+
 @pytest.mark.parametrize("shard_words", [1, 3, 8192])
 def test_cascade_is_exact_with_any_shard(spark, shard_words):
     universe = spark.range(4000).select(F.concat(F.lit("key"), "id").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
