@@ -15,7 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from rowtrail.operators.keyed import col
+from rowtrail.operators.keyed import col, null_safe_join
 from rowtrail.scratch import materialize
 from rowtrail.sources.ids import with_position
 
@@ -26,6 +26,8 @@ MAX_INTERVALS = 32
 FEW = 16
 #: Numbers of so many parts are put in order by one task.
 MANY_PARTS = 1 << 16
+#: So many consecutive chunks of a key are folded by one task; a key with more is folded by block.
+BLOCK_BITS = 12
 Interval = tuple[int, int]  # [from, to)
 
 
@@ -85,25 +87,59 @@ def own_partials(rows: DataFrame, chunk: str, program: FoldedProgram) -> DataFra
         F.count(F.lit(1)).alias("__n"), *[f.expr.alias(name) for name, f in program.folds.items()])
 
 
-def chunk_partials(partial: DataFrame, chunk: str, program: FoldedProgram) -> DataFrame:
-    """Adds to :func:`own_partials` the folds of the whole (``all_``) and of all other chunks
+def _merged(a: Column, b: Column, merge: str) -> Column:
+    """Two folds as one; a null fold is one over no rows."""
+    if merge == "sum":
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+    return (F.least if merge == "min" else F.greatest)(a, b)
+
+
+def _sides(rows: DataFrame, keys: list[str], order: str, merges: dict[str, str], after: str, before: str | None, whole: str | None) -> DataFrame:
+    """Adds the folds of a key's rows after and before each row and of all, in one task per key.  Both sides run along their
+    frame, up and down the order: a frame that ends at the last row would be folded anew for every row."""
+    key = Window.partitionBy(*[col(k) for k in keys])
+    frames = {after: key.orderBy(col(order).desc()).rowsBetween(Window.unboundedPreceding, -1),
+              before: key.orderBy(col(order).asc()).rowsBetween(Window.unboundedPreceding, -1), whole: key}
+    for prefix, frame in frames.items():
+        if prefix is not None:
+            rows = rows.withColumns({prefix + name: _MERGE[m](name).over(frame) for name, m in merges.items()})
+    return rows
+
+
+def running_folds(rows: DataFrame, keys: list[str], order: str, merges: dict[str, str], numbers: int, after: str, before: str | None = None,
+                  whole: str | None = None) -> DataFrame:
+    """Adds to rows with one number ``order`` each per key, below about ``numbers``, the folds of the key's later and earlier
+    ones and of all, under the given prefixes.
+
+    With many numbers, blocks of consecutive ones are folded in tasks of their own, and a row's folds are those of its
+    block's other rows and of the other blocks, of which there are few.
+    """
+    if numbers <= 4 << BLOCK_BITS:
+        return _sides(rows, keys, order, merges, after, before, whole)
+    blocked = rows.withColumn("__block", F.shiftright(order, BLOCK_BITS))
+    sides = [prefix for prefix in (after, before) if prefix is not None]
+    outer = {prefix: "__outer" + prefix for prefix in sides}
+    blocks = blocked.groupBy(*[col(k) for k in keys], "__block").agg(*[_MERGE[m](name).alias(name) for name, m in merges.items()])
+    around = _sides(blocks, keys, "__block", merges, outer[after], outer.get(before), whole).drop(*merges)
+    inner = _sides(blocked, [*keys, "__block"], order, merges, after, before, None)
+    joined = null_safe_join(inner, around, [*keys, "__block"])
+    return joined.withColumns({p + name: _merged(col(p + name), col(outer[p] + name), m) for p in sides for name, m in merges.items()}).drop(
+        "__block", *[outer[p] + name for p in sides for name in merges])
+
+
+def _merges(program: FoldedProgram) -> dict[str, str]:
+    return {"__n": "sum"} | {name: f.merge for name, f in program.folds.items()}
+
+
+def chunk_partials(partial: DataFrame, chunk: str, program: FoldedProgram, chunks: int = 1) -> DataFrame:
+    """Adds to :func:`own_partials` the folds of the whole (``all_``) and of all other of about ``chunks`` chunks
     (``rest_``).  The rest is merged from running folds on both sides, so no inverse is needed and
-    the work is linear in the number of chunks."""
-    # one row per chunk of a key reaches these windows, never the raw rows
-    whole = Window.partitionBy(*[col(k) for k in program.keys])
-    ordered = whole.orderBy(chunk)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    after = ordered.rowsBetween(1, Window.unboundedFollowing)
-    columns = {}
-    for name, merge in [("__n", "sum"), *[(name, f.merge) for name, f in program.folds.items()]]:
-        fold = _MERGE[merge]
-        columns[f"all_{name}"] = fold(name).over(whole)
-        left, right = fold(name).over(before), fold(name).over(after)
-        if merge == "sum":
-            columns[f"rest_{name}"] = F.when(left.isNull(), right).when(right.isNull(), left).otherwise(left + right)
-        else:
-            columns[f"rest_{name}"] = (F.least if merge == "min" else F.greatest)(left, right)
-    return partial.withColumns(columns)
+    the work is linear in the number of chunks.  ``__first`` marks the first chunk of a key."""
+    merges = _merges(program)
+    sides = running_folds(partial, program.keys, chunk, merges, chunks, "__right_", "__left_", "all_")
+    return (sides.withColumns({f"rest_{name}": _merged(col(f"__left_{name}"), col(f"__right_{name}"), m) for name, m in merges.items()})
+            .withColumn("__first", col("__left___n").isNull())
+            .drop(*[f"{p}{name}" for p in ("__left_", "__right_") for name in merges]))
 
 
 @dataclass(frozen=True)
@@ -380,9 +416,8 @@ class _FoldedSearch:
         # candidate outputs per (key, chunk): everything but the chunk, and everything
         sides = [F.struct(F.lit(prefix).alias("side"), *[col(f"{prefix}_{name}").alias(name) for name in names])
                  for prefix in ("rest", "all")]
-        first_of_key = col("__chunk") == F.min("__chunk").over(Window.partitionBy(*keys))
-        outputs = chunk_partials(partial, "__chunk", program).select(
-            *keys, "__chunk", first_of_key.alias("__first"), F.explode(F.array(*sides)).alias("__out"))
+        outputs = chunk_partials(partial, "__chunk", program, parts).select(
+            *keys, "__chunk", "__first", F.explode(F.array(*sides)).alias("__out"))
         failing = (outputs.select(*keys, "__chunk", "__first", "__out.*")
                    .where(col("__n") > 0).where(program.failing))
         per_chunk = failing.groupBy("__chunk").agg(
@@ -411,15 +446,14 @@ class _FoldedSearch:
         total = ranked.count()
         if total == 0:
             return None
-        merges = {"__n": "sum"} | {name: f.merge for name, f in program.folds.items()}
+        merges = _merges(program)
         turns = (partial.join(ranked, "__chunk", "left").withColumn("__turn", F.coalesce("__turn", F.lit(total)))
                  .groupBy(*keys, "__turn").agg(*[_MERGE[m](name).alias(name) for name, m in merges.items()]))
         start = turns.select(*keys).distinct().withColumn("__turn", F.lit(-1).cast("bigint"))
-        ordered = Window.partitionBy(*keys).orderBy("__turn")
-        after = ordered.rowsBetween(1, Window.unboundedFollowing)
-        states = turns.unionByName(start, allowMissingColumns=True).select(
-            *keys, F.coalesce(F.lead("__turn").over(ordered), F.lit(total)).alias("__until"),
-            *[_MERGE[m](name).over(after).alias(name) for name, m in merges.items()])
+        following = {"__next": "min", **merges}
+        every = turns.unionByName(start, allowMissingColumns=True).withColumn("__next", col("__turn"))
+        states = running_folds(every, program.keys, "__turn", following, total, "__after_").select(
+            *keys, F.coalesce("__after___next", F.lit(total)).alias("__until"), *[col(f"__after_{name}").alias(name) for name in merges])
         count = states.where(col("__n") > 0).where(program.failing).agg(F.max("__until").alias("count")).first()["count"]
         if not count:
             return None

@@ -142,3 +142,30 @@ def test_program_mode_takes_many_tests_a_job(spark, monkeypatch):
     found = minimize(df, ["id"], lambda rows: rows.groupBy().agg(F.sum("hit").alias("hits")), F.col("hits") >= len(hits))
     assert {r["id"] for r in found.rows.collect()} == hits
     assert len(tests) <= 20 and max(tests) == minimizer.TESTS and sum(tests) > 3 * len(tests)
+
+
+@pytest.mark.parametrize("bits", [1, 12])
+def test_running_folds_in_blocks(spark, monkeypatch, bits):
+    """A key's folds on both sides, by blocks or in one task, also of a null key and of null folds."""
+    monkeypatch.setattr(minimizer, "BLOCK_BITS", bits)
+    rng = random.Random(2)
+    rows = [(k, c, rng.choice([None, *range(9)])) for k in ("a", None) for c in rng.sample(range(-1, 60), 40)]
+    df = spark.createDataFrame(rows, "k string, c bigint, v int").withColumn("lo", F.col("v")).repartition(3)
+    merges = {"v": "sum", "lo": "min"}
+    got = minimizer.running_folds(df, ["k"], "c", merges, 60, "after_", "before_", "all_")
+
+    def folds(key, within):
+        values = [v for k, c, v in rows if k == key and within(c) and v is not None]
+        return (sum(values), min(values)) if values else (None, None)
+
+    want = {(k, c): (*folds(k, lambda x: x > c), *folds(k, lambda x: x < c), *folds(k, lambda x: True)) for k, c, _ in rows}
+    assert {(r["k"], r["c"]): r[2:] for r in got.select(
+        "k", "c", "after_v", "after_lo", "before_v", "before_lo", "all_v", "all_lo").collect()} == want
+
+
+def test_no_fold_is_made_anew_for_every_row(spark):
+    """Frames that end at a key's last row take quadratic time in Spark."""
+    program = FoldedProgram(["k"], {"s": Fold(F.sum("v"))}, F.col("s") > 1)
+    partial = spark.range(10).select(F.lit(0).alias("k"), F.col("id").alias("c"), F.lit(1).alias("__n"), F.col("id").alias("s"))
+    plan = minimizer.chunk_partials(partial, "c", program)._jdf.queryExecution().optimizedPlan().toString()
+    assert "1, unboundedfollowing$()" not in plan and "unboundedpreceding$(), -1" in plan
