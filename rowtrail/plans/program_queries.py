@@ -8,7 +8,7 @@ from rowtrail.functions.scalar import GPA_STEPS
 from rowtrail.operators.influence import Outlier
 from rowtrail.plans import programs
 from rowtrail.plans.base import add, query, rounded, table
-from rowtrail.scratch import materialize
+from rowtrail.scratch import materialize, shuffle_width
 from rowtrail.sources import fixtures as fx
 from rowtrail.sources.registry import TraceContext
 
@@ -112,7 +112,9 @@ def _stored(spark, sf_dir, name):
 
 
 def _exams(spark, sf_dir):
-    return fx.student_grades(_ids(spark, sf_dir, "customer", "c_custkey"))
+    """Up to 200 items a row: the ids are dealt to all tasks, as a file of many may be one split."""
+    tasks = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
+    return fx.student_grades(_ids(spark, sf_dir, "customer", "c_custkey").repartition(tasks))
 
 
 # -- fixtures ------------------------------------------------------------------------------

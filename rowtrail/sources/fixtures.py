@@ -148,8 +148,10 @@ def student_grades(ids: DataFrame, ident: str = "id") -> DataFrame:
     """One course per row with 11 to 200 'course:grade' items."""
     base, draw = _base(ids, ident, 3)
     course = F.concat(F.when(draw(1, 2) == 0, "EE").otherwise("CS"), (draw(2, 570) + 30).cast("string"))
-    items = F.transform(F.sequence(F.lit(0).cast("bigint"), draw(3, 190) + 10), lambda i: F.concat(
-        col("course"), F.lit(":"), (mix(col(ident) * 256 + i, 4) % 90 + 10).cast("string")))
+    # the steps of mix(), one by one: a lambda has no common subexpressions, so a fold would compute its number twice
+    firsts = F.transform(F.sequence(F.lit(0).cast("bigint"), draw(3, 190) + 10), lambda i: _first(col(ident) * 256 + i, 4))
+    seconds = F.transform(firsts, lambda x: _fold(x, 13) * 69621 % _PRIME)
+    items = F.transform(seconds, lambda x: F.concat(col("course"), F.lit(":"), (_fold(x, 11) % 90 + 10).cast("string")))
     return base.withColumn("course", course).withColumn("grades", items).select(ident, "grades")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F, types as T
 
 from rowtrail import TraceContext
 from rowtrail.functions import scalar
-from rowtrail.plans import programs
+from rowtrail.plans import program_queries, programs
 from rowtrail.operators.influence import SequentialOutlier
 from rowtrail.sources import fixtures as fx
 from rowtrail.sources.readers import parse_lines, read_table, write_lines
@@ -23,6 +23,17 @@ def test_fixture_is_a_function_of_the_id(spark, make):
     assert few.exceptAll(many).isEmpty() and few.count() == 400
 
 
+def test_exams_of_one_file_are_made_by_all_tasks(spark, tmp_path):
+    ids = [None, 0, 0, *range(397)]
+    spark.createDataFrame([(i,) for i in ids], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    exams = program_queries._exams(spark, str(tmp_path))
+    per_task = [r["count"] for r in exams.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 400 and len(per_task) >= 8 and max(per_task) < 100
+    items = exams.select("id", F.posexplode("grades").alias("i", "item"))
+    assert items.where(F.substring_index("item", ":", -1).cast("long") != fx.mix(F.col("id") * 256 + F.col("i"), 4) % 90 + 10).isEmpty()
+    assert items.where("id = 0 and i = 0").count() == 3
+
+
 def test_snow_delta_column_lineage_is_more_precise(spark):
     table = fx.weather(spark.range(20_000), fault_one_in=1000).cache()
     by_column = score(programs.snow_delta(TraceContext(spark), table, "id"))
