@@ -91,6 +91,17 @@ def test_long_secrets_are_whole(spark):
     assert got[3].split(",")[0] == f"pem:0:{len(rows[2][1])}"
 
 
+def test_no_candidate_is_left_out(spark):
+    """An opaque value after an equals sign, and candidates at the place of a base span."""
+    value, digest, access = "wJ7r" * 8, "0a1b" * 8, "AKIA" + "Q7" * 12
+    rows = [(1, f"AWS_KEY={value} end", "en", "a"), (2, f"see {digest} end", "en", "a"), (3, f"see {access} end", "en", "a"), (4, f"token={value}", "en", "b"),
+            (5, "key==short", "en", "a")]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert [got[i].spans for i in range(1, 6)] == ["opaque:8:40", "hex:4:36,opaque:4:36", "access:4:32,opaque:4:32", "assign:0:38,opaque:6:38", ""]
+    assert [(got[i].n_live, got[i].n_copied) for i in range(1, 6)] == [(0, 1), (2, 0), (2, 0), (0, 2), (0, 0)]
+    assert got[1].copied_spans == "opaque:8:40"
+
+
 def test_copies_hide_no_secret(spark):
     """Each credential stands at the same place; exact copies of a text do not count as spread, other copies only label."""
     token, text = lambda i: "ghp_" + str(i) * 40, "key {} end"
