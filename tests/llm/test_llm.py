@@ -102,6 +102,78 @@ def test_no_candidate_is_left_out(spark):
     assert got[1].copied_spans == "opaque:8:40"
 
 
+def brute_inner(text):
+    """Each keyword with a sign; its value ends where the next one begins.  Without those that are base spans."""
+    keyword = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    firsts = {m.start() for m in re.finditer(rf"(?={keyword}[\"']?\x20*[:=])", text)}
+    found = []
+    for first in sorted(firsts):
+        at = last = re.compile(rf"{keyword}[\"']?\x20*[:=]\x20*[\"']?").match(text, first).end()
+        while last < len(text) and last not in firsts and re.match("[A-Za-z0-9+/_.=-]", text[last]):
+            last += 1
+        if last - at >= 6:
+            found.append((first, last))
+    return sorted(f"inner:{a}:{b}" for a, b in found if f"assign:{a}:{b}" not in brute_secrets(text))
+
+
+def test_no_assignment_hides_another(spark):
+    """An assignment inside the match of another, whether that is kept or dropped, is a candidate; the base spans stay."""
+    draw = np.random.default_rng(4)
+    parts = ["token", "secret", "Password", "api_key", "APIKEY", ":", "=", ":", "=", " ", " ", '"', "'", "abc", "xy12345", "/", ".", "é𝄞", "\n"]
+    rows = [(1, "secret: password: hunter22 end", "en", "a"), (2, "token=token :abcdefgh", "en", "a"), (3, "secret=user.password:hunter22", "en", "b"),
+            (4, "token=abcdefgh", "en", "a"), (5, "token=" * 20_000 + "abcdefgh", "en", "a")]
+    rows += [(10 + i, "".join(draw.choice(parts, 40)), "en", "a") for i in range(400)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert [got[i].spans for i in range(1, 5)] == ["assign:0:16,inner:8:26", "inner:6:21", "assign:0:20,inner:12:29", "assign:0:14"]
+    assert got[5].spans == f"assign:0:{20_000 * 6 + 8},inner:{19_999 * 6}:{20_000 * 6 + 8}"
+    assert got[1].n_live == 1 and got[1].n_copied == 1 and got[1].copied_spans == "inner:8:26"  # hunter22 is in document 3 too
+    for i, text, *_ in rows:
+        spans = got[i].spans.split(",")
+        assert sorted(s for s in spans if s.startswith("inner")) == brute_inner(text)
+        assert [s for s in spans if s.split(":")[0] in ("assign", "access", "hex")] == brute_secrets(text)
+    assert sum("inner" in got[10 + i].spans for i in range(400)) > 20
+
+
+def test_private_keys_of_any_label_and_header(spark):
+    """Long labels, digits, PGP blocks, SSH2 keys, other headers, and the last line where the END line is missing."""
+    name = lambda label: pem(1).replace("RSA ", label)
+    pgp = pem(2, label="PGP ").replace("PRIVATE KEY", "PRIVATE KEY BLOCK").replace("-----\n", "-----\nVersion: GnuPG v2\nComment: https://gnupg.org\n\n", 1)
+    ssh = pem(3, label="SSH2 ENCRYPTED ").replace("-----BEGIN", "---- BEGIN").replace("-----END", "---- END").replace("KEY-----", "KEY ----")
+    cut = pem(4, end=False) + "\nQb7/a+=="
+    rows = [(1, name("VERY LONG LABEL OF A FIRM "), "en", "a"), (2, name("X25519 "), "en", "a"), (3, pgp, "en", "a"), (4, pgp.replace("\n", "\\n"), "en", "a"),
+            (5, ssh, "en", "a"), (6, cut, "en", "a"), (7, f"{cut}\nNo more of it.", "en", "a"), (8, f"{cut[:-5]}", "en", "a"), (9, pem(5, end=False) + "\n\nword\n", "en", "a")]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        assert got[i].spans.split(",")[0] == f"pem:0:{len({7: cut, 9: pem(5, end=False)}.get(i, text))}"
+    # headers and the label are no part of the value
+    plain = pem(2, label="PGP ").replace("PRIVATE KEY", "PRIVATE KEY BLOCK")
+    got = secrets.scan_secrets(docs(spark, [(1, pgp, "en", "a"), (2, plain, "en", "b"), (3, name("X25519 "), "en", "a"), (4, name("EC "), "en", "b")])).collect()
+    assert all("pem" in r.copied_spans for r in got)
+
+
+def test_encrypted_tokens_are_whole(spark):
+    """A token of five parts is one span; the payload may be short or missing."""
+    head, part, tag = "eyJhbGciOiJub25lIn0", "Qx_7-m2K", "Zk9" * 8
+    texts = [f"{head}.{part * 4}.{tag}.{part}.{tag}", f"{head}..{tag}.{part}.{tag}", f"{head}.e30.{part}", f"{head}..{part}", f"{head}.{part}.{part}.Next", f"{head}.{part}"]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(docs(spark, [(i, f"é {t} end", "en", "a") for i, t in enumerate(texts)])).collect()}
+    want = [len(texts[0]), len(texts[1]), len(texts[2]), len(texts[3]), len(texts[4]) - 5]
+    assert [[s for s in got[i].split(",") if s.startswith("jwt")] for i in range(6)] == [*([f"jwt:2:{2 + n}"] for n in want), []]
+
+
+def test_every_span_has_its_label(spark):
+    """``copied_spans`` has the base kinds too, and each kind is found in a text that holds nothing else."""
+    rows = [(1, "password=hunter22", "en", "a"), (2, "see password=hunter22", "en", "b"), (3, "password=other333", "en", "b")]
+    tokens = {"github": "ghp_" + "A" * 36, "slack": "xoxb-1234567890", "google": "AIza" + "b" * 35, "stripe": "sk_live_" + "c" * 16, "jwt": "eyJaaaaaaaa.bbbbbbbb.cccccccc",
+              "pem": "---- BEGIN PRIVATE KEY ----", "opaque": "d" * 23 + "1", "inner": "token:token:abcdef", "access": "AKIA" + "E" * 16, "hex": "0" * 24}
+    rows += [(10 + i, f"- {t} -", "en", "c") for i, t in enumerate(tokens.values())]
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    assert [got[i].copied_spans for i in (1, 2, 3)] == ["assign:0:17", "assign:4:21", ""]
+    assert all(r.n_copied == len([s for s in r.copied_spans.split(",") if s]) and set(r.copied_spans.split(",")) <= {"", *r.spans.split(",")} for r in got.values())
+    for i, (kind, t) in enumerate(tokens.items()):
+        stop = 2 + len(t)
+        assert f"{kind}:{8 if kind == 'inner' else 2}:{stop}" in got[10 + i].spans.split(",")
+
+
 def test_copies_hide_no_secret(spark):
     """Each credential stands at the same place; exact copies of a text do not count as spread, other copies only label."""
     token, text = lambda i: "ghp_" + str(i) * 40, "key {} end"
